@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 
 from prismark.llm import common
 
-#: RocksDB's memory is bounded for all partitions of an executor together.
+#: RocksDB's memory is bounded for all partitions of an executor together. Its files are not allocated ahead of use: many small stores would hold disk that they never fill.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.metricsEnabled": "false",
 }
 

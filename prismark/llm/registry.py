@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from prismark.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from prismark.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {

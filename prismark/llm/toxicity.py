@@ -56,36 +56,61 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def grams(words: list[str], order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
-    """Hashes of the grams of each length that end at each letter (or word end), of their contexts, the letter and the word's number."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + order
+def grams(words: list[str], order: int) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """For each letter and each word's end, the word's number; and for each length up to order the hashes of the
+    grams that end there and of their contexts. One length at a time is in memory."""
+    lengths = np.fromiter(map(len, words), np.int32, len(words)) + order
     joined = "".join(["\x02" * (order - 1) + w + "\x03" for w in words])
     codes = _mixed(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32))
-    owner = np.repeat(np.arange(len(words)), lengths)
-    ends = np.cumsum(lengths)
-    at = np.arange(len(codes)) - np.repeat(ends - lengths, lengths)
-    real = at >= order - 1
-    upto, power, hashed = [], 1, np.zeros(len(codes), np.uint64)
-    for n in range(order):
-        hashed = hashed.copy()
-        hashed[n:] += codes[: len(codes) - n] * np.uint64(power)
-        power = power * _STEP & _WRAP
-        upto.append(hashed)
-    place = np.flatnonzero(real)
-    full = [h[place] for h in upto]
-    contexts = [np.zeros(len(place), np.uint64)] + [h[place - 1] for h in upto[:-1]]
-    return full, contexts, codes[place], owner[place]
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+    at = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    place = np.flatnonzero(at >= order - 1)
+    del at, joined
+
+    def lengthening() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        power, hashed, context = 1, np.zeros(len(codes), np.uint64), np.zeros(len(place), np.uint64)
+        for n in range(order):
+            hashed[n:] += codes[: len(codes) - n] * np.uint64(power)
+            power = power * _STEP & _WRAP
+            yield hashed[place], context
+            context = hashed[place - 1]
+
+    return owner[place], lengthening()
+
+
+class Table:
+    """Values by 64-bit hash: sorted hashes with an index over their leading bits, about one hash to an index entry."""
+
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        self.keys, self.values = keys, values
+        self.shift = np.uint64(64 - max(1, int(len(keys)).bit_length()))
+        buckets = np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.float64) * float(1 << int(self.shift))
+        self.starts = np.append(np.searchsorted(keys, buckets[:-1].astype(np.uint64)), len(keys)).astype(np.int32)
+
+    def __call__(self, wanted: np.ndarray) -> list[np.ndarray]:
+        """Of each wanted hash its values, 0 where it is unknown."""
+        if not len(self.keys):
+            return [np.zeros(len(wanted)) for _ in self.values]
+        bucket = (wanted >> self.shift).astype(np.int64)
+        at, end = self.starts[bucket], self.starts[bucket + 1]
+        found = np.full(len(wanted), -1, np.int64)
+        open_ = np.flatnonzero(at < end)
+        while len(open_):
+            i = at[open_]
+            hit = self.keys[i] == wanted[open_]
+            found[open_[hit]] = i[hit]
+            open_ = open_[~hit]
+            at[open_] += 1
+            open_ = open_[at[open_] < end[open_]]
+        return [np.where(found >= 0, v[found], 0).astype(np.float64) for v in self.values]
 
 
 @dataclass
 class Counts:
-    """One order: what follows each context. keys and contexts are sorted."""
+    """One order: the weight of each gram, and of each context the weight and the number of kinds that follow it."""
 
-    keys: np.ndarray
-    n: np.ndarray
-    contexts: np.ndarray
-    total: np.ndarray
-    kinds: np.ndarray
+    grams: Table
+    contexts: Table
 
     @classmethod
     def of(cls, keys: np.ndarray, contexts: np.ndarray, weights: np.ndarray) -> Counts:
@@ -93,22 +118,15 @@ class Counts:
         u, first, back = np.unique(keys, return_index=True, return_inverse=True)
         n = np.bincount(back, weights, len(u))
         c, where = np.unique(contexts[first], return_inverse=True)
-        return cls(u, n.astype(np.float32), c, np.bincount(where, n, len(c)).astype(np.float32), np.bincount(where, minlength=len(c)).astype(np.float32))
+        total, kinds = np.bincount(where, n, len(c)), np.bincount(where, minlength=len(c))
+        return cls(Table(u, n.astype(np.float32)), Table(c, total.astype(np.float32), kinds.astype(np.float32)))
 
     def smoothed(self, keys: np.ndarray, contexts: np.ndarray, below: np.ndarray) -> np.ndarray:
-        n = _looked_up(self.keys, self.n, keys)
-        total, kinds = _looked_up(self.contexts, self.total, contexts), _looked_up(self.contexts, self.kinds, contexts)
+        (n,), (total, kinds) = self.grams(keys), self.contexts(contexts)
         seen = total > 0
         return np.where(seen, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * below) / np.where(seen, total, 1), below)
 
 
-def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.zeros(len(wanted))
-    i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[i] == wanted, values[i], 0).astype(np.float64)
-
-
 @dataclass
 class Model:
     shared: list[Counts]
@@ -121,27 +139,30 @@ class Model:
     @classmethod
     def trained(cls, words: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> Model:
         """From distinct words with their counts in toxic and in ordinary texts."""
-        full, contexts, _, owner = grams(words, ORDER)
+        owner, lengthening = grams(words, ORDER)
+        shared, before = [], None
+        for keys, contexts in lengthening:
+            if before is not None:  # grams of n letters count once for each gram of n + 1 letters that ends in them
+                _, first = np.unique(keys, return_index=True)
+                shared.append(Counts.of(before[0][first], before[1][first], np.ones(len(first))))
+            before = keys, contexts
         classes = []
         for weights in (toxic, ordinary):
             w = np.asarray(weights, np.float64)[owner]
             some = w > 0
-            classes.append(Counts.of(full[-1][some], contexts[-1][some], w[some]))
-        shared = []
-        for n in range(1, ORDER):  # grams of n letters count once for each gram of n + 1 letters that ends in them
-            _, first = np.unique(full[n], return_index=True)
-            shared.append(Counts.of(full[n - 1][first], contexts[n - 1][first], np.ones(len(first))))
+            classes.append(Counts.of(keys[some], contexts[some], w[some]))
         return cls(shared, *classes)
 
     def words(self, words: list[str]) -> np.ndarray:
         """Log-likelihoods of each word: columns toxic, ordinary."""
         if not words:
             return np.zeros((0, 2))
-        full, contexts, _, owner = grams(words, ORDER)
-        below = np.full(len(owner), 1 / (len(self.shared[0].keys) + 1))
-        for k, counts in enumerate(self.shared):
-            below = counts.smoothed(full[k], contexts[k], below)
-        return np.stack([np.bincount(owner, np.log(c.smoothed(full[-1], contexts[-1], below)), len(words)) for c in (self.toxic, self.ordinary)], 1)
+        owner, lengthening = grams(words, ORDER)
+        below = np.full(len(owner), 1 / (len(self.shared[0].grams.keys) + 1))
+        for counts in self.shared:
+            below = counts.smoothed(*next(lengthening), below)
+        top = next(lengthening)
+        return np.stack([np.bincount(owner, np.log(c.smoothed(*top, below)), len(words)) for c in (self.toxic, self.ordinary)], 1)
 
 
 class Scorer:
@@ -195,7 +216,7 @@ def _batches(texts: pd.Series) -> Iterator[pd.Series]:
         yield part
 
 
-def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_per_class: int = 4000) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_per_class: int = 2000) -> Model | None:
     """Fits both models and the curve; None without rows of both classes."""
     own = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     own = own.where("crc32(cast(doc_id AS string)) % 4 != 2").withColumn("h", F.xxhash64("doc_id"))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from prismark.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from prismark.llm.packing import op4_packing
 from prismark.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_packing": op4_packing,
     "op10_toxicity": op10_toxicity,
 }
 

@@ -50,9 +50,9 @@ def _clean() -> None:
             remove(spark, path)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """Cuts lineage: writes df to the shared folder and reads it back, so a lost executor costs no recomputation."""
-    path = scratch(df.sparkSession, what)
+    path = path or scratch(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from prismark.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from prismark.llm.near_dedup import op3_near_dedup
 from prismark.llm.packing import op4_packing
 from prismark.llm.toxicity import op10_toxicity
 from prismark.llm.trie_bpe import op7_trie_bpe
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_near_dedup": op3_near_dedup,
     "op4_packing": op4_packing,
     "op7_trie_bpe": op7_trie_bpe,
     "op10_toxicity": op10_toxicity,

@@ -17,11 +17,13 @@ from __future__ import annotations
 
 import bisect
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,36 +31,84 @@ from pyspark.sql import functions as F
 from prismark.llm import common
 
 SIZE, END_ID = 2048, 1
-CACHE = 800_000
+CACHE = 600_000
+#: A stretch of letters that all have one composed form, and a stop that no letter merges with.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,]?)").fullmatch
 #: Pieces of one length that are ranked together, about.
 PART = 20_000
 
 
 class ChunkEncoder:
-    """Encodes texts with a tokenizer that drops white space: each distinct chunk between spaces once, up to a bound."""
+    """Encodes texts with a tokenizer that drops white space, by the distinct chunks between spaces.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    The first ``CACHE`` chunks stay known, which soon holds the usual ones; others are learnt for the batch they occur in.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        def loaded() -> Tokenizer:
+            t = Tokenizer.from_file(path)
+            t.no_padding()
+            t.no_truncation()
+            return t
+
+        self.tokenizer, self.words = loaded(), loaded()
+        # for plain words in lower case, the same model without the steps that leave them as they are
+        self.words.normalizer = normalizers.Sequence([])
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.ends[i] = token.endswith("</w>")
         self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Of each text its ids as little-endian unsigned 32-bit numbers."""
-        # the vocabulary's rules drop these four, and no token crosses them
-        lists = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        fresh = list(set().union(*lists).difference(self.known))
-        if len(self.known) + len(fresh) > CACHE:
-            self.known = {}
-            fresh = list(set().union(*lists))
-        for i in range(0, len(fresh), 10_000):
-            part = fresh[i : i + 10_000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in lists]
+        self.stops = {"": b"", **dict(zip(".,", self._whole([".", ","]), strict=True))}
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
+
+    def _plain(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of plain words, encoded together: each is one stretch of letters and so ends at its first token that ends a word."""
+        out = {}
+        parts = [words[i : i + 1000] for i in range(0, len(words), 1000)]
+        for part, e in zip(parts, self.words.encode_batch([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            own, at = ids.tobytes(), 0
+            for word, end in zip(part, (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), strict=True):
+                out[word] = own[at:end]
+                at = end
+        return out
+
+    def _learn(self, chunks: list[str]) -> None:
+        split = [PLAIN(c) for c in chunks]
+        words = self._plain(list({m[1].lower() for m in split if m}))
+        other = [c for c, m in zip(chunks, split, strict=True) if not m]
+        self.known.update(zip(other, self._whole(other), strict=True))
+        for chunk, m in zip(chunks, split, strict=True):
+            if m:
+                self.known[chunk] = words[m[1].lower()] + self.stops[m[2]]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, and where each text begins and the last ends."""
+        # the vocabulary's rules drop white space, and no token crosses it
+        chunks = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = chunks.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        found = list(map(self.known.get, distinct))
+        fresh = [c for c, ids in zip(distinct, found, strict=True) if ids is None]
+        if fresh:
+            room = max(0, CACHE - len(self.known))
+            self._learn(fresh)
+            found = list(map(self.known.__getitem__, distinct))
+            for c in fresh[room:]:
+                del self.known[c]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        firsts = np.cumsum(lengths) - lengths
+        codes = coded.indices.to_numpy()
+        own = lengths[codes]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(firsts[codes] - ends[:-1], own) + np.arange(ends[-1])]
+        offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(chunks), 0).to_numpy(zero_copy_only=False))])
+        return ids, ends[offsets]
 
 
 @functools.lru_cache(maxsize=1)
@@ -67,30 +117,38 @@ def chunk_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+def in_parts(batch: pa.RecordBatch, column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about so many bytes of text each: texts may be very long."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) // most
+    starts = np.flatnonzero(np.diff(size, prepend=-1))
+    for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, and h, a hash that spreads the pieces."""
     end = np.array([end_id], "<u4").tobytes()
+    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "h"))])
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = chunk_encoder(tokenizer_path)
-        for b in batches:
-            letters = b["text"].str.len().fillna(0).cumsum() // 1_000_000
-            for _, part in b.groupby(letters.to_numpy(), sort=True):
+        for batch in batches:
+            for part in in_parts(batch, "text"):
+                ids, bounds = encoder.encode(part.column("text"))
                 rows = []
-                texts = part["text"].where(part["text"].notna(), None).tolist()
-                for doc, ids in zip(part["doc_id"], encoder.encode(texts), strict=True):
-                    ids += end
-                    n = len(ids) // 4
+                for doc, a, b in zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    n = b - a + 1
                     for start in range(0, n, size):
-                        own = ids[4 * start : 4 * (start + size)]
-                        crc = zlib.crc32(own)
-                        rows.append((doc, start, len(own) // 4, crc, n, zlib.crc32(repr((doc, start, len(rows))).encode(), crc)))
-                out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "h"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+                        length = min(size, n - start)
+                        crc = zlib.crc32(ids[a + start : min(a + start + length, b)])
+                        if start + length == n:
+                            crc = zlib.crc32(end, crc)
+                        rows.append((doc, start, length, crc, n, zlib.crc32(repr((doc, start, len(rows))).encode(), crc)))
+                columns = zip(*rows, strict=True) if rows else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
     own = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-    return own.mapInPandas(cut, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, h bigint")
+    return own.mapInArrow(cut, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, h bigint")
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from prismark.llm.brown_lm import op9_brown_lm
 from prismark.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from prismark.llm.hamming_search import OP8_SQL, op8_hamming_topk
 from prismark.llm.license_scan import OP5_SQL, op5_license_scan
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_warc_revisits": op6_warc_revisits,
     "op7_trie_bpe": op7_trie_bpe,
     "op8_hamming_topk": op8_hamming_topk,
+    "op9_brown_lm": op9_brown_lm,
     "op10_toxicity": op10_toxicity,
 }
 

@@ -1,6 +1,580 @@
-"""Every query of the engine with the SQL that must agree with it."""
+"""Every query of the engine with the SQL that must agree with it.
+
+Queries run over whole tables. A search takes as queries the rows whose id 20 divides, against all rows.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prismark.functions import colors, hashes, paths, quantize, vectors
+from prismark.operators import align, cache, evaluation, lsh, ring, search, statistics
+from prismark.plans.storage import scratch
+from prismark.sources import images
+from prismark.streaming.ingest import LiveIndex
+
+K, DIM = 10, 64
+CONFIG = lsh.LSHConfig(num_tables=4, hash_width=6, num_nodes=4)
+CONFIGS = [(2, 150), (4, 150), (8, 150), (4, 10), (4, 50), (4, 5)]
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings")
+
+
+def asking(rows: DataFrame) -> DataFrame:
+    return rows.where("vec_id % 20 = 0")
+
+
+def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings(spark, sf_dir).select(F.col("vec_id").alias("image_id"))
+
+
+def labels(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("vec_id").alias("image_id"), "label")
+
+
+def elements(df: DataFrame, column: str, value: str, digits: int | None = 6) -> DataFrame:
+    """One row an element: all other columns, pos from 0, value."""
+    out = df.select(*[c for c in df.columns if c != column], F.posexplode(column).alias("pos", value))
+    return out if digits is None else out.withColumn(value, F.round(value, digits))
+
+
+def results(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("query_id", F.col("rank").cast("bigint").alias("rank"), "image_id", "score", *more)
+
+
+# ---- SQL pieces -------------------------------------------------------------------------------------------------
+
+def _dot(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
+
+
+def _norm(a: str) -> str:
+    return f"sqrt(list_sum(list_transform({a}, lambda x: x::DOUBLE * x::DOUBLE)))"
+
+
+def _cosine(a: str, b: str) -> str:
+    return f"coalesce({_dot(a, b)} / nullif({_norm(a)} * {_norm(b)}, 0), 0)"
+
+
+def _neg_l2(a: str, b: str) -> str:
+    return f"-sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))))"
+
+
+def _unit(a: str) -> str:
+    return f"list_transform({a}, lambda x: x::DOUBLE / greatest({_norm(a)}, 1e-12))"
+
+
+def _exact(score: str, where: str = "q.vec_id <> r.vec_id") -> str:
+    return f"""SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_id) AS rank, image_id, score FROM (
+        SELECT q.vec_id AS query_id, r.vec_id AS image_id, round({score}, 6) AS score FROM embeddings q, embeddings r WHERE q.vec_id % 20 = 0 AND {where})) WHERE rank <= {K}"""
+
+
+EXACT_COSINE = _exact(_cosine("q.embedding", "r.embedding"))
+EXACT_WITH_SELF = _exact(_cosine("q.embedding", "r.embedding"), "true")
+
+
+def _ring(name: str, nodes: int, virtual: int) -> str:
+    """CTEs: positions and intervals of a ring."""
+    return f"""{name}_p AS (SELECT ('0x' || substr(md5('node_' || n || '_vnode_' || v), 25, 8))::BIGINT AS pos, max(n)::INT AS node_id FROM range({nodes}) a(n), range({virtual}) b(v) GROUP BY 1),
+    {name} AS (SELECT coalesce(lag(pos) OVER (ORDER BY pos), -1) AS lo, pos AS hi, node_id FROM {name}_p
+        UNION ALL SELECT max(pos), 4294967296, arg_min(node_id, pos) FROM {name}_p)"""
+
+
+def _assigned(name: str, ring_name: str) -> str:
+    return f"""{name} AS (SELECT e.vec_id AS image_id, r.node_id FROM (SELECT vec_id, ('0x' || substr(md5(vec_id::VARCHAR), 25, 8))::BIGINT AS h FROM embeddings) e
+        JOIN {ring_name} r ON r.lo < e.h AND e.h <= r.hi)"""
+
+
+def _planes(tables: int, width: int) -> str:
+    rows = [f"({t}, {b}, [{', '.join(repr(float(x)) for x in lsh.projection(DIM, t, b))}]::DOUBLE[])" for t in range(tables) for b in range(width)]
+    return f"planes(table_id, bit, p) AS (VALUES {', '.join(rows)})"
+
+
+def _codes(tables: int = CONFIG.num_tables, width: int = CONFIG.hash_width, nodes: int = CONFIG.num_nodes) -> str:
+    """CTEs: codes (image_id, table_id, bucket, node_id) and cand (query_id, image_id, node_id)."""
+    return f"""{_planes(tables, width)},
+    codes AS (SELECT vec_id AS image_id, table_id::INT AS table_id, sum(CASE WHEN {_dot("embedding", "p")} >= 0 THEN (1 << ({width} - 1 - bit)) ELSE 0 END)::BIGINT AS bucket,
+        (vec_id % {nodes})::INT AS node_id FROM embeddings, planes GROUP BY vec_id, table_id),
+    cand AS (SELECT q.image_id AS query_id, r.image_id, min(r.node_id) AS node_id FROM codes q JOIN codes r USING (table_id, bucket) WHERE q.image_id % 20 = 0 GROUP BY 1, 2)"""
+
+
+def _reranked(score: str) -> str:
+    return f"""scored AS (SELECT c.query_id, c.image_id, c.node_id, round({score}, 6) AS score FROM cand c
+        JOIN embeddings q ON q.vec_id = c.query_id JOIN embeddings r ON r.vec_id = c.image_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_id) AS rank FROM scored)"""
+
+
+# ---- vectors ----------------------------------------------------------------------------------------------------
+
+@query(EXACT_COSINE)
+def exact_topk_cosine(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    return results(search.exact_topk(e, asking(e), K, "cosine", exclude_self=True, digits=6))
+
+
+@query(_exact(_neg_l2("q.embedding", "r.embedding")))
+def exact_topk_l2(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    return results(search.exact_topk(e, asking(e), K, "l2", exclude_self=True, digits=6))
+
+
+@query(f"SELECT x.*, coalesce(p.url, 'N/A') AS image_path FROM ({EXACT_COSINE}) x LEFT JOIN pages p ON p.page_id = x.image_id")
+def topk_with_paths(spark, sf_dir):
+    found = exact_topk_cosine(spark, sf_dir)
+    return search.with_paths(found, table(spark, sf_dir, "pages").select(F.col("page_id").alias("image_id"), F.col("url").alias("image_path"))).select("query_id", "rank", "image_id", "score", "image_path")
+
+
+@query(f"SELECT vec_id, i - 1 AS pos, round(u[i], 6) AS value FROM (SELECT vec_id, {_unit('embedding')} AS u FROM embeddings), range(1, {DIM + 1}) t(i)")
+def l2_normalize(spark, sf_dir):
+    e = embeddings(spark, sf_dir).select("vec_id", vectors.l2_normalize(F.col("embedding")).alias("u"))
+    return elements(e, "u", "value").withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query(f"""SELECT vec_id, round({_cosine("embedding", "list_reverse(embedding)")}, 6) AS cosine, round({_dot("embedding", "list_reverse(embedding)")}, 6) AS dot,
+    round({_neg_l2("embedding", "list_reverse(embedding)")}, 6) AS neg_l2 FROM embeddings""")
+def pair_scores(spark, sf_dir):
+    a, b = F.col("embedding"), F.reverse("embedding")
+    return embeddings(spark, sf_dir).select("vec_id", *[F.round(f(a, b), 6).alias(n) for n, f in (("cosine", vectors.cosine), ("dot", vectors.dot), ("neg_l2", vectors.neg_l2))])
+
+
+@query(f"""WITH h AS (SELECT vec_id, embedding[1:32] AS a, embedding[33:64] AS b FROM embeddings),
+    f AS (SELECT vec_id, list_concat({_unit("a")}, {_unit("b")}) AS u FROM h)
+    SELECT vec_id, i - 1 AS pos, round(u[i], 6) AS value, round({_norm("u")}, 6) AS norm FROM f, range(1, {DIM + 1}) t(i)""")
+def fuse_modalities(spark, sf_dir):
+    e = embeddings(spark, sf_dir).select("vec_id", vectors.fuse(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)).alias("u"))
+    e = e.withColumn("norm", F.round(vectors.norm(F.col("u")), 6))
+    return elements(e, "u", "value").withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query(f"SELECT label, i - 1 AS pos, round(avg(embedding[i]::DOUBLE), 6) AS value FROM embeddings, range(1, {DIM + 1}) t(i) GROUP BY label, i")
+def mean_pooling(spark, sf_dir):
+    e = embeddings(spark, sf_dir).select("label", F.posexplode("embedding").alias("pos", "x"))
+    return e.groupBy("label", F.col("pos").cast("bigint").alias("pos")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("value"))
+
+
+# ---- paths, alignment, counts -----------------------------------------------------------------------------------
+
+_SEGMENTS = "string_split(replace(url, chr(92), '/'), '/')"
+
+
+@query(f"""SELECT page_id, CASE WHEN url IS NULL OR trim(url) = '' THEN 'invalid_path' ELSE {_SEGMENTS}[-1] END AS file_key,
+    CASE WHEN url IS NULL OR trim(url) = '' THEN 'invalid' ELSE array_to_string({_SEGMENTS}[-2:], '/') END AS folder_key,
+    CASE WHEN len({_SEGMENTS}) >= 2 THEN {_SEGMENTS}[-2] ELSE 'root' END AS category, {_SEGMENTS}[1] AS first_segment,
+    contains(url, '.') AND lower(string_split(url, '.')[-1]) IN ('jpg', 'jpeg', 'png', 'bmp', 'webp') AS is_image FROM pages""")
+def path_keys(spark, sf_dir):
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", paths.file_key(u).alias("file_key"), paths.folder_key(u).alias("folder_key"), paths.category(u).alias("category"), paths.first_segment(u).alias("first_segment"), paths.has_extension(u).alias("is_image"))
+
+
+@query("""SELECT d.source || '/' || d.doc_id || '.jpg' AS image_id, substr(md5(d.text), 1, 16) AS ahash, d.doc_id AS trad_row_index, l.doc_id * 2 AS deep_row_index
+    FROM documents d JOIN labels l USING (doc_id)""")
+def align_three_way(spark, sf_dir):
+    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    name = F.concat("source", F.lit("/"), F.col("doc_id"), F.lit(".jpg"))
+    h = align.keyed(d.select(name.alias("path"), F.substring(F.md5(F.col("text").cast("binary")), 1, 16).alias("ahash")), "path")
+    t = align.keyed(d.select(F.concat(F.lit("C:\\data\\"), F.replace(name, F.lit("/"), F.lit("\\"))).alias("path"), F.col("doc_id").alias("trad_row_index")), "path")
+    deep = align.keyed(d.join(l, "doc_id").select(F.concat(F.lit("/mnt/"), name).alias("path"), (F.col("doc_id") * 2).alias("deep_row_index")), "path")
+    return align.align_three_way(*[x.drop("path") for x in (h, t, deep)]).select("image_id", "ahash", "trad_row_index", "deep_row_index")
+
+
+@query(f"""SELECT image_id, page_id FROM (SELECT {_SEGMENTS}[-1] AS image_id, page_id, row_number() OVER (PARTITION BY {_SEGMENTS}[-1] ORDER BY page_id) AS r
+    FROM pages WHERE url IS NOT NULL AND trim(url) <> '') WHERE r = 1""")
+def dedup_first(spark, sf_dir):
+    return align.first_of_key(align.keyed(table(spark, sf_dir, "pages"), "url", "file"), "page_id").select("image_id", "page_id")
+
+
+@query(f"SELECT CASE WHEN len({_SEGMENTS}) >= 2 THEN {_SEGMENTS}[-2] ELSE 'root' END AS category, count(*) AS images FROM pages GROUP BY 1")
+def category_counts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy(paths.category(F.col("url")).alias("category")).agg(F.count(F.lit(1)).alias("images"))
+
+
+@query("SELECT count(*) FILTER (n_chars >= 100) AS loaded, count(*) FILTER (n_chars < 100) AS failed FROM documents")
+def load_quality(spark, sf_dir):
+    return images.load_quality(table(spark, sf_dir, "documents").select(F.when(F.col("n_chars") < 100, "too short").alias("error")))
+
+
+@query("SELECT vec_id, md5(vec_id::VARCHAR) AS place FROM embeddings ORDER BY md5(vec_id::VARCHAR) LIMIT 50")
+def stable_sample(spark, sf_dir):
+    place = F.md5(F.col("vec_id").cast("string").cast("binary")).alias("place")
+    return embeddings(spark, sf_dir).select("vec_id", place).orderBy("place").limit(50)
+
+
+# ---- ring -------------------------------------------------------------------------------------------------------
+
+@query(f"WITH {_ring('ring', 4, 150)} SELECT pos, node_id FROM ring_p")
+def ring_positions(spark, sf_dir):
+    return ring.positions(spark, 4, 150)
+
+
+@query(f"WITH {_ring('ring', 4, 150)}, {_assigned('a', 'ring')} SELECT image_id, node_id FROM a")
+def ring_assign(spark, sf_dir):
+    return ring.assign(ids(spark, sf_dir), ring.positions(spark, 4, 150))
+
+
+@query(f"""WITH {_ring('ring', 4, 150)}, {_assigned('a', 'ring')}
+    SELECT a.image_id, CASE WHEN e.label = 3 THEN 0 ELSE a.node_id END AS node_id FROM a JOIN embeddings e ON e.vec_id = a.image_id""")
+def ring_assign_overrides(spark, sf_dir):
+    o = embeddings(spark, sf_dir).where("label = 3").select(F.col("vec_id").alias("image_id"), F.lit(0).alias("node_id"))
+    return ring.assign(ids(spark, sf_dir), ring.positions(spark, 4, 150), overrides=o)
+
+
+@query("SELECT vec_id AS image_id, (vec_id % 4)::INT AS node_id FROM embeddings")
+def modulo_assign(spark, sf_dir):
+    return ring.assign_modulo(ids(spark, sf_dir))
+
+
+_SIZES = "sizes AS (SELECT n.n::INT AS node_id, count(a.image_id) AS size FROM range(4) n(n) LEFT JOIN a ON a.node_id = n.n GROUP BY 1)"
+
+
+@query(f"WITH {_ring('ring', 4, 150)}, {_assigned('a', 'ring')}, {_SIZES} SELECT node_id, size, round(size * 100.0::DOUBLE / sum(size) OVER (), 6) AS percent FROM sizes")
+def partition_summary(spark, sf_dir):
+    return ring.summary(ring_assign(spark, sf_dir), 4).withColumn("percent", F.round("percent", 6))
+
+
+@query(f"""WITH {_ring('ring', 4, 5)}, {_assigned('a', 'ring')}, {_SIZES}, d AS (SELECT *, (size - avg(size) OVER ()) / avg(size) OVER () AS diff FROM sizes)
+    SELECT node_id, size, round(diff, 6) AS diff, CASE WHEN diff > 0.15 THEN 'OVERLOADED' WHEN diff < -0.15 THEN 'UNDERLOADED' ELSE 'OK' END AS status FROM d""")
+def skew_status(spark, sf_dir):
+    a = ring.assign(ids(spark, sf_dir), ring.positions(spark, 4, 5))
+    return ring.skew_status(ring.summary(a, 4).drop("percent")).withColumn("diff", F.round("diff", 6))
+
+
+_SWEEP = ", ".join(f"{_ring(f'r{i}', n, v)}, {_assigned(f'a{i}', f'r{i}')}" for i, (n, v) in enumerate(CONFIGS))
+_SWEEP_SIZES = " UNION ALL ".join(f"SELECT {n} AS nodes, {v} AS virtual_nodes, n.n AS node_id, count(a.image_id) AS size FROM range({n}) n(n) LEFT JOIN a{i} a ON a.node_id = n.n GROUP BY n.n" for i, (n, v) in enumerate(CONFIGS))
+
+
+@query(f"""WITH {_SWEEP}, s AS ({_SWEEP_SIZES}), d AS (SELECT *, avg(size) OVER (PARTITION BY nodes, virtual_nodes) AS m FROM s)
+    SELECT nodes, virtual_nodes, round(max(abs((size - m) / m) * 100), 6) AS max_skew_percent FROM d GROUP BY nodes, virtual_nodes""")
+def skew_sweep(spark, sf_dir):
+    s = ring.sweep(ids(spark, sf_dir), CONFIGS)
+    return ring.max_skew_percent(s, ["nodes", "virtual_nodes"]).withColumn("max_skew_percent", F.round("max_skew_percent", 6))
+
+
+def _rebalanced(spark, sf_dir) -> DataFrame:
+    a = ring.assign(ids(spark, sf_dir), ring.positions(spark, 4, 5))
+    return ring.rebalance(a, 4)[0].select("image_id", "node_id", "moved_from")
+
+
+# Moves for the 500 ids of the small tables, as the counts give them: origin, first and last rank, new node.
+_MOVES = [(0, 0, 86, 1), (0, 87, 128, 2), (0, 129, 154, 3), (1, 0, 32, 0), (1, 33, 49, 3)]
+
+
+@query(f"""WITH {_ring('ring', 4, 5)}, {_assigned('a', 'ring')}, o AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY image_id) - 1 AS r FROM a),
+    m(origin, first, last, dest) AS (VALUES {", ".join(map(str, _MOVES))})
+    SELECT o.image_id, coalesce(m.dest, o.node_id)::INT AS node_id, CASE WHEN m.dest IS NOT NULL THEN o.node_id ELSE -1 END AS moved_from
+    FROM o LEFT JOIN m ON m.origin = o.node_id AND o.r BETWEEN m.first AND m.last""")
+def rebalance_assign(spark, sf_dir):
+    return _rebalanced(spark, sf_dir).withColumn("moved_from", F.coalesce("moved_from", F.lit(-1)))
+
+
+@query(f"SELECT count(*) AS checked, {sum(b - a + 1 for _, a, b, _ in _MOVES)}::BIGINT AS moved, true AS in_sync FROM embeddings")
+def rebalance_in_sync(spark, sf_dir):
+    return ring.in_sync(_rebalanced(spark, sf_dir), ring.positions(spark, 4, 5))
+
+
+# ---- LSH --------------------------------------------------------------------------------------------------------
+
+def _postings(spark, sf_dir) -> DataFrame:
+    return lsh.build_index(embeddings(spark, sf_dir), CONFIG, DIM)
+
+
+def _candidates(spark, sf_dir) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    return lsh.probe(_postings(spark, sf_dir), lsh.codes(asking(e), CONFIG, DIM))
+
+
+@query(f"WITH {_codes()} SELECT image_id, table_id, bucket FROM codes")
+def lsh_codes(spark, sf_dir):
+    return lsh.codes(embeddings(spark, sf_dir), CONFIG, DIM)
+
+
+@query(f"WITH {_codes()} SELECT image_id, bucket FROM codes WHERE table_id = 1")
+def lsh_codes_in_jvm(spark, sf_dir):
+    return embeddings(spark, sf_dir).select(F.col("vec_id").alias("image_id"), lsh.code_expression(F.col("embedding"), 1, CONFIG, DIM).alias("bucket"))
+
+
+@query(f"WITH {_codes()} SELECT table_id, count(DISTINCT bucket) AS buckets, round(count(DISTINCT image_id)::DOUBLE / count(DISTINCT bucket), 6) AS avg_bucket_size FROM codes GROUP BY table_id")
+def lsh_bucket_summary(spark, sf_dir):
+    return lsh.bucket_summary(_postings(spark, sf_dir)).withColumn("avg_bucket_size", F.round("avg_bucket_size", 6))
+
+
+@query(f"WITH {_codes()} SELECT query_id, image_id, node_id FROM cand")
+def lsh_candidates(spark, sf_dir):
+    return _candidates(spark, sf_dir)
+
+
+@query(f"WITH {_codes()} SELECT query_id, node_id, count(*) AS candidates FROM cand GROUP BY 1, 2")
+def lsh_candidates_per_node(spark, sf_dir):
+    return _candidates(spark, sf_dir).groupBy("query_id", "node_id").agg(F.count(F.lit(1)).alias("candidates"))
+
+
+@query(f"WITH {_codes()}, {_reranked(_cosine('q.embedding', 'r.embedding'))} SELECT query_id, rank, image_id, score, node_id FROM ranked WHERE rank <= {K}")
+def lsh_topk_cosine(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    return results(lsh.search_index(_postings(spark, sf_dir), e, asking(e), CONFIG, DIM, K, digits=6), "node_id")
+
+
+@query(f"WITH {_codes()}, {_reranked(_neg_l2('q.embedding', 'r.embedding'))} SELECT query_id, rank, image_id, score, node_id FROM ranked WHERE rank <= {K}")
+def lsh_topk_l2(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    return results(lsh.search_index(_postings(spark, sf_dir), e, asking(e), CONFIG, DIM, K, "l2", digits=6), "node_id")
+
+
+# ---- evaluation -------------------------------------------------------------------------------------------------
+
+@query(f"""WITH t AS ({EXACT_COSINE}), c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
+    h AS (SELECT q.vec_id AS query_id, q.label, count(*) FILTER (r.label = q.label) AS hits FROM embeddings q LEFT JOIN t ON t.query_id = q.vec_id AND t.rank <= 5
+        LEFT JOIN embeddings r ON r.vec_id = t.image_id WHERE q.vec_id % 20 = 0 GROUP BY 1, 2),
+    p AS (SELECT hits / 5.0::DOUBLE AS precision, CASE WHEN n > 1 THEN hits::DOUBLE / (n - 1) ELSE 0 END AS recall FROM h JOIN c USING (label))
+    SELECT count(*) AS queries, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall FROM p""")
+def baseline_precision_recall(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    found = search.exact_topk(e, asking(e), K, exclude_self=True, digits=6)
+    scores = evaluation.precision_recall(found, labels(e), asking(e).select(F.col("vec_id").alias("query_id")), 5)
+    return evaluation.macro_average(scores).select("queries", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query(f"""WITH {_codes()}, t AS ({EXACT_WITH_SELF}), n AS (SELECT query_id, count(*) AS candidates FROM cand GROUP BY 1),
+    h AS (SELECT c.query_id, count(*) AS hits FROM cand c JOIN t USING (query_id, image_id) GROUP BY 1)
+    SELECT e.vec_id AS query_id, coalesce(candidates, 0) AS candidates, round(coalesce(hits, 0) / {K}.0::DOUBLE, 6) AS recall FROM embeddings e
+    LEFT JOIN n ON n.query_id = e.vec_id LEFT JOIN h ON h.query_id = e.vec_id WHERE e.vec_id % 20 = 0""")
+def ann_recall(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    truth = search.exact_topk(e, asking(e), K, digits=6)
+    return evaluation.ann_recall(_candidates(spark, sf_dir), truth, asking(e).select(F.col("vec_id").alias("query_id")), K).withColumn("recall", F.round("recall", 6))
+
+
+def _grid(spark, sf_dir) -> DataFrame:
+    """Candidates of each (num_tables, hash_width), all from one index of the largest."""
+    e = embeddings(spark, sf_dir)
+    posts, asked = _postings(spark, sf_dir), lsh.codes(asking(e), CONFIG, DIM).select(F.col("image_id").alias("query_id"), "table_id", F.col("bucket").alias("qb"))
+    found = None
+    for width in (2, 4, 6):
+        own = lsh.prefix(posts, CONFIG.hash_width, width).join(asked.withColumn("bucket", F.shiftright("qb", CONFIG.hash_width - width)), ["table_id", "bucket"])
+        first = own.groupBy("query_id", "image_id").agg(F.min("table_id").alias("first_table")).withColumn("hash_width", F.lit(width))
+        found = first if found is None else found.unionByName(first)
+    sizes = F.explode(F.array(*[F.lit(t) for t in (1, 2, 4)]))
+    return found.withColumn("num_tables", sizes).where("first_table < num_tables").select("num_tables", "hash_width", "query_id", "image_id")
+
+
+def _grid_sql() -> str:
+    return f"""{_codes()}, t AS ({EXACT_WITH_SELF}), w(hash_width) AS (VALUES (2), (4), (6)), n(num_tables) AS (VALUES (1), (2), (4)),
+    g AS (SELECT DISTINCT num_tables, hash_width, q.image_id AS query_id, r.image_id FROM codes q JOIN codes r USING (table_id), w, n
+        WHERE q.image_id % 20 = 0 AND table_id < num_tables AND (q.bucket >> (6 - hash_width)) = (r.bucket >> (6 - hash_width))),
+    per AS (SELECT num_tables, hash_width, g.query_id, count(*) AS candidates, count(t.image_id) / {K}.0::DOUBLE AS recall FROM g LEFT JOIN t USING (query_id, image_id) GROUP BY 1, 2, 3),
+    grid AS (SELECT num_tables, hash_width, round(avg(candidates), 6) AS avg_candidates, round(avg(recall), 6) AS avg_recall FROM per GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_grid_sql()} SELECT * FROM grid")
+def lsh_grid(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    truth = search.exact_topk(e, asking(e), K, digits=6)
+    per = evaluation.ann_recall(_grid(spark, sf_dir), truth, asking(e).select(F.col("vec_id").alias("query_id")), K, ["num_tables", "hash_width"])
+    return per.groupBy("num_tables", "hash_width").agg(F.round(F.avg("candidates"), 6).alias("avg_candidates"), F.round(F.avg("recall"), 6).alias("avg_recall"))
+
+
+@query(f"""WITH {_grid_sql()}, b AS (SELECT *, max(avg_recall) OVER (ORDER BY avg_candidates, avg_recall DESC, num_tables, hash_width ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM grid)
+    SELECT num_tables, hash_width, avg_candidates, avg_recall FROM b WHERE avg_recall > coalesce(best, -1)""")
+def pareto_frontier(spark, sf_dir):
+    return evaluation.pareto_frontier(lsh_grid(spark, sf_dir), "avg_candidates", "avg_recall", "num_tables", "hash_width")
+
+
+@query(f"""WITH {_codes()}, n(num_tables) AS (VALUES (1), (2), (4)),
+    c AS (SELECT DISTINCT num_tables, q.image_id AS query_id, r.image_id FROM codes q JOIN codes r USING (table_id, bucket), n WHERE q.image_id % 20 = 0 AND table_id < num_tables),
+    s AS (SELECT c.*, round({_cosine("q.embedding", "r.embedding")}, 6) AS score FROM c JOIN embeddings q ON q.vec_id = query_id JOIN embeddings r ON r.vec_id = image_id),
+    k AS (SELECT *, row_number() OVER (PARTITION BY num_tables, query_id ORDER BY score DESC, image_id) AS rank FROM s),
+    l AS (SELECT *, row_number() OVER (PARTITION BY num_tables, query_id ORDER BY rank) AS again FROM k WHERE rank <= 5 AND query_id <> image_id),
+    h AS (SELECT num_tables, query_id, count(*) FILTER (a.label = b.label) AS hits FROM l JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = image_id WHERE again <= 4 GROUP BY 1, 2),
+    e AS (SELECT num_tables, vec_id AS query_id FROM n, embeddings WHERE vec_id % 20 = 0), answered AS (SELECT DISTINCT num_tables, query_id FROM c)
+    SELECT num_tables, round(avg(coalesce(hits, 0) / 4.0::DOUBLE), 6) AS precision_at_4_of_5, count(answered.query_id) AS with_results
+    FROM e LEFT JOIN h USING (num_tables, query_id) LEFT JOIN answered USING (num_tables, query_id) GROUP BY num_tables""")
+def tradeoff_precision(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    own = _grid(spark, sf_dir).where(F.col("hash_width") == CONFIG.hash_width).drop("hash_width")
+    parts = [search.rerank(own.where(F.col("num_tables") == t), e, asking(e), k=5, digits=6) for t in (1, 2, 4)]
+    ranked = parts[0].unionByName(parts[1]).unionByName(parts[2]).select("num_tables", "query_id", "image_id", "rank")
+    out = evaluation.tradeoff_precision(ranked, labels(e), asking(e).select(F.col("vec_id").alias("query_id")), "num_tables")
+    return out.withColumn("precision_at_4_of_5", F.round("precision_at_4_of_5", 6))
+
+
+@query(f"""WITH {_codes()}, t AS ({EXACT_WITH_SELF}), k(k) AS (VALUES (10), (25), (50), (100)),
+    p AS (SELECT query_id, image_id, row_number() OVER (PARTITION BY query_id ORDER BY image_id) AS position FROM cand),
+    r AS (SELECT k, p.query_id, count(*) AS n, count(t.image_id) / {K}.0::DOUBLE AS recall FROM k JOIN p ON position <= k LEFT JOIN t USING (query_id, image_id) GROUP BY 1, 2)
+    SELECT k, count(*) AS queries, sum(n)::BIGINT AS candidates, round(avg(recall), 6) AS avg_recall FROM r GROUP BY k""")
+def candidate_tuner(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    e = embeddings(spark, sf_dir)
+    position = F.row_number().over(W.partitionBy("query_id").orderBy("image_id"))
+    found = _candidates(spark, sf_dir).select("query_id", "image_id", position.alias("position"))
+    truth = search.exact_topk(e, asking(e), K, digits=6)
+    return evaluation.tune_candidates(found, e, asking(e), truth, [10, 25, 50, 100], digits=6).withColumn("avg_recall", F.round("avg_recall", 6))
+
+
+# ---- quantisation -----------------------------------------------------------------------------------------------
+
+_RANGE = "r AS (SELECT min(list_min(embedding))::DOUBLE AS mn, max(list_max(embedding))::DOUBLE AS mx FROM embeddings)"
+_CODE = "list_transform(embedding, lambda x: floor(greatest(0, least(1, (x::DOUBLE - mn) / (mx - mn))) * 255))"
+
+
+@query(f"WITH {_RANGE} SELECT vec_id, i - 1 AS pos, u[i]::SMALLINT AS code FROM (SELECT vec_id, {_CODE} AS u FROM embeddings, r), range(1, {DIM + 1}) t(i)")
+def quantize_vectors(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    codes = e.select("vec_id", quantize.Quantizer.fit(e).compress(F.col("embedding")).alias("u"))
+    return elements(codes, "u", "code", None).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query(f"""WITH {_RANGE}, c AS (SELECT vec_id, embedding, mn, mx, {_CODE} AS u FROM embeddings, r), d AS (SELECT vec_id, embedding, list_transform(u, lambda c: c / 255 * (mx - mn) + mn) AS back FROM c)
+    SELECT vec_id, round({_cosine("embedding", "back")}, 6) AS roundtrip_cosine FROM d""")
+def quantize_roundtrip(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    return e.select("vec_id", F.round(quantize.Quantizer.fit(e).roundtrip_cosine(F.col("embedding")), 6).alias("roundtrip_cosine"))
+
+
+@query("""WITH b AS (SELECT avg(4 * len(embedding)) AS full_bytes, avg(len(embedding)) AS code_bytes FROM embeddings)
+    SELECT round(full_bytes, 6) AS full_bytes, round(code_bytes, 6) AS code_bytes, round(full_bytes / code_bytes, 6) AS ratio, round(full_bytes / 13107.2, 6) AS full_ms, round(code_bytes / 13107.2, 6) AS code_ms FROM b""")
+def payload_accounting(spark, sf_dir):
+    n = F.size("embedding")
+    b = embeddings(spark, sf_dir).agg(F.avg(n * 4).alias("full_bytes"), F.avg(n).alias("code_bytes"))
+    return b.select(*[F.round(c, 6).alias(a) for a, c in (
+        ("full_bytes", F.col("full_bytes")), ("code_bytes", F.col("code_bytes")), ("ratio", F.col("full_bytes") / F.col("code_bytes")),
+        ("full_ms", quantize.transfer_ms(F.col("full_bytes"))), ("code_ms", quantize.transfer_ms(F.col("code_bytes"))),
+    )])
+
+
+# ---- perceptual hashes ------------------------------------------------------------------------------------------
+
+_HEX = "array_to_string(list_transform(range(16), lambda i: substr('0123456789abcdef', 1 + 8 * {b}[4 * i + 1] + 4 * {b}[4 * i + 2] + 2 * {b}[4 * i + 3] + {b}[4 * i + 4], 1)), '')"
+_ABITS = "SELECT vec_id, list_transform(embedding, lambda x: (x::DOUBLE > list_sum(list_transform(embedding, lambda y: y::DOUBLE)) / 64)::INT) AS b FROM embeddings"
+_DBITS = "SELECT vec_id, list_transform(range(64), lambda i: (embedding[(i // 8) * 8 + (i + 1) % 8 + 1] > embedding[i + 1])::INT) AS b FROM embeddings"
+
+
+@query(f"SELECT vec_id, {_HEX.format(b='b')} AS hash FROM ({_ABITS})")
+def ahash8(spark, sf_dir):
+    return embeddings(spark, sf_dir).select("vec_id", hashes.average_hash(F.col("embedding")).alias("hash"))
+
+
+@query(f"SELECT vec_id, {_HEX.format(b='b')} AS hash FROM ({_DBITS})")
+def dhash8(spark, sf_dir):
+    return embeddings(spark, sf_dir).select("vec_id", hashes.difference_hash(F.col("embedding")).alias("hash"))
+
+
+@query(f"""SELECT a.vec_id, d, CASE WHEN d = 0 THEN 'identical' WHEN d < 10 THEN 'very similar' WHEN d <= 20 THEN 'somewhat similar' ELSE 'different' END AS class
+    FROM (SELECT x.vec_id, list_sum(list_transform(list_zip(x.b, y.b), lambda z: abs(z[1] - z[2])))::INT AS d FROM ({_ABITS}) x JOIN ({_DBITS}) y USING (vec_id)) a""")
+def hash_class(spark, sf_dir):
+    v = F.col("embedding")
+    own = embeddings(spark, sf_dir).select("vec_id", hashes.average_hash(v).alias("a"), hashes.difference_hash(v).alias("b"))
+    return own.select("vec_id", hashes.hamming(F.col("a"), F.col("b")).alias("d")).withColumn("class", hashes.distance_class(F.col("d")))
+
+
+@query(f"""WITH h AS ({_ABITS}), d AS (SELECT q.vec_id AS query_id, r.vec_id AS image_id, list_sum(list_transform(list_zip(q.b, r.b), lambda z: abs(z[1] - z[2])))::BIGINT AS hamming
+    FROM h q, h r WHERE q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hamming, image_id) AS rank FROM d)
+    SELECT query_id, rank, image_id, hamming, CASE WHEN hamming = 0 THEN 'identical' WHEN hamming < 10 THEN 'very similar' WHEN hamming <= 20 THEN 'somewhat similar' ELSE 'different' END AS class FROM k WHERE rank <= {K}""")
+def hamming_search(spark, sf_dir):
+    # with bits as -1 and 1, the product of two hashes is 64 less twice their distance
+    v = F.col("embedding")
+    digits = F.split(hashes.average_hash(v), "")
+    bits = F.flatten(F.transform(F.filter(digits, lambda c: c != ""), lambda c: F.transform(F.split(F.lpad(F.conv(c, 16, 2), 4, "0"), ""), lambda b: F.when(b == "1", 1.0).when(b == "0", -1.0))))
+    own = embeddings(spark, sf_dir).select("vec_id", F.filter(bits, lambda b: b.isNotNull()).alias("embedding"))
+    found = search.exact_topk(own, asking(own), K, "dot", exclude_self=True)
+    far = ((F.lit(64) - F.col("score")) / 2).cast("bigint")
+    return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "image_id", far.alias("hamming")).withColumn("class", hashes.distance_class(F.col("hamming")))
+
+
+@query("SELECT vec_id, 3::BIGINT AS runs, 1::BIGINT AS distinct_hashes FROM embeddings")
+def hash_determinism(spark, sf_dir):
+    runs = embeddings(spark, sf_dir).withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(3)))).select("vec_id", hashes.average_hash(F.col("embedding")).alias("h"))
+    return runs.groupBy("vec_id").agg(F.count(F.lit(1)).alias("runs"), F.count_distinct("h").alias("distinct_hashes"))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(least(255, greatest(0, (x::DOUBLE + 1) * 128)))::INT) AS p FROM embeddings),
+    b AS (SELECT vec_id, (p[3 * i + 1] // 32) * 64 + (p[3 * i + 2] // 32) * 8 + p[3 * i + 3] // 32 AS bin FROM v, range(21) t(i)),
+    c AS (SELECT vec_id, bin, count(*)::DOUBLE AS n FROM b GROUP BY 1, 2)
+    SELECT vec_id, bin, round(n / sqrt(sum(n * n) OVER (PARTITION BY vec_id)), 6) AS value FROM c""")
+def color_hist(spark, sf_dir):
+    """Reads a vector as 21 pixels of three values."""
+    byte = F.transform("embedding", lambda x: F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), (x.cast("double") + 1) * 128))).cast("int"))
+    own = embeddings(spark, sf_dir).select("vec_id", byte.alias("p"))
+    bins = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: colors.bgr_bin(F.get("p", i * 3), F.get("p", i * 3 + 1), F.get("p", i * 3 + 2)))
+    return own.select("vec_id", F.explode(colors.histogram(bins)).alias("h")).select("vec_id", F.col("h.bin").alias("bin"), F.round("h.value", 6).alias("value"))
+
+
+# ---- logs, cache, streaming -------------------------------------------------------------------------------------
+
+@query("""SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type""")
+def latency_percentiles_linear(spark, sf_dir):
+    p = statistics.percentiles(table(spark, sf_dir, "events"), "event_type", "value", [0.5, 0.95, 0.99])
+    return p.select("event_type", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
+
+
+@query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+    SELECT event_type, max(value) FILTER (r = least(floor(n * 0.5::DOUBLE), n - 1)) AS p50, max(value) FILTER (r = least(floor(n * 0.95::DOUBLE), n - 1)) AS p95,
+    max(value) FILTER (r = least(floor(n * 0.99::DOUBLE), n - 1)) AS p99 FROM r GROUP BY event_type""")
+def latency_percentiles_nearest(spark, sf_dir):
+    return statistics.percentiles(table(spark, sf_dir, "events"), "event_type", "value", [0.5, 0.95, 0.99], nearest_rank=True)
+
+
+@query("SELECT event_type, count(value) AS count, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max FROM events GROUP BY event_type")
+def latency_summary(spark, sf_dir):
+    return statistics.summary(table(spark, sf_dir, "events"), "event_type", "value").withColumn("mean", F.round("mean", 6))
+
+
+@query("""WITH t AS (SELECT event_type, count(*) AS count, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS seconds FROM events GROUP BY event_type)
+    SELECT event_type, count, round(seconds, 6) AS seconds, round(count / nullif(seconds, 0), 6) AS per_second FROM t""")
+def throughput(spark, sf_dir):
+    t = statistics.throughput(table(spark, sf_dir, "events"), "event_type", "ts")
+    return t.select("event_type", "count", F.round("seconds", 6).alias("seconds"), F.round("per_second", 6).alias("per_second"))
+
+
+_LRU = """a AS (SELECT event_id AS seq, user_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev, coalesce(lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id), 9223372036854775807) AS next FROM events),
+    d AS (SELECT a.seq, count(b.seq) AS between_ FROM a LEFT JOIN a b ON b.seq > a.prev AND b.seq < a.seq AND b.next >= a.seq WHERE a.prev IS NOT NULL GROUP BY a.seq),
+    h AS (SELECT a.seq, a.user_id::VARCHAR AS key, coalesce(between_ < 20, false) AS hit FROM a LEFT JOIN d USING (seq))"""
+
+
+@query(f"WITH {_LRU} SELECT * FROM h")
+def lru_replay(spark, sf_dir):
+    return cache.lru_replay(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("key")), 20)
+
+
+@query(f"WITH {_LRU} SELECT count(*) AS requests, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / count(*)::DOUBLE, 6) AS hit_rate FROM h")
+def lru_hit_rate(spark, sf_dir):
+    return cache.hit_rate(lru_replay(spark, sf_dir)).withColumn("hit_rate", F.round("hit_rate", 6))
+
+
+def _inserted(spark, sf_dir) -> LiveIndex:
+    """An index of the rows with labels below 5, into which the whole table is then inserted, with one vector cut short."""
+    e = embeddings(spark, sf_dir)
+    index = LiveIndex(spark, scratch(spark, "index"), CONFIG, DIM)
+    index.build(e.where("label < 5"))
+    short = F.when(F.col("label") == 9, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))
+    index.insert(e.select(F.col("vec_id").alias("image_id"), short.alias("features")), 0)
+    return index
+
+
+@query(f"WITH {_codes()} SELECT c.image_id, c.table_id, c.bucket, c.node_id FROM codes c JOIN embeddings e ON e.vec_id = c.image_id WHERE e.label < 9")
+def incremental_insert(spark, sf_dir):
+    return _inserted(spark, sf_dir).postings().select("image_id", "table_id", "bucket", "node_id")
+
+
+@query("SELECT vec_id AS image_id, CASE WHEN label = 9 THEN 63 ELSE 64 END::INT AS size, CASE WHEN label = 9 THEN 'dim_mismatch' ELSE 'duplicate_id' END AS outcome FROM embeddings WHERE label < 5 OR label = 9")
+def insert_rejects(spark, sf_dir):
+    return _inserted(spark, sf_dir).rejects()

@@ -32,7 +32,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def neg_l2(a: Column, b: Column) -> Column:
     """Negative Euclidean distance: higher is closer."""
-    return -F.sqrt(_sum(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))))
+    return F.lit(0.0) - F.sqrt(_sum(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))))
 
 
 def fuse(*modalities: Column) -> Column:

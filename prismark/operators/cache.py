@@ -14,7 +14,7 @@ from prismark.plans.storage import stored
 
 def cache_key(vector: Column, k: int, metric: str = "cosine", index_version: str = "") -> Column:
     """Key of a query: its vector to four digits, and all that the answer depends on."""
-    digits = F.array_join(F.transform(vector, lambda x: F.format_number(x.cast("double") + F.lit(0.0), "0.0000")), ",")
+    digits = F.array_join(F.transform(vector, lambda x: (F.round(x.cast("double"), 4) + F.lit(0.0)).cast("string")), ",")
     return F.md5(F.concat_ws("|", digits, F.lit(str(k)), F.lit(metric), F.lit(index_version)).cast("binary"))
 
 

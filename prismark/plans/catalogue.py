@@ -77,7 +77,7 @@ def _cosine(a: str, b: str) -> str:
 
 
 def _neg_l2(a: str, b: str) -> str:
-    return f"-sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))))"
+    return f"0 - sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))))"
 
 
 def _unit(a: str) -> str:

@@ -71,9 +71,9 @@ def grey(a: np.ndarray) -> np.ndarray:
 def hashes_of(a: np.ndarray) -> tuple[str, str, str]:
     """Average, difference and perceptual hash, 16 hex digits each."""
     g = grey(a.astype(float))
-    eight, nine, large = resized(g, 8, 8), resized(g, 8, 9), resized(g, 32, 32)
+    eight, nine, large = (np.round(resized(g, *size), 6) for size in ((8, 8), (8, 9), (32, 32)))  # equal areas stay equal
     pack = lambda bits: np.packbits(bits.ravel()).tobytes().hex()
-    return pack(eight > eight.mean()), pack(nine[:, 1:] > nine[:, :-1]), perceptual_hash_values(large)
+    return pack(eight > np.round(eight.mean(), 6)), pack(nine[:, 1:] > nine[:, :-1]), perceptual_hash_values(large)
 
 
 def hsv(a: np.ndarray) -> np.ndarray:

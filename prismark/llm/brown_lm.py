@@ -36,19 +36,13 @@ from pyspark.sql import functions as F
 from prismark.llm import common
 
 HEAD, LONGEST, ENDINGS, LETTERS = 131_072, 64, 8192, 4
-CORE, CLASSES, SWEEPS = 2048, 64, 12
+CORE, CLASSES, SWEEPS = 1024, 64, 12
+#: Bytes of a batch that are worked on together.
+PART = 8_000_000
 #: Words seen at most so often also speak for their ending, which unseen words share.
 RARE = 5
 
 
-def parts(batch: pa.RecordBatch, column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about so many bytes in a column each."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) // most
-    starts = np.flatnonzero(np.diff(size, prepend=-1))
-    for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
-        yield batch.slice(a, b - a)
-
-
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct words (binary), each token's number among them, and each token's row. A-Z is lower-cased; the six ASCII spaces divide."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
@@ -69,13 +63,21 @@ def _summed(df: DataFrame, columns: str, count: Callable[[pa.RecordBatch], tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, column):
+            for part in common.parts(batch, column, PART):
                 keys, n = count(part)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], schema=schema)
 
     return df.select(columns).mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def _collected(counts: DataFrame, size: int) -> np.ndarray:
+    """Counts by key as an array of the given, bounded size, on the driver."""
+    table, out = counts.toArrow(), np.zeros(size)
+    for batch in table.to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return out
+
+
 def _flat(part: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(part.column("ids").to_pylist()), np.int32)
 
@@ -86,7 +88,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, "text"):
+            for part in common.parts(batch, "text", PART):
                 words, codes, _ = tokens(part.column("text"))
                 n = np.bincount(codes, minlength=len(words))
                 some = pa.array(np.flatnonzero(n))
@@ -141,7 +143,7 @@ def encoded(texts: DataFrame, types: Types) -> DataFrame:
         known = {w: i for i, w in enumerate(sent.value)}
         head, key = len(known), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in parts(batch, "text"):
+            for part in common.parts(batch, "text", PART):
                 words, codes, rows = tokens(part.column("text"))
                 of = np.fromiter([known.get(w, -1) for w in words.to_pylist()], np.int64, len(words))
                 other = np.flatnonzero(of < 0)
@@ -231,11 +233,7 @@ def clustered(training: DataFrame, types: Types) -> np.ndarray:
         both = (at[:-1] >= 0) & (at[1:] >= 0)
         return np.unique(at[:-1][both] * size + at[1:][both], return_counts=True)
 
-    counted = _summed(training, "ids", pairs, "ids").toPandas()  # at most CORE * CORE rows
-    bigrams = np.zeros(size * size)
-    bigrams[counted["key"]] = counted["n"]
-    bigrams = bigrams.reshape(size, size)
-    del counted
+    bigrams = _collected(_summed(training, "ids", pairs, "ids"), size * size).reshape(size, size)  # at most CORE * CORE rows
     own = exchange(bigrams)
     k = int(own.max()) + 1
     member = np.zeros((size, k))
@@ -304,10 +302,7 @@ def fit(training: DataFrame, types: Types) -> Model:
         n = np.bincount(c[:-1] * k + c[1:], minlength=k * k)
         return np.flatnonzero(n), n[n > 0]
 
-    counted = _summed(training, "ids", steps, "ids").toPandas()  # at most CLASSES * CLASSES rows
-    t = np.zeros(k * k)
-    t[counted["key"]] = counted["n"]
-    t = t.reshape(k, k)
+    t = _collected(_summed(training, "ids", steps, "ids"), k * k).reshape(k, k)  # at most CLASSES * CLASSES rows
     own = np.bincount(of, types.counts, k)
     share = (own + 1) / (own.sum() + k)
     transitions = np.log10((t + k * share) / (t.sum(1) + k)[:, None])
@@ -329,7 +324,7 @@ def scored(codes: DataFrame, words: DataFrame, types: Types, model: Model) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = sent.value
         for batch in batches:
-            for part in parts(batch, "ids"):
+            for part in common.parts(batch, "ids", PART):
                 ids = _flat(part)
                 n = pc.binary_length(part.column("ids")).to_numpy(zero_copy_only=False) // 4
                 at = np.cumsum(n) - n

@@ -1,60 +1,24 @@
-"""What the operators of this subpackage share: the shared folder, row locators and table access."""
+"""What the operators of this subpackage share: tables, row locators, and memory of Python workers."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the cluster names none (tests on one machine) a folder is made here.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="prismark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder name under the shared root; it is removed when the driver ends."""
-    path = f"{shared_root(spark)}/prismark/{what}-{uuid.uuid4().hex[:12]}"
-    if not _made:
-        atexit.register(_clean)
-    _made.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch folder through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
+from prismark.plans.storage import remove, scratch, stored
 
-def _clean() -> None:
-    for spark, path in _made:
-        if spark.sparkContext._jsc is not None:
-            remove(spark, path)
+__all__ = ["ascii_lower", "located", "parts", "plain", "release", "remove", "scratch", "stored", "table", "worker_kept"]
 
-
-def stored(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
-    """Cuts lineage: writes df to the shared folder and reads it back, so a lost executor costs no recomputation."""
-    path = path or scratch(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def located(df: DataFrame, columns: list[Column]) -> DataFrame:
@@ -89,3 +53,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only; every other character stays as it is."""
     return F.translate(c, UPPER, LOWER)
+
+
+def parts(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about so many bytes in a column each: texts may be very long."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) // most
+    starts = np.flatnonzero(np.diff(size, prepend=-1))
+    for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
+
+
+_kept: dict[Any, Any] = {}
+
+
+def worker_kept(key: Any, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between its tasks. It keeps one thing: another key drops what was there, so operators that run one after another do not add up."""
+    if key not in _kept:
+        _kept.clear()
+        release()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Gives freed memory back, as idle workers live on beside the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

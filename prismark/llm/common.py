@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from prismark.plans.storage import remove, scratch, stored
 
-__all__ = ["ascii_lower", "located", "parts", "plain", "release", "remove", "scratch", "stored", "table", "worker_kept"]
+__all__ = ["ascii_lower", "at_locators", "located", "maybe_in", "parts", "plain", "release", "remove", "scratch", "small_batches", "stored", "table", "without", "worker_kept"]
 
+#: Bytes of an Arrow batch, about, and of the texts that Python works on together.
+BATCH_BYTES = 4_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,8 +39,14 @@ def located(df: DataFrame, columns: list[Column]) -> DataFrame:
         return kept.select(*[F.col(n).alias(f) for n, f in zip(names, fields, strict=True)], *at)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts may be very long: Arrow batches to Python are bounded by bytes, beside Spark's bound on their rows, for all that the session runs from here on."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def plain(df: DataFrame) -> DataFrame:
     """df itself if it is a plain Parquet scan, else a stored copy that is one."""
+    small_batches(df.sparkSession)
     try:
         df.select("_metadata.file_path")
         return df
@@ -46,7 +54,44 @@ def plain(df: DataFrame) -> DataFrame:
         return stored(df, "table")
 
 
+#: Bits of the filter below; it is sent to all tasks, 4 MB at most whatever the tables' sizes.
+FILTER_BITS, BUCKET_BITS = 1 << 25, 32_768
+
+
+def maybe_in(df: DataFrame, keys: list[str], wanted: DataFrame, wanted_keys: list[str]) -> DataFrame:
+    """df with ``__maybe``: false only where no row of wanted has the row's keys.
+
+    A bitmap of fixed size holds a hash of each wanted key. It spares a shuffle the rows that cannot
+    match; as it fills up it spares less, and the join behind it decides in any case.
+    """
+    place = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+    bucket, bit = (lambda p: F.floor(p / BUCKET_BITS)), (lambda p: p % BUCKET_BITS)
+    bits = wanted.select(place(wanted_keys).alias("p")).groupBy(bucket(F.col("p")).alias("__bucket")).agg(F.bitmap_construct_agg(bit(F.col("p"))).alias("__bits"))
+    own = place(keys)
+    byte = F.conv(F.hex(F.substring("__bits", (bit(own) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = (F.call_function("shiftright", byte, (bit(own) % 8).cast("int")) % 2) == 1
+    # at most FILTER_BITS / BUCKET_BITS rows of BUCKET_BITS / 8 bytes
+    joined = df.join(F.broadcast(bits), bucket(own) == F.col("__bucket"), "left")
+    return joined.withColumn("__maybe", F.coalesce(is_set, F.lit(False))).drop("__bucket", "__bits")
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs, a plain Parquet scan, without the rows at the locators (at_file, at_row) in dropped. Only rows that may be dropped are shuffled."""
+    gone = dropped.select(F.col("at_file").alias("__file"), F.col("at_row").alias("__row"))
+    mine = docs.select("*", F.col("_metadata.file_path").alias("__at_file"), F.col("_metadata.row_index").alias("__at_row"))
+    mine = maybe_in(mine, ["__at_file", "__at_row"], gone, ["__file", "__row"])
+    checked = mine.where("__maybe").join(gone, (F.col("__at_file") == F.col("__file")) & (F.col("__at_row") == F.col("__row")), "left_anti")
+    return mine.where("NOT __maybe").unionByName(checked).drop("__at_file", "__at_row", "__maybe")
+
+
+def at_locators(located_rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The located rows whose locators (at_file, at_row) are in wanted, joined with it."""
+    some = maybe_in(located_rows, ["at_file", "at_row"], wanted, ["at_file", "at_row"]).where("__maybe").drop("__maybe")
+    return some.join(wanted, ["at_file", "at_row"])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -24,7 +24,7 @@ from prismark.llm import common
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.metricsEnabled": "false",
@@ -98,7 +98,7 @@ def decide(
     # hits: fetch the full bytes of the row and of the content at the retained locator
     hits = joined.where("group_size > 1").select("digest", "id", "sort_id", "at_file", "at_row", F.col("top.id").alias("keep_id"), "group_size", own.alias("own"))
     content = common.located(docs, [text.alias("bytes")])
-    hits = common.stored(hits.join(content, ["at_file", "at_row"]), "dedup-hits")
+    hits = common.stored(common.at_locators(content, common.stored(hits, "dedup-hit-headers")), "dedup-hits")
     first = hits.where("own").select("digest", F.col("bytes").alias("state_bytes"))
     checked = hits.join(first, "digest").withColumn("same", F.col("bytes") == F.col("state_bytes"))
     verdicts = checked.groupBy("digest").agg(F.sum((~F.col("same")).cast("bigint")).alias("differ"))
@@ -116,11 +116,8 @@ def decide(
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs, with all their columns, without the rows that an equal text with a larger id replaces."""
     docs = common.plain(docs)
-    dropped = decide(docs, id_column, text_column).where("not kept").select(F.col("at_file").alias("__file"), F.col("at_row").alias("__row"))
-    dropped = common.stored(dropped, "dedup-dropped")
-    mine = docs.select("*", F.col("_metadata.file_path").alias("__at_file"), F.col("_metadata.row_index").alias("__at_row"))
-    kept = mine.join(dropped, (F.col("__at_file") == F.col("__file")) & (F.col("__at_row") == F.col("__row")), "left_anti")
-    return kept.drop("__at_file", "__at_row")
+    dropped = decide(docs, id_column, text_column).where("NOT kept").select("at_file", "at_row")
+    return common.without(docs, common.stored(dropped, "dedup-dropped"))
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

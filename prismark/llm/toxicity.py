@@ -34,11 +34,11 @@ from pyspark.sql import types as T
 from prismark.llm import common
 
 WORD = re.compile(r"[^\W\d_]+")
-ORDER, DISCOUNT = 6, 0.75
+ORDER, DISCOUNT = 5, 0.75
 THRESHOLD = 0.3
 #: Words longer than this are read in pieces of this length, so that one text without spaces needs no more memory.
 PIECE = 64
-CACHE = 300_000
+CACHE = 200_000
 #: Nats of evidence that chance explains; the fit picks one of them.
 TOLERANCES = (2.0, 3.0, 4.0, 5.0)
 _STEP, _WRAP = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -261,13 +261,16 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
 def evidence(text: Column, model: Model, tolerances: tuple[float, ...]) -> Column:
     """An array with, for each tolerance, the text's evidence beyond it per word."""
-    sent = SparkSession.getActiveSession().sparkContext.broadcast(model)
+    spark = SparkSession.getActiveSession()
+    common.small_batches(spark)
+    sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def compared(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(sent.value)
+        scorer = common.worker_kept(("toxicity", id(sent.value)), lambda: Scorer(sent.value))
         for texts in batches:
             yield pd.Series([list(x) for part in _batches(texts) for x in scorer.excess(part.where(part.notna(), None).tolist(), tolerances)], dtype=object)
+        common.release()
 
     return compared(text)
 

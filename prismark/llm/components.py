@@ -9,41 +9,40 @@ from prismark.llm import common
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
-    """One step over links (a, b): each node's neighbours (large: the greater ones) are linked to the least of the node and its neighbours."""
-    both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    back = links.select(F.col("b").alias("u"), F.col("a").alias("v"))
-    around = both.unionByName(back)
+    """One step over links (a, b): a node's neighbours (large: the greater ones) are linked to the least of the node and its neighbours."""
+    around = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     if not large:
         around = around.where("v < u")
     least = around.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("m", "u").alias("m"))
-    joined = around.join(least, "u")
     if large:
-        return joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-    own = least.select(F.col("u").alias("a"), F.col("m").alias("b"))
-    return joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(own).where("a <> b").distinct()
+        return around.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.least("m", "u").alias("b")).where("a <> b")
+    # each u is also linked to its least neighbour, as that neighbour is among its neighbours' row
+    out = around.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
+    return out.distinct()
+
+
+def _settled(links: DataFrame) -> bool:
+    """Whether every node is linked to one lesser node at most, and that one to none."""
+    ends = links.select(F.col("a").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("root")).unionByName(links.select(F.col("b").alias("x"), F.lit(0).alias("leaf"), F.lit(1).alias("root")))
+    by = ends.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.max("root").alias("root"))
+    return by.where("leaf > 1 OR (leaf > 0 AND root > 0)").isEmpty()
 
 
 def connected(links: DataFrame, most: int = 60) -> DataFrame:
     """Rows (node, root): every node that has a link, with the least node of its component.
 
-    links has two columns a and b of one type. Each step is written to the shared folder; the steps
-    end when one leaves the links as they are, after a number that grows with the logarithm of a
-    component's size.
+    links has two columns a and b of one type. Each round is written to the shared folder; rounds end
+    when every link leads to a root, after a number that grows with the logarithm of a component's size.
     """
-    spark = links.sparkSession
-    now = common.stored(links.where("a <> b").select("a", "b"), "links")
-    state = None
+    spark, path = links.sparkSession, common.scratch(links.sparkSession, "links")
+    now = common.stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", path)
     for _ in range(most):
-        path = common.scratch(spark, "links")
-        mid = common.stored(_star(now, True), "links", path)
-        now = common.stored(_star(mid, False), "links")
-        common.remove(spark, path)
-        r = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if (r["n"], r["x"]) == state:
+        if _settled(now):
             break
-        state = (r["n"], r["x"])
+        before, path = path, common.scratch(spark, "links")
+        now = common.stored(_star(_star(now, True), False), "links", path)
+        common.remove(spark, before)
     else:
         raise RuntimeError("the components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

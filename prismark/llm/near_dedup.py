@@ -1,16 +1,14 @@
 """MinHash near-deduplication by a chosen-path set similarity join.
 
 A document is its set of word shingles. Documents with equal sets form one class, and only classes are
-compared. In each of several independent trees a node picks minwise coordinates, and its documents
-branch by the token that is least under that coordinate; children with few documents are compared
-exhaustively, others branch again. Inside a node the sketches rule out what is far below the threshold,
-and what is left is compared on the full sets. Documents of a node that is already linked through
-others need no link of their own: a node gives a spanning forest of its verified links, not its pairs.
-
-Nodes that stay large at the last depth hold documents much alike. There every document is compared
-with a few pivots; all but those linked to the best pivot are then compared, in blocks, with the whole
-node, so no link between parts that the pivot does not join is lost, and pairs of what it joins are
-never made.
+compared. In each of several independent trees a node picks a minwise coordinate, and its documents branch
+by the token that is least under it; nodes with few documents are compared
+exhaustively, on sketches, and others branch again. What the sketches do not rule out makes candidate
+groups: groups with few members are compared exhaustively on their full sets, and every member of a
+larger group meets a few pivots, again on full sets. Members that pivots join to one component need no
+link of their own. The others choose new pivots, a few times, and at last meet the whole group in
+blocks; so no link between parts that pivots leave apart is lost, and pairs within a part are never
+made.
 
 Defined results: null and empty texts and texts without words have an empty set and are linked with
 nothing; texts with fewer words than a shingle have the whole sequence as one; rows with a null id take
@@ -33,13 +31,15 @@ from pyspark.sql import functions as F
 from prismark.llm import common
 from prismark.llm.components import connected
 
-COORDINATES, TREES, DEPTH = 64, 12, 4
-#: Most classes in a node that are compared exhaustively in one task.
-LEAF = 128
-PIVOTS = 8
-#: Sizes of the blocks in which a large node's unlinked documents meet the whole node.
-REST_BLOCK, NODE_BLOCK = 64, 256
-WORDS = 700_000
+COORDINATES, TREES, DEPTH = 64, 12, 8
+#: Branching goes on while it leaves at most this share of the rows in large nodes.
+SHRINKS = 0.8
+#: Most classes in a node, and in a candidate group, that are compared exhaustively in one task.
+LEAF, GROUP = 128, 256
+PIVOTS, ROUNDS = 8, 3
+#: Sizes of the blocks in which what pivots leave of a large group meets the whole group.
+REST_BLOCK, GROUP_BLOCK = 64, 256
+WORDS = 200_000
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -73,17 +73,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_known: dict[bytes, int] = {}
-
-
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles."""
     own = text.encode("utf-8", "replace").lower().split() if text else []  # bytes: A-Z only, and the six ASCII spaces
     if not own:
         return np.zeros(0, np.uint64)
-    if len(_known) > WORDS:
-        _known.clear()
-    hashes = np.fromiter([_known[w] if w in _known else _known.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in own], np.uint64, len(own))
+    known: dict[bytes, int] = common.worker_kept("shingles", dict)
+    if len(known) > WORDS:
+        known.clear()
+    hashes = np.fromiter([known[w] if w in known else known.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in own], np.uint64, len(own))
     if len(own) < words:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(own), seed=len(own))], np.uint64)
     n = len(own) - words + 1
@@ -109,6 +107,7 @@ def _sets(docs: DataFrame, words: int, id_column: str, text_column: str) -> Data
                 "doc_id": b["doc_id"].astype("Int64"), "at_file": b["at_file"], "at_row": b["at_row"], "n": [len(s) for s in rows],
                 "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in rows], "sig": [signature(s).tobytes() for s in rows],
             })
+        common.release()
 
     own = common.located(docs, [F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")])
     return own.mapInPandas(run, "doc_id bigint, at_file string, at_row bigint, n bigint, digest binary, sig binary")
@@ -119,7 +118,7 @@ def _signatures(column: pd.Series) -> np.ndarray:
 
 
 def _branches(rows: DataFrame, depth: int) -> DataFrame:
-    """The children of each row: at the root one for each tree, below that two coordinates that the node's path picks."""
+    """The children of each row: at the root one for each tree, below that by the coordinate that the node's path picks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -128,19 +127,24 @@ def _branches(rows: DataFrame, depth: int) -> DataFrame:
             sig = _signatures(b["sig"])
             sketch = pd.Series([x.tobytes() for x in sig.astype(np.uint8)])
             own = np.arange(len(b))
-            for branch in range(TREES if not depth else 2):
-                if not depth:
-                    path = np.full(len(b), branch + 1, np.uint64)
-                    pick = np.full(len(b), branch * 5 % COORDINATES)
-                else:
-                    path = _mix(b["path"].to_numpy(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (branch + 1) & 0xFFFFFFFFFFFFFFFF))
+            for tree in range(1 if depth else TREES):
+                if depth:
+                    path = _mix(b["path"].to_numpy(np.int64).view(np.uint64))
                     pick = (path % np.uint64(COORDINATES)).astype(np.int64)
+                else:
+                    path = np.full(len(b), tree + 1, np.uint64)
+                    pick = np.full(len(b), tree * 5 % COORDINATES)
                 child = _mix(_mix(path * _ORDERED[depth] + pick.astype(np.uint64)) + sig[own, pick].astype(np.uint64) * _ORDERED[depth + 8])
                 yield pd.DataFrame({"path": child.view(np.int64), "digest": b["digest"].to_numpy(), "n": b["n"].to_numpy(), "sketch": sketch.to_numpy()})
 
     return rows.mapInPandas(run, "path bigint, digest binary, n bigint, sketch binary")
 
 
+def _tasks(rows: int, each: int) -> int:
+    """So many tasks for a Python step whose input may be small: about ``each`` rows to a task."""
+    return max(1, -(-rows // each))
+
+
 class Forest:
     """Union-find over positions."""
 
@@ -161,28 +165,37 @@ class Forest:
         return True
 
 
-def _clusters(nodes: DataFrame, t: Threshold) -> DataFrame:
-    """Of nodes (arrays of members) the parts, of two members at least, that sketches and sizes do not rule out."""
+def _near_pairs(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs that sketches (rows of COORDINATES bytes) and set sizes do not rule out."""
+    near = np.zeros((len(left), len(right)), bool)
+    for i in range(0, len(left), 64):
+        near[i : i + 64] = (left[i : i + 64, None] == right[None]).sum(2) >= t.agreeing
+    near &= t.whole * np.minimum(n_left[:, None], n_right[None]) >= t.part * np.maximum(n_left[:, None], n_right[None])
+    return np.nonzero(near)
+
+
+def _candidates(nodes: DataFrame, t: Threshold) -> DataFrame:
+    """Of small nodes (arrays of members), a spanning forest of the pairs that sketches and sizes do not rule out: a, b."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
+            out = set()
             for members in b["members"]:
                 digests = [m["digest"] for m in members]
                 sketch = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(-1, COORDINATES)
                 n = np.array([m["n"] for m in members])
-                near = (sketch[:, None] == sketch[None]).sum(2) >= t.agreeing
-                near &= t.whole * np.minimum(n[:, None], n[None]) >= t.part * np.maximum(n[:, None], n[None])
                 forest = Forest(len(digests))
-                for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-                    forest.join(int(i), int(j))
-                parts: dict[int, list[bytes]] = {}
+                for i, j in zip(*(x.tolist() for x in _near_pairs(sketch, sketch, n, n, t)), strict=True):
+                    if i < j:
+                        forest.join(i, j)
+                least: dict[int, bytes] = {}
                 for i, d in enumerate(digests):
-                    parts.setdefault(forest.root(i), []).append(d)
-                out += [sorted(p) for p in parts.values() if len(p) > 1]
-            yield pd.DataFrame({"members": out, "cluster": [hashlib.blake2b(b"".join(p), digest_size=16).digest() for p in out]})
+                    r = forest.root(i)
+                    least[r] = min(d, least.get(r, d))
+                out.update((least[forest.root(i)], d) for i, d in enumerate(digests) if least[forest.root(i)] != d)
+            yield _links(list(out))
 
-    return nodes.mapInPandas(run, "members array<binary>, cluster binary").dropDuplicates(["cluster"])
+    return nodes.mapInPandas(run, LINK)
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -193,17 +206,21 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def forest_links(keys: list, sets: list[np.ndarray], sketches: np.ndarray, t: Threshold) -> list[tuple]:
-    """A spanning forest of the links between sets, by exhaustive comparison of what is not joined yet."""
-    forest, links = Forest(len(keys)), []
-    near = (sketches[:, None].view(np.uint8) == sketches[None].view(np.uint8)).sum(2) >= t.agreeing if len(keys) <= 2 * LEAF else None
-    for i in range(len(keys)):
-        for j in range(i + 1, len(keys)):
-            if (near is None or near[i, j]) and forest.root(i) != forest.root(j) and t.sizes(len(sets[i]), len(sets[j])):
-                if t.linked(_shared(sets[i], sets[j]), len(sets[i]), len(sets[j])):
-                    forest.join(i, j)
-                    links.append((keys[i], keys[j]))
-    return links
+def _verified(left: list, right: list, sets_left: list[np.ndarray], sets_right: list[np.ndarray], t: Threshold) -> list[tuple]:
+    """What links on full sets join among left and right keys: each key with the least of its component, by comparing whatever is not joined yet."""
+    place = {k: i for i, k in enumerate(dict.fromkeys([*left, *right]))}
+    forest = Forest(len(place))
+    sizes = [np.array([len(s) for s in sets]) for sets in (sets_left, sets_right)]
+    sketches = [_sketches(sets_left), _sketches(sets_right)] if sets_left is not sets_right else [_sketches(sets_left)] * 2
+    for i, j in zip(*(x.tolist() for x in _near_pairs(*sketches, *sizes, t)), strict=True):
+        a, b = place[left[i]], place[right[j]]
+        if a != b and forest.root(a) != forest.root(b) and t.linked(_shared(sets_left[i], sets_right[j]), len(sets_left[i]), len(sets_right[j])):
+            forest.join(a, b)
+    least: dict[int, bytes] = {}
+    for k, i in place.items():
+        r = forest.root(i)
+        least[r] = min(k, least.get(r, k))
+    return [(k, least[forest.root(i)]) for k, i in place.items() if least[forest.root(i)] != k]
 
 
 def _links(rows: list[tuple]) -> pd.DataFrame:
@@ -217,71 +234,99 @@ def _sketches(sets: list[np.ndarray]) -> np.ndarray:
     return np.stack([signature(s).astype(np.uint8) for s in sets])
 
 
-def _cluster_links(clusters: DataFrame, texts: DataFrame, t: Threshold) -> DataFrame:
-    """Verified links inside clusters, each compared in one task."""
-    rows = clusters.select("cluster", F.explode("members").alias("digest")).join(texts, "digest")
+def _small_links(members: DataFrame, t: Threshold) -> DataFrame:
+    """Verified links inside groups (group, digest, text) of at most GROUP members, each group in one task."""
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         sets = [shingles(x, t.words) for x in b["text"]]
-        return _links(forest_links(b["digest"].tolist(), sets, _sketches(sets), t))
+        keys = b["digest"].tolist()
+        return _links(_verified(keys, keys, sets, sets, t))
+
+    return members.groupBy("group").applyInPandas(run, LINK)
 
-    return rows.groupBy("cluster").applyInPandas(run, LINK)
 
+def _met_pivots(members: DataFrame, t: Threshold, tasks: int) -> DataFrame:
+    """One round: pivots from the members that are neither joined nor done; each member with the pivots it is linked to.
 
-def _large_links(large: DataFrame, texts: DataFrame, t: Threshold) -> DataFrame:
-    """Verified links inside nodes that stayed large: by pivots, then of what the best pivot leaves with the whole node, in blocks."""
-    spark = large.sparkSession
-    members = common.stored(large.select("path", "digest", "size").join(texts, "digest"), "near-large")
-    order = F.struct(F.xxhash64("digest", "path").alias("h"), "digest")
-    # min_by keeps one member of each of PIVOTS hashed parts, so picking pivots gathers no node
-    part = F.pmod(F.xxhash64("path", "digest"), F.lit(PIVOTS))
-    pivots = members.groupBy("path", part.alias("part")).agg(F.min_by(F.struct("digest", "text"), order).alias("p"))
-    pivots = pivots.groupBy("path").agg(F.collect_list("p").alias("pivots"))
+    members: group, digest, text, joined, done. Returns these with the linked pivots, as bits and as digests.
+    """
+    order = F.struct(F.xxhash64("digest", "group").alias("h"), "digest")
+    part = F.pmod(F.xxhash64("group", "digest"), F.lit(PIVOTS))
+    # one member of each hashed part of a group, so picking pivots gathers no group
+    free = members.where("NOT joined AND NOT done")
+    pivots = free.groupBy("group", part.alias("part")).agg(F.min_by(F.struct("digest", "text"), order).alias("p"))
+    pivots = pivots.groupBy("group").agg(F.sort_array(F.collect_list("p")).alias("pivots"))
 
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[int, list[tuple[bytes, np.ndarray]]] = {}
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, list[np.ndarray]] = {}
         for b in batches:
             out = []
-            for path, digest, text, pivots in zip(b["path"], b["digest"], b["text"], b["pivots"], strict=True):
-                if path not in known:
+            for group, digest, text, joined, done, pivots in zip(b["group"], b["digest"], b["text"], b["joined"], b["done"], b["pivots"], strict=True):
+                if group not in known:
                     if len(known) > 50:
                         known.clear()
-                    known[path] = [(p["digest"], shingles(p["text"], t.words)) for p in pivots]
-                own = shingles(text, t.words)
-                for p, s in known[path]:
-                    if t.sizes(len(own), len(s)) and t.linked(_shared(own, s), len(own), len(s)):
-                        out.append((path, digest, p))
-            yield pd.DataFrame(out, columns=["path", "digest", "pivot"])
-
-    links = common.stored(members.join(pivots, "path").select("path", "digest", "text", "pivots").mapInPandas(compared, "path bigint, digest binary, pivot binary"), "near-pivots")
-    best = links.groupBy("path", "pivot").agg(F.count(F.lit(1)).alias("n")).groupBy("path").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
-    joined = links.join(best, ["path", "pivot"], "left_semi").select("path", "digest")
-    rest = members.join(joined, ["path", "digest"], "left_anti")
-    rest = common.stored(rest, "near-rest")
-    counts = rest.groupBy("path").agg(F.count(F.lit(1)).alias("rest")).withColumn("rest_blocks", F.ceil(F.col("rest") / REST_BLOCK))
-    h = F.xxhash64(F.lit(7), "digest")
-    node_blocks = F.ceil(F.col("size") / NODE_BLOCK)
-    left = rest.join(counts, "path").select("path", "digest", "text", F.pmod(h, "rest_blocks").alias("rb"), F.explode(F.sequence(F.lit(0).cast("bigint"), node_blocks - 1)).alias("nb"), F.lit(True).alias("own"))
-    right = members.join(counts, "path").select("path", "digest", "text", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rest_blocks") - 1)).alias("rb"), F.pmod(h, node_blocks).alias("nb"), F.lit(False).alias("own"))
-
-    def met(b: pd.DataFrame) -> pd.DataFrame:
+                    known[group] = [shingles(p["text"], t.words) for p in pivots]
+                own, names = shingles(text, t.words), [p["digest"] for p in pivots]
+                hits = [k for k, s in enumerate(known[group]) if t.sizes(len(own), len(s)) and t.linked(_shared(own, s), len(own), len(s))]
+                out.append((group, digest, text, joined, done or digest in names, sum(1 << k for k in hits), [names[k] for k in hits]))
+            yield pd.DataFrame(out, columns=["group", "digest", "text", "joined", "done", "bits", "linked"])
+
+    met = members.join(pivots, "group").select("group", "digest", "text", "joined", "done", "pivots").coalesce(tasks)
+    return met.mapInPandas(run, "group binary, digest binary, text string, joined boolean, done boolean, bits int, linked array<binary>")
+
+
+def _joining(met: DataFrame) -> DataFrame:
+    """Of each group the bits of the pivots that lie in its main component (group, main), from counts of members by bits."""
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        main = 1 << PIVOTS  # members that earlier rounds have joined
+        masks = [(int(x) | main * bool(j), int(n)) for x, j, n in zip(b["bits"], b["joined"], b["n"], strict=True) if x or j]
+        parts: list[int] = []
+        for m, _ in masks:
+            parts, m = [p for p in parts if not p & m], m | sum({p for p in parts if p & m})
+            parts.append(m)
+        size = {p: sum(n for m, n in masks if m & p) for p in parts}
+        best = max(size, key=lambda p: (bool(p & main), size[p], p), default=0)
+        return pd.DataFrame({"group": [b["group"].iloc[0]], "main": [best & (main - 1)]})
+
+    counts = met.groupBy("group", "bits", "joined").agg(F.count(F.lit(1)).alias("n"))  # at most 2 ** (PIVOTS + 1) rows a group
+    return counts.groupBy("group").applyInPandas(run, "group binary, main int")
+
+
+def _large_links(members: DataFrame, t: Threshold, tasks: int) -> DataFrame:
+    """Verified links inside groups (group, digest, text) of more than GROUP members: pivots in rounds, then blocks."""
+    now = members.withColumns({"joined": F.lit(False), "done": F.lit(False)})
+    found = []
+    for _ in range(ROUNDS):
+        met = common.stored(_met_pivots(now, t, tasks), "near-met")
+        pairs = met.where("bits > 0").select(F.col("digest").alias("a"), F.explode("linked").alias("b"))
+        found.append(pairs.where("a <> b"))
+        state = met.join(_joining(met), "group").select("group", "digest", "text", (F.col("joined") | (F.col("bits").bitwiseAND(F.col("main")) > 0)).alias("joined"), "done")
+        left = state.where("NOT joined AND NOT done").select("group").distinct()
+        # groups whose members are all joined or done are finished
+        now = common.stored(state.join(left, "group", "left_semi"), "near-state")
+        if now.isEmpty():
+            break
+    links = found[0]
+    for f in found[1:]:
+        links = links.unionByName(f)
+    if now.isEmpty():
+        return links
+    rest = now.where("NOT joined AND NOT done")
+    counts = rest.groupBy("group").agg(F.count(F.lit(1)).alias("rest")).join(now.groupBy("group").agg(F.count(F.lit(1)).alias("size")), "group")
+    counts = common.stored(counts.select("group", F.ceil(F.col("rest") / REST_BLOCK).alias("rbs"), F.ceil(F.col("size") / GROUP_BLOCK).alias("gbs")), "near-rest")
+    h, zero = F.xxhash64(F.lit(7), "digest"), F.lit(0).cast("bigint")
+    left = rest.join(counts, "group").select("group", "digest", "text", F.pmod(h, "rbs").alias("rb"), F.explode(F.sequence(zero, F.col("gbs") - 1)).alias("gb"), F.lit(True).alias("own"))
+    right = now.join(counts, "group").select("group", "digest", "text", F.explode(F.sequence(zero, F.col("rbs") - 1)).alias("rb"), F.pmod(h, "gbs").alias("gb"), F.lit(False).alias("own"))
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
         mine, others = b[b["own"]], b[~b["own"]]
-        sets = [[shingles(x, t.words) for x in part["text"]] for part in (mine, others)]
         if not len(mine) or not len(others):
             return _links([])
-        near = (_sketches(sets[0])[:, None] == _sketches(sets[1])[None]).sum(2) >= t.agreeing
-        a, o = mine["digest"].tolist(), others["digest"].tolist()
-        place = {d: i for i, d in enumerate(dict.fromkeys(a + o))}
-        forest, out = Forest(len(place)), []
-        for i, j in zip(*np.nonzero(near), strict=True):
-            x, y = sets[0][i], sets[1][j]
-            if forest.root(place[a[i]]) != forest.root(place[o[j]]) and t.sizes(len(x), len(y)) and t.linked(_shared(x, y), len(x), len(y)):
-                forest.join(place[a[i]], place[o[j]])
-                out.append((a[i], o[j]))
-        return _links(out)
+        sets = [[shingles(x, t.words) for x in part["text"]] for part in (mine, others)]
+        return _links(_verified(mine["digest"].tolist(), others["digest"].tolist(), *sets, t))
 
-    blocks = left.unionByName(right).groupBy("path", "rb", "nb").applyInPandas(met, LINK)
-    return links.select(F.col("digest").alias("a"), F.col("pivot").alias("b")).where("a <> b").unionByName(blocks)
+    return links.unionByName(left.unionByName(right).groupBy("group", "rb", "gb").applyInPandas(run, LINK))
 
 
 def classes_with_components(docs: DataFrame, t: Threshold, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -291,33 +336,41 @@ def classes_with_components(docs: DataFrame, t: Threshold, id_column: str = "doc
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at_file", "at_row")
     classes = common.stored(rows.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(row).alias("first")), "near-classes")
 
-    small, level = [], classes.select("digest", "n", "sig")
-    large = None
+    few, alike, level, before = None, None, classes.select("digest", "n", "sig"), None
     for depth in range(DEPTH):
         children = _branches(level, depth)
+        if depth:
+            children = common.stored(children, "near-children")
         sizes = children.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         nodes = common.stored(children.join(sizes, "path"), "near-nodes")
-        few = nodes.where(F.col("size") <= LEAF)
-        small.append(few.groupBy("path").agg(F.collect_list(F.struct("digest", "n", "sketch")).alias("members")).select("members"))
-        large = nodes.where(F.col("size") > LEAF).select("path", "digest", "size")
-        if large.isEmpty():
-            large = None
+        own = nodes.where(F.col("size") <= LEAF).select("path", "digest", "n", "sketch")
+        few = own if few is None else few.unionByName(own)  # a path holds its depth
+        large = nodes.where(F.col("size") > LEAF)
+        count = large.count()
+        if not count:
+            break
+        if depth == DEPTH - 1 or before is not None and count > SHRINKS * before:
+            # branching no longer takes these nodes apart: their members are candidates as they are
+            least = large.groupBy("path").agg(F.min("digest").alias("b"))
+            alike = large.join(least, "path").select(F.col("digest").alias("a"), "b").where("a <> b")
             break
-        level = large.join(classes.select("digest", "n", "sig"), "digest")
-    found = small[0]
-    for s in small[1:]:
-        found = found.unionByName(s)
-    clusters = common.stored(_clusters(found, t), "near-clusters")
-
-    wanted = clusters.select(F.explode("members").alias("digest"))
-    if large is not None:
-        wanted = wanted.unionByName(large.select("digest"))
-    wanted = classes.join(wanted.distinct(), "digest").select("digest", F.col("first.at_file").alias("at_file"), F.col("first.at_row").alias("at_row"))
+        before = count
+        level = large.select("path", "digest").join(classes.select("digest", "n", "sig"), "digest").coalesce(_tasks(count, 5000))
+    pairs = _candidates(few.groupBy("path").agg(F.collect_list(F.struct("digest", "n", "sketch")).alias("members")).select("members"), t)
+    pairs = pairs if alike is None else pairs.unionByName(alike)
+    groups = connected(pairs)
+    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    groups = groups.join(sizes, "root").select(F.col("node").alias("digest"), F.col("root").alias("group"), "size")
+
+    place = classes.select("digest", F.col("first.at_file").alias("at_file"), F.col("first.at_row").alias("at_row"))
+    wanted = common.stored(groups.join(place, "digest"), "near-groups")
     content = common.located(docs, [F.col(text_column).alias("text")])
-    texts = common.stored(content.join(wanted, ["at_file", "at_row"]).select("digest", "text"), "near-texts")
-    links = _cluster_links(clusters, texts, t)
-    if large is not None:
-        links = links.unionByName(_large_links(large, texts, t))
+    members = common.stored(common.at_locators(content, wanted).select("group", "size", "digest", "text"), "near-texts")
+    links = _small_links(members.where(F.col("size") <= GROUP).select("group", "digest", "text"), t)
+    large = members.where(F.col("size") > GROUP).select("group", "digest", "text")
+    count = large.count()
+    if count:
+        links = links.unionByName(_large_links(large, t, _tasks(count, 200)))
     roots = connected(links)
     labelled = classes.select("digest", "first").join(roots, F.col("digest") == F.col("node"), "left").withColumn("root", F.coalesce("root", "digest"))
     least = labelled.groupBy("root").agg(F.min("first").alias("component"))
@@ -339,10 +392,7 @@ def keep_first(docs: DataFrame, t: Threshold = Threshold(), id_column: str = "do
     rows, classes = classes_with_components(docs, t, id_column, text_column)
     joined = rows.join(classes, "digest")
     stays = (F.col("component.at_file") == F.col("at_file")) & (F.col("component.at_row") == F.col("at_row"))
-    dropped = common.stored(joined.where(~stays).select(F.col("at_file").alias("__file"), F.col("at_row").alias("__row")), "near-dropped")
-    mine = docs.select("*", F.col("_metadata.file_path").alias("__at_file"), F.col("_metadata.row_index").alias("__at_row"))
-    kept = mine.join(dropped, (F.col("__at_file") == F.col("__file")) & (F.col("__at_row") == F.col("__row")), "left_anti")
-    return kept.drop("__at_file", "__at_row")
+    return common.without(docs, common.stored(joined.where(~stays).select("at_file", "at_row"), "near-dropped"))
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from prismark.llm.brown_lm import op9_brown_lm
 from prismark.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from prismark.llm.hamming_search import OP8_SQL, op8_hamming_topk
 from prismark.llm.license_scan import OP5_SQL, op5_license_scan
-from prismark.llm.near_dedup import op3_near_dedup
+from prismark.llm.near_dedup import OP3_SQL, op3_near_dedup
 from prismark.llm.packing import op4_packing
 from prismark.llm.toxicity import op10_toxicity
 from prismark.llm.trie_bpe import op7_trie_bpe
@@ -28,6 +28,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
+    "op3_near_dedup": OP3_SQL,
     "op5_license_scan": OP5_SQL,
     "op6_warc_revisits": OP6_SQL,
     "op8_hamming_topk": OP8_SQL,

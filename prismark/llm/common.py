@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from prismark.plans.storage import remove, scratch, stored
 
-__all__ = ["ascii_lower", "at_locators", "located", "maybe_in", "parts", "plain", "release", "remove", "scratch", "small_batches", "stored", "table", "without", "worker_kept"]
+__all__ = ["ascii_lower", "at_locators", "located", "maybe_in", "parts", "plain", "release", "remove", "scratch", "small_batches", "stored", "table", "without", "worker_forget", "worker_kept"]
 
 #: Bytes of an Arrow batch, about, and of the texts that Python works on together.
 BATCH_BYTES = 4_000_000
@@ -120,6 +120,12 @@ def worker_kept(key: Any, make: Callable[[], Any]) -> Any:
     return _kept[key]
 
 
+def worker_forget() -> None:
+    """Drops what the worker keeps: for steps whose workers then wait beside those of the next stage."""
+    _kept.clear()
+    release()
+
+
 def release() -> None:
     """Gives freed memory back, as idle workers live on beside the next stage."""
     gc.collect()

@@ -39,7 +39,7 @@ LEAF, GROUP = 128, 256
 PIVOTS, ROUNDS = 8, 3
 #: Sizes of the blocks in which what pivots leave of a large group meets the whole group.
 REST_BLOCK, GROUP_BLOCK = 64, 256
-WORDS = 200_000
+WORDS = 60_000
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -107,7 +107,7 @@ def _sets(docs: DataFrame, words: int, id_column: str, text_column: str) -> Data
                 "doc_id": b["doc_id"].astype("Int64"), "at_file": b["at_file"], "at_row": b["at_row"], "n": [len(s) for s in rows],
                 "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in rows], "sig": [signature(s).tobytes() for s in rows],
             })
-        common.release()
+        common.worker_forget()
 
     own = common.located(docs, [F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")])
     return own.mapInPandas(run, "doc_id bigint, at_file string, at_row bigint, n bigint, digest binary, sig binary")
@@ -270,6 +270,7 @@ def _met_pivots(members: DataFrame, t: Threshold, tasks: int) -> DataFrame:
                 hits = [k for k, s in enumerate(known[group]) if t.sizes(len(own), len(s)) and t.linked(_shared(own, s), len(own), len(s))]
                 out.append((group, digest, text, joined, done or digest in names, sum(1 << k for k in hits), [names[k] for k in hits]))
             yield pd.DataFrame(out, columns=["group", "digest", "text", "joined", "done", "bits", "linked"])
+        common.worker_forget()
 
     met = members.join(pivots, "group").select("group", "digest", "text", "joined", "done", "pivots").coalesce(tasks)
     return met.mapInPandas(run, "group binary, digest binary, text string, joined boolean, done boolean, bits int, linked array<binary>")

@@ -16,10 +16,9 @@ packed each; ids may be null; an empty table gives an empty result; other column
 from __future__ import annotations
 
 import bisect
-import functools
-import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,109 +30,113 @@ from pyspark.sql import functions as F
 from prismark.llm import common
 
 SIZE, END_ID = 2048, 1
-CACHE = 600_000
+CACHE, OTHERS = 100_000, 60_000
+#: Bytes of text that are encoded together.
+BATCH = 2_500_000
 #: A stretch of letters that all have one composed form, and a stop that no letter merges with.
-PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,]?)").fullmatch
+PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[.,]?$"
 #: Pieces of one length that are ranked together, about.
-PART = 20_000
+PART = 1000
+
+
+def gathered(values: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values holds stretches of the given lengths, one after another: those that codes name, in a row, and where each begins and the last ends."""
+    lengths = lengths.astype(np.int32)  # a batch's ids are far fewer than 2 ** 31
+    firsts = np.cumsum(lengths, dtype=np.int32) - lengths
+    own = lengths[codes]
+    ends = np.zeros(len(codes) + 1, np.int32)
+    np.cumsum(own, out=ends[1:])
+    at = np.repeat(firsts[codes] - ends[:-1], own)
+    at += np.arange(ends[-1], dtype=np.int32)
+    return values[at], ends
 
 
 class ChunkEncoder:
     """Encodes texts with a tokenizer that drops white space, by the distinct chunks between spaces.
 
-    The first ``CACHE`` chunks stay known, which soon holds the usual ones; others are learnt for the batch they occur in.
+    A chunk that is a plain word, with or without a stop, is the word's ids and the stop's. The first
+    ``CACHE`` words and ``OTHERS`` other chunks stay known, which soon holds the usual ones; what is left
+    is learnt for the batch it occurs in.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
-        def loaded() -> Tokenizer:
-            t = Tokenizer.from_file(path)
-            t.no_padding()
-            t.no_truncation()
-            return t
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.words = loaded(), loaded()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
         # for plain words in lower case, the same model without the steps that leave them as they are
-        self.words.normalizer = normalizers.Sequence([])
+        self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends[i] = token.endswith("</w>")
-        self.known: dict[str, bytes] = {}
-        self.stops = {"": b"", **dict(zip(".,", self._whole([".", ","]), strict=True))}
+        self.known_words: dict[str, bytes] = {}
+        self.known_others: dict[str, bytes] = {}
+        self.stops = [b"", *self._others([".", ","])]
 
-    def _whole(self, chunks: list[str]) -> list[bytes]:
+    def _others(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
 
-    def _plain(self, words: list[str]) -> dict[str, bytes]:
+    def _plain(self, words: list[str]) -> list[bytes]:
         """Ids of plain words, encoded together: each is one stretch of letters and so ends at its first token that ends a word."""
-        out = {}
+        out: list[bytes] = []
         parts = [words[i : i + 1000] for i in range(0, len(words), 1000)]
         for part, e in zip(parts, self.words.encode_batch([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            own, at = ids.tobytes(), 0
-            for word, end in zip(part, (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), strict=True):
-                out[word] = own[at:end]
-                at = end
+            own, ends = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) != len(part):
+                raise ValueError("a plain word was taken apart")
+            out += [own[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         return out
 
-    def _learn(self, chunks: list[str]) -> None:
-        split = [PLAIN(c) for c in chunks]
-        words = self._plain(list({m[1].lower() for m in split if m}))
-        other = [c for c, m in zip(chunks, split, strict=True) if not m]
-        self.known.update(zip(other, self._whole(other), strict=True))
-        for chunk, m in zip(chunks, split, strict=True):
-            if m:
-                self.known[chunk] = words[m[1].lower()] + self.stops[m[2]]
+    @staticmethod
+    def _found(known: dict[str, bytes], most: int, wanted: list[str], learn: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        found = list(map(known.get, wanted))
+        fresh = [w for w, ids in zip(wanted, found, strict=True) if ids is None]
+        if fresh:
+            new = iter(learn(fresh))
+            found = [next(new) if ids is None else ids for ids in found]
+            if len(known) < most:
+                known.update(islice(zip(wanted, found, strict=True), most - len(known)))
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text begins and the last ends."""
         # the vocabulary's rules drop white space, and no token crosses it
         chunks = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = chunks.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        found = list(map(self.known.get, distinct))
-        fresh = [c for c, ids in zip(distinct, found, strict=True) if ids is None]
-        if fresh:
-            room = max(0, CACHE - len(self.known))
-            self._learn(fresh)
-            found = list(map(self.known.__getitem__, distinct))
-            for c in fresh[room:]:
-                del self.known[c]
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        firsts = np.cumsum(lengths) - lengths
-        codes = coded.indices.to_numpy()
-        own = lengths[codes]
-        ends = np.concatenate([[0], np.cumsum(own)])
-        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(firsts[codes] - ends[:-1], own) + np.arange(ends[-1])]
+        distinct = coded.dictionary
+        plain = pc.match_substring_regex(distinct, PLAIN)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        words = pc.utf8_lower(pc.utf8_rtrim(distinct.filter(plain), ".,")).dictionary_encode()
+        pieces = self._found(self.known_words, CACHE, words.dictionary.to_pylist(), self._plain)
+        count = len(pieces)
+        pieces += self._found(self.known_others, OTHERS, distinct.filter(pc.invert(plain)).to_pylist(), self._others)
+        total = len(pieces)
+        pieces += self.stops
+        parts = np.full((len(distinct), 2), total, np.int64)  # a chunk's ids: a piece's, then a stop's or none
+        parts[is_plain, 0] = words.indices.to_numpy()
+        parts[~is_plain, 0] = np.arange(count, total)
+        for k, stop in ((1, "."), (2, ",")):
+            parts[is_plain & pc.ends_with(distinct, stop).to_numpy(zero_copy_only=False), 1] = total + k
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        of_chunks, bounds = gathered(np.frombuffer(b"".join(pieces), "<u4"), lengths, parts.ravel())
+        ids, ends = gathered(of_chunks, bounds[2::2] - bounds[:-2:2], coded.indices.to_numpy())
         offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(chunks), 0).to_numpy(zero_copy_only=False))])
         return ids, ends[offsets]
 
 
-@functools.lru_cache(maxsize=1)
-def chunk_encoder(path: str) -> ChunkEncoder:
-    """One encoder to a worker process: its tasks share what it has learnt."""
-    return ChunkEncoder(path)
-
-
-def in_parts(batch: pa.RecordBatch, column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about so many bytes of text each: texts may be very long."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) // most
-    starts = np.flatnonzero(np.diff(size, prepend=-1))
-    for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
-        yield batch.slice(a, b - a)
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, and h, a hash that spreads the pieces."""
+    common.small_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
     schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "h"))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = chunk_encoder(tokenizer_path)
+        encoder = common.worker_kept(("chunks", tokenizer_path), lambda: ChunkEncoder(tokenizer_path))
         for batch in batches:
-            for part in in_parts(batch, "text"):
+            for part in common.parts(batch, "text", BATCH):
                 ids, bounds = encoder.encode(part.column("text"))
                 rows = []
                 for doc, a, b in zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -146,6 +149,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text
                         rows.append((doc, start, length, crc, n, zlib.crc32(repr((doc, start, len(rows))).encode(), crc)))
                 columns = zip(*rows, strict=True) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+        common.release()
 
     own = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
     return own.mapInArrow(cut, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, h bigint")
@@ -191,17 +195,17 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[tupl
 def ranked(pieces: DataFrame, part: int = PART) -> tuple[DataFrame, dict[int, int]]:
     """pieces with ``rank``, 0 and up within their length, and the histogram of lengths.
 
-    A length's pieces are ranked in hashed parts; the counts of parts, one row per length and part, give each part its first rank.
+    A length's pieces are ranked in hashed parts, as many as its count asks for; the counts of parts, one row per length and part, give each part its first rank.
     """
-    total = pieces.count()
-    parts = max(1, total // part)
-    pieces = pieces.withColumn("part", F.pmod(F.col("h"), F.lit(parts)))
-    counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most size rows
+    spark = pieces.sparkSession
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most size rows
+    parts = spark.createDataFrame([(x, -(-n // part)) for x, n in histogram.items()], "length bigint, parts bigint")
+    dealt = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.col("h"), F.col("parts"))).drop("parts")
+    counts = dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     first = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     own = W.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")
-    placed = pieces.withColumn("own", F.row_number().over(own) - 1).join(first, ["length", "part"])
+    placed = dealt.withColumn("own", F.row_number().over(own) - 1).join(first, ["length", "part"])
     return placed.withColumn("rank", F.col("first") + F.col("own")).drop("part", "own", "first", "h"), histogram
 
 

@@ -37,8 +37,6 @@ from prismark.llm import common
 
 HEAD, LONGEST, ENDINGS, LETTERS = 131_072, 64, 8192, 4
 CORE, CLASSES, SWEEPS = 1024, 64, 12
-#: Bytes of a batch that are worked on together.
-PART = 8_000_000
 #: Words seen at most so often also speak for their ending, which unseen words share.
 RARE = 5
 
@@ -63,7 +61,7 @@ def _summed(df: DataFrame, columns: str, count: Callable[[pa.RecordBatch], tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.parts(batch, column, PART):
+            for part in common.parts(batch, column, common.BATCH_BYTES):
                 keys, n = count(part)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], schema=schema)
 
@@ -88,7 +86,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.parts(batch, "text", PART):
+            for part in common.parts(batch, "text", common.BATCH_BYTES):
                 words, codes, _ = tokens(part.column("text"))
                 n = np.bincount(codes, minlength=len(words))
                 some = pa.array(np.flatnonzero(n))
@@ -143,7 +141,7 @@ def encoded(texts: DataFrame, types: Types) -> DataFrame:
         known = {w: i for i, w in enumerate(sent.value)}
         head, key = len(known), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in common.parts(batch, "text", PART):
+            for part in common.parts(batch, "text", common.BATCH_BYTES):
                 words, codes, rows = tokens(part.column("text"))
                 of = np.fromiter([known.get(w, -1) for w in words.to_pylist()], np.int64, len(words))
                 other = np.flatnonzero(of < 0)
@@ -324,7 +322,7 @@ def scored(codes: DataFrame, words: DataFrame, types: Types, model: Model) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = sent.value
         for batch in batches:
-            for part in common.parts(batch, "ids", PART):
+            for part in common.parts(batch, "ids", common.BATCH_BYTES):
                 ids = _flat(part)
                 n = pc.binary_length(part.column("ids")).to_numpy(zero_copy_only=False) // 4
                 at = np.cumsum(n) - n
@@ -346,6 +344,7 @@ def scored(codes: DataFrame, words: DataFrame, types: Types, model: Model) -> Da
 
 def brown_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Learns from the texts that are not held out and scores every text."""
+    common.small_batches(docs.sparkSession)
     i = F.col(id_column).cast("bigint")
     held_out = F.coalesce(F.crc32(i.cast("string")) % 7 == 2, F.lit(False))
     texts = docs.select(i.alias("doc_id"), held_out.alias("held_out"), F.col(text_column).alias("text"))

@@ -16,7 +16,6 @@ each encoded; null ids stay null; other columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import re
@@ -189,17 +188,13 @@ class TextEncoder:
         return b"".join(map(self.text_of, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=1)
-def text_encoder(path: str) -> TextEncoder:
-    """One encoder to a worker process: its tasks share what it has learnt."""
-    return TextEncoder(path)
-
-
 def encoded(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", keep: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256, and with keep the ids (binary, unsigned 32-bit) and the decoded text."""
 
+    common.small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = text_encoder(tokenizer_path)
+        encoder = common.worker_kept(("trie", tokenizer_path), lambda: TextEncoder(tokenizer_path))
         for b in batches:
             letters = b["text"].str.len().fillna(0).cumsum() // 1_000_000
             for _, part in b.groupby(letters.to_numpy(), sort=True):
@@ -212,6 +207,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", tex
                 if keep:
                     out["ids"], out["decoded"] = ids, texts
                 yield out
+        common.release()
 
     own = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
     return own.mapInPandas(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * keep)

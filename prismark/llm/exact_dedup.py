@@ -100,9 +100,11 @@ def decide(
     content = common.located(docs, [text.alias("bytes")])
     hits = common.stored(common.at_locators(content, common.stored(hits, "dedup-hit-headers")), "dedup-hits")
     first = hits.where("own").select("digest", F.col("bytes").alias("state_bytes"))
-    checked = hits.join(first, "digest").withColumn("same", F.col("bytes") == F.col("state_bytes"))
-    verdicts = checked.groupBy("digest").agg(F.sum((~F.col("same")).cast("bigint")).alias("differ"))
-    hits = checked.join(verdicts, "digest")
+    same = F.col("bytes") == F.col("state_bytes")
+    checked = hits.join(first, "digest").withColumn("same", same).withColumn("bytes", F.when(~same, F.col("bytes"))).drop("state_bytes")
+    checked = common.stored(checked, "dedup-checked")
+    verdicts = checked.where("NOT same").groupBy("digest").agg(F.count(F.lit(1)).alias("differ"))
+    hits = checked.join(verdicts, "digest", "left").withColumn("differ", F.coalesce("differ", F.lit(0)))
     equal = hits.where("same").select(
         "id", "keep_id", (F.col("group_size") - F.col("differ")).alias("group_size"), F.col("own").alias("kept"), "digest", "at_file", "at_row"
     )

@@ -12,18 +12,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prismark.functions.vectors import bound
+
 
 def bits_to_hex(bits: Column, count: int = 64) -> Column:
     """Hex digits of an array of count booleans."""
-    nibble = lambda i: F.slice(bits, i * 4 + 1, 4)
-    digit = lambda i: F.substring(F.lit("0123456789abcdef"), F.aggregate(nibble(i), F.lit(0), lambda acc, b: acc * 2 + b.cast("int")) + 1, F.lit(1))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(count // 4 - 1)), digit), "")
+    def digits(own: Column) -> Column:
+        value = lambda i: F.aggregate(F.slice(own, i * 4 + 1, 4), F.lit(0), lambda acc, b: acc * 2 + b.cast("int"))
+        return F.transform(F.sequence(F.lit(0), F.lit(count // 4 - 1)), lambda i: F.substring(F.lit("0123456789abcdef"), value(i) + 1, F.lit(1)))
+
+    return F.array_join(bound(bits, digits), "")
 
 
 def average_hash(grey: Column) -> Column:
     """Of 64 values: which lie above their mean."""
     mean = F.aggregate(grey, F.lit(0.0), lambda acc, x: acc + x.cast("double")) / F.size(grey)
-    return bits_to_hex(F.transform(grey, lambda x: x.cast("double") > mean))
+    return bits_to_hex(bound(mean, lambda m: F.transform(grey, lambda x: x.cast("double") > m)))
 
 
 def difference_hash(grey: Column, width: int = 8) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over a value that is computed once a row, however often body uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
 
@@ -21,8 +28,8 @@ def norm(a: Column) -> Column:
 
 
 def l2_normalize(a: Column, eps: float = EPSILON) -> Column:
-    """Unit-norm vector; a zero vector stays zero."""
-    return F.transform(a, lambda x: x.cast("double") / F.greatest(norm(a), F.lit(eps)))
+    """Unit-norm vector; a zero vector stays zero. The norm is bound once, not computed for each element."""
+    return bound(F.greatest(norm(a), F.lit(eps)), lambda n: F.transform(a, lambda x: x.cast("double") / n))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -3,16 +3,17 @@
 A word's probability is that of its class after the class before it, times that of the word in its class.
 Exchange clustering assigns the classes. The most frequent types, ``CORE`` of them, are clustered by
 exact exchange on their bigram counts: each in turn moves to the class that gains most likelihood, until
-none moves. Every other type then makes its one best exchange move against the classes of its
-neighbours, all types in parallel.
+none moves. Every other training word then makes its one best exchange move against the classes of its
+neighbours, all words in parallel.
 
 Words are counted exactly over all training texts, however many there are. Only for speed are at most
 ``HEAD`` frequent words, of at most ``LONGEST`` bytes, sent to all tasks as a dictionary, a bound by
-construction. All other words are represented in classes by the type of their ending (``ENDINGS``
-hashed endings), so unseen words too have a class, and their counts reach the texts by a join.
+construction. All other words have their class and count in a table, which reaches the texts by a join:
+the model does not depend on ``HEAD``, as long as it holds the core. Words that training lacks have the
+class of their ending (``ENDINGS`` hashed endings), for which rare words speak.
 
-Texts are encoded once into type ids in the shared folder; every later pass reads those. Passes send
-counts, pre-aggregated, never tokens.
+Texts are encoded once into type ids in the shared folder, and joined once with that table; every later
+pass reads those. Passes send counts, pre-aggregated, never tokens.
 
 Defined results: null text counts as empty, whose one token is the end; a text is held out if crc32 of
 its id as text leaves 2 divided by 7, rows with a null id train; without training texts all counts are
@@ -26,11 +27,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismark.llm import common
@@ -55,7 +55,7 @@ def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, codes, rows
 
 
-def _summed(df: DataFrame, columns: str, count: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], column: str) -> DataFrame:
+def _summed(df: DataFrame, columns: str | list[str], count: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], column: str) -> DataFrame:
     """Counts by key (key, n): ``count`` gives the keys and numbers of a part of a batch."""
     schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 
@@ -101,7 +101,7 @@ def ending(word: bytes) -> int:
 
 @dataclass
 class Types:
-    """What each type id stands for: head words by falling count, then endings, then the end of a text."""
+    """What each type id stands for: head words by falling count, then endings, then the end of a text. Greater ids are a text's other words."""
 
     words: list[bytes]
     counts: np.ndarray
@@ -112,29 +112,32 @@ class Types:
         return len(self.counts) - 1
 
 
-def head_and_endings(words: DataFrame, texts: int) -> tuple[Types, int]:
-    """The types with their counts and numbers of distinct words, and the least count that makes a head word."""
+def head_and_endings(words: DataFrame, texts: int) -> tuple[Types, Column]:
+    """The types with their counts and numbers of distinct words, and the condition for words that are not in the head."""
     short = words.where(F.octet_length("word") <= LONGEST)
     level = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
     levels = short.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).toPandas().sort_values("level", ascending=False)
     fits = levels[levels["kinds"].cumsum() <= HEAD]
-    least = int(fits["least"].min()) if len(fits) else 1 << 62
-    head = short.where(F.col("n") >= least).toPandas()  # at most HEAD rows
+    core = min(CORE, HEAD)  # where whole levels do not hold it, it is taken by count and word
+    whole = fits["kinds"].sum() >= core or len(fits) == len(levels)
+    head = short.where(F.col("n") >= (int(fits["least"].min()) if len(fits) else 1)) if whole else short.orderBy(F.desc("n"), "word").limit(core)
+    head = head.toPandas()  # at most HEAD rows
     head = head.sort_values(["n", "word"], ascending=[False, True])
-    tail = words.where((F.col("n") < least) | (F.octet_length("word") > LONGEST))
-    e = F.pmod(F.crc32(F.substring("word", -LETTERS, LETTERS)), F.lit(ENDINGS))
-    by = tail.groupBy(e.cast("int").alias("e")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).toPandas()
     counts, kinds = np.zeros((2, len(head) + ENDINGS + 1))
     counts[: len(head)], kinds[: len(head)] = head["n"], 1
-    counts[len(head) + by["e"].to_numpy(int)], kinds[len(head) + by["e"].to_numpy(int)] = by["n"], by["kinds"]
     counts[-1], kinds[-1] = texts, texts > 0
-    return Types([bytes(w) for w in head["word"]], counts, kinds), least
+    known = [bytes(w) for w in head["word"]]
+    if not known:
+        return Types(known, counts, kinds), F.lit(True)
+    n, least = F.col("n"), int(head["n"].iloc[-1])
+    above = (n > least) | ((n == least) & (F.col("word") <= F.lit(known[-1])))
+    return Types(known, counts, kinds), ~above | (F.octet_length("word") > LONGEST)
 
 
 def encoded(texts: DataFrame, types: Types) -> DataFrame:
-    """Rows (key, doc_id, held_out, ids, tail): type ids with the end, and the text's words that are not in the head with their numbers."""
+    """Rows (key, doc_id, held_out, ids, tail): type ids with the end, and the text's distinct words that are not in the head; the j-th of them has the first free type id plus j."""
     sent = texts.sparkSession.sparkContext.broadcast(types.words)
-    tail_type = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int32())]))
+    tail_type = pa.list_(pa.binary())
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("tail", tail_type)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,17 +147,17 @@ def encoded(texts: DataFrame, types: Types) -> DataFrame:
             for part in common.parts(batch, "text", common.BATCH_BYTES):
                 words, codes, rows = tokens(part.column("text"))
                 of = np.fromiter([known.get(w, -1) for w in words.to_pylist()], np.int64, len(words))
-                other = np.flatnonzero(of < 0)
-                tail = of[codes] < 0
-                of[other] = [head + ending(w) for w in words.take(pa.array(other)).to_pylist()]
+                own = of[codes]
+                tail = np.flatnonzero(own < 0)
+                pairs, which = np.unique(rows[tail] * len(words) + codes[tail], return_inverse=True)
+                offsets = np.searchsorted(pairs, np.arange(part.num_rows + 1) * len(words))
+                own[tail] = head + ENDINGS + 1 + which - offsets[rows[tail]]
                 n = np.bincount(rows, minlength=part.num_rows)
                 ends = np.cumsum(n + 1)
                 ids = np.full(ends[-1], head + ENDINGS, np.int32)
-                ids[np.arange(len(rows)) + rows] = of[codes]
+                ids[np.arange(len(rows)) + rows] = own
                 data, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
-                pairs, times = np.unique(rows[tail] * len(words) + codes[tail], return_counts=True)
-                offsets = np.searchsorted(pairs, np.arange(part.num_rows + 1) * len(words))
-                inner = pa.StructArray.from_arrays([words.take(pa.array(pairs % max(1, len(words)))), pa.array(times, pa.int32())], fields=list(tail_type.value_type))
+                inner = words.take(pa.array(pairs % max(1, len(words))))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(key, key + part.num_rows)), part.column("doc_id"), part.column("held_out"),
                     pa.array([data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner, type=tail_type),
@@ -162,7 +165,15 @@ def encoded(texts: DataFrame, types: Types) -> DataFrame:
                 key += part.num_rows
 
     own = texts.select("doc_id", "held_out", "text")
-    return own.mapInArrow(run, "key bigint, doc_id bigint, held_out boolean, ids binary, tail array<struct<w: binary, n: int>>")
+    return own.mapInArrow(run, "key bigint, doc_id bigint, held_out boolean, ids binary, tail array<binary>")
+
+
+def _in_tail(part: pa.RecordBatch, ids: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where ids, all of a part, are words of the texts' tails, and their places in the part's flattened tails."""
+    lengths = pc.binary_length(part.column("ids")).to_numpy(zero_copy_only=False) // 4
+    sizes = pc.list_value_length(part.column("tail")).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(ids >= total)
+    return at, np.repeat(np.cumsum(sizes) - sizes, lengths)[at] + ids[at] - total
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -214,20 +225,55 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     return of
 
 
-def clustered(training: DataFrame, types: Types) -> np.ndarray:
-    """The class of every type. training: rows (ids) of the training texts."""
+def _ending(word: str) -> Column:
+    """``ending`` as a column expression."""
+    return F.pmod(F.crc32(F.substring(word, -LETTERS, LETTERS)), F.lit(ENDINGS)).cast("int")
+
+
+def _best_moves(seen: DataFrame, affinity: np.ndarray) -> DataFrame:
+    """Adds the class that gains most to rows with seen: side times classes plus neighbour's class, and how often."""
+    sent = seen.sparkSession.sparkContext.broadcast(np.concatenate([affinity, affinity.T]))  # rows: class before, then class after; columns: own class
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = sent.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            column = b.column("seen")
+            flat = column.flatten()
+            sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+            gain = both[flat.field("k").to_numpy()] * flat.field("n").to_numpy()[:, None]
+            best = np.add.reduceat(gain, np.cumsum(sizes) - sizes).argmax(1)  # none is empty
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.int64())], names=[*b.schema.names, "class"])
+
+    return seen.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in seen.dtypes) + ", class bigint")
+
+
+@dataclass
+class Found:
+    """Classes of all types, and of the tail: its table (word, n, class), tokens and distinct words by class."""
+
+    of: np.ndarray
+    tail: DataFrame | None
+    counts: np.ndarray
+    kinds: np.ndarray
+
+
+def clustered(training: DataFrame, types: Types, tail_words: DataFrame | None = None) -> Found:
+    """The class of every type and training word. training: rows (ids, tail) of the training texts; tail_words: rows (word, n) that are not in the head."""
     spark, total = training.sparkSession, len(types.counts)
     order = np.lexsort((np.arange(total), -types.counts))
     core = order[: min(CORE, int((types.counts > 0).sum()))]
     if not len(core):
-        return np.zeros(total, np.int64)
-    place = np.full(total, -1, np.int64)
+        empty = tail_words.select("word", "n", F.lit(0).cast("bigint").alias("class")) if tail_words is not None else None
+        return Found(np.zeros(total, np.int64), empty, np.zeros(1), np.zeros(1))
+    place = np.full(total + 1, -1, np.int64)
     place[core] = np.arange(len(core))
     size, end = len(core), types.end
     sent = spark.sparkContext.broadcast(place)
 
     def pairs(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        at = sent.value[np.concatenate([[end], _flat(part)])]  # each text ends with the end, so the next one starts after it
+        at = sent.value[np.minimum(np.concatenate([[end], _flat(part)]), total)]  # each text ends with the end, so the next one starts after it
         both = (at[:-1] >= 0) & (at[1:] >= 0)
         return np.unique(at[:-1][both] * size + at[1:][both], return_counts=True)
 
@@ -239,44 +285,80 @@ def clustered(training: DataFrame, types: Types) -> np.ndarray:
     n = member.T @ bigrams @ member + 0.1
     affinity = np.log(n) - np.log(n.sum(1))[:, None] - np.log(n.sum(0))[None]
 
-    of = np.full(total, -1, np.int64)
+    of = np.full(total + 1, -1, np.int64)
     of[core] = own
-    speaks = np.full(total, -1, np.int64)  # the ending that a rare head word also speaks for
+    speaks = np.full(total + 1, -1, np.int64)  # the ending that a rare head word also speaks for
     head = len(types.words)
     for i in np.flatnonzero(types.counts[:head] <= RARE):
         speaks[i] = head + ending(types.words[i])
     about = spark.sparkContext.broadcast((of, speaks))
+    schema = pa.schema([("word", pa.binary()), ("key", pa.int64()), ("n", pa.int64())])
 
-    def around(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, speaks = about.value
-        ids = np.concatenate([[end], _flat(part)]).astype(np.int64)
-        c = of[ids]
-        keys = []
-        for own_ids, own_c, other, side in ((ids[1:], c[1:], c[:-1], 0), (ids[:-1], c[:-1], c[1:], 1)):
-            own_ids = np.where(own_c < 0, own_ids, -1)
-            for who in (own_ids, speaks[np.maximum(own_ids, 0)]):
-                some = (own_ids >= 0) & (who >= 0) & (other >= 0)
-                keys.append((who[some] * 2 + side) * k + other[some])
-        return np.unique(np.concatenate(keys), return_counts=True)
-
-    seen = _summed(training, "ids", around, "ids")
-    # at most two sides times CLASSES rows for each type
-    by_type = seen.groupBy((F.col("key") / (2 * k)).cast("bigint").alias("type")).agg(F.collect_list(F.struct((F.col("key") % (2 * k)).cast("int").alias("k"), "n")).alias("seen"))
-    both = np.concatenate([affinity, affinity.T])  # rows: class before, then class after; columns: own class
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for rows in b["seen"]:
-                at, n = [r["k"] for r in rows], np.array([r["n"] for r in rows], float)
-                out.append(int((n @ both[at]).argmax()))
-            yield pd.DataFrame({"type": b["type"], "class": pd.Series(out, dtype="int64")})
-
-    moved = by_type.mapInPandas(best, "type bigint, class bigint").toPandas()  # at most one row a type
+        for batch in batches:
+            for part in common.parts(batch, "ids", common.BATCH_BYTES):
+                flat = _flat(part)
+                at, places = _in_tail(part, flat, total)
+                coded = part.column("tail").flatten().dictionary_encode()
+                word = np.full(len(flat) + 1, -1, np.int64)
+                word[at + 1] = coded.indices.to_numpy()[places]
+                ids = np.minimum(np.concatenate([[end], flat]).astype(np.int64), total)
+                c = of[ids]
+                keys, words = [], []
+                for mine, other, side in ((slice(1, None), c[:-1], 0), (slice(None, -1), c[1:], 1)):
+                    some = (c[mine] < 0) & (other >= 0)
+                    about_, seen, own_word = ids[mine][some], side * k + other[some], word[mine][some]
+                    for who in (np.where(own_word < 0, about_, -1), speaks[about_]):
+                        keys.append(who[who >= 0] * 2 * k + seen[who >= 0])
+                    words.append(own_word[own_word >= 0] * 2 * k + seen[own_word >= 0])
+                for x, named in ((keys, False), (words, True)):
+                    x, n = np.unique(np.concatenate(x), return_counts=True)
+                    names = coded.dictionary.take(pa.array(x // (2 * k))) if named else pa.nulls(len(x), pa.binary())
+                    yield pa.RecordBatch.from_arrays([names, pa.array(x % (2 * k) if named else x, pa.int64()), pa.array(n, pa.int64())], schema=schema)
+
+    seen = training.select("ids", "tail").mapInArrow(around, "word binary, key bigint, n bigint").groupBy("word", "key").agg(F.sum("n").alias("n"))
+    # at most two sides times CLASSES rows for each type or word
+    one = F.struct((F.col("key") % (2 * k)).cast("int").alias("k"), "n")
+    by_type = seen.groupBy("word", (F.col("key") / (2 * k)).cast("bigint").alias("type")).agg(F.sort_array(F.collect_list(one)).alias("seen"))
+    moves = common.stored(_best_moves(by_type, affinity), "brown-moves")
+    moved = moves.where(f"word IS NULL AND type < {head}").select("type", "class").toPandas()  # at most one row a type
     of[moved["type"]] = moved["class"]
-    kinds = np.bincount(of[of >= 0], types.kinds[of >= 0], k)
-    of[of < 0] = int(kinds.argmax())  # types without a clustered neighbour: the class with the most words
-    return of
+
+    votes = moves.where(f"word IS NULL AND type >= {head}").select((F.col("type") - head).cast("int").alias("e"), F.explode("seen").alias("s"))
+    if tail_words is not None:
+        of_words = tail_words.join(moves.where("word IS NOT NULL").select("word", "class", "seen"), "word", "left")
+        tail = common.stored(of_words.withColumn("seen", F.when(F.col("n") <= RARE, F.col("seen"))), "brown-classes")
+        votes = votes.union(tail.select(_ending("word").alias("e"), F.explode("seen").alias("s")))
+    summed = votes.groupBy("e", F.col("s.k").alias("k")).agg(F.sum("s.n").alias("n"))
+    by_ending = summed.groupBy("e").agg(F.sort_array(F.collect_list(F.struct("k", "n"))).alias("seen"))
+    moved = _best_moves(by_ending, affinity).select("e", "class").toPandas()  # at most ENDINGS rows
+    of[head + moved["e"]] = moved["class"]
+
+    of = of[:total]
+    counts, kinds, more = np.zeros(k), np.zeros(k), np.zeros(2)
+    if tail_words is not None:
+        for r in tail.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect():  # at most CLASSES rows and one
+            if r["class"] is None:
+                more = np.array([r["n"], r["kinds"]])
+            else:
+                counts[r["class"]], kinds[r["class"]] = r["n"], r["kinds"]
+    rest = int((np.bincount(of[of >= 0], types.kinds[of >= 0], k) + kinds).argmax())  # types without a clustered neighbour: the class with the most words
+    of[of < 0] = rest
+    counts[rest] += more[0]
+    kinds[rest] += more[1]
+    table = None if tail_words is None else tail.select("word", "n", F.coalesce("class", F.lit(rest)).alias("class"))
+    return Found(of, table, counts, kinds)
+
+
+def placed(codes: DataFrame, found: Found) -> DataFrame:
+    """codes with (class, n) for the words of each text's tail; unseen words have -1 - their ending instead, and no count."""
+    words = codes.select("key", F.posexplode("tail").alias("j", "word"))
+    known = words.join(found.tail, "word", "left")
+    joined = known.select("key", F.struct("j", F.coalesce("class", -1 - _ending("word")).cast("int").alias("class"), F.coalesce("n", F.lit(0)).alias("n")).alias("t"))
+    tails = joined.groupBy("key").agg(F.sort_array(F.collect_list("t")).alias("tail"))
+    none = F.array().cast("array<struct<j: int, class: int, n: bigint>>")
+    return codes.drop("tail").join(tails, "key", "left").withColumn("tail", F.coalesce("tail", none))
 
 
 @dataclass
@@ -285,39 +367,52 @@ class Model:
     transitions: np.ndarray
     emissions: np.ndarray
     base: np.ndarray
+    below: np.ndarray
+    of_all: float
     head: int
     train_tokens: int
 
 
-def fit(training: DataFrame, types: Types) -> Model:
-    """Log10 tables. For types of endings they lack the part log10(c + 1), c the word's count."""
-    of = clustered(training, types)
-    k, end = int(of.max()) + 1, types.end
+def _class_of(part: pa.RecordBatch, ids: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The classes of a part's ids after the end, which stands before them; where ids are of the tail, and how often training has those."""
+    at, places = _in_tail(part, ids, len(of))
+    c = of[np.minimum(np.concatenate([[len(of) - 1], ids]), len(of) - 1)]
+    if not len(at):
+        return c, at, np.zeros(0)
+    tail = part.column("tail").flatten()
+    own = tail.field("class").to_numpy()[places]
+    c[at + 1] = np.where(own < 0, of[len(of) - 2 - ENDINGS - own], own)  # endings stand before the end
+    return c, at, tail.field("n").to_numpy()[places]
+
+
+def fit(training: DataFrame, types: Types, found: Found | None = None) -> Model:
+    """Log10 tables. For words of the tail they lack the part log10(c + 1), c the word's count. training: placed rows, or any if no text has a tail."""
+    found = found or clustered(training, types)
+    of, k, end = found.of, len(found.counts), types.end
     sent = training.sparkSession.sparkContext.broadcast(of)
 
     def steps(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        c = sent.value[np.concatenate([[end], _flat(part)])]
+        c, _, _ = _class_of(part, _flat(part), sent.value)
         n = np.bincount(c[:-1] * k + c[1:], minlength=k * k)
         return np.flatnonzero(n), n[n > 0]
 
-    t = _collected(_summed(training, "ids", steps, "ids"), k * k).reshape(k, k)  # at most CLASSES * CLASSES rows
-    own = np.bincount(of, types.counts, k)
+    t = _collected(_summed(training, ["ids", "tail"], steps, "ids"), k * k).reshape(k, k)  # at most CLASSES * CLASSES rows
+    own = np.bincount(of, types.counts, k) + found.counts
     share = (own + 1) / (own.sum() + k)
     transitions = np.log10((t + k * share) / (t.sum(1) + k)[:, None])
-    below = np.log10(own + np.bincount(of, types.kinds, k) + 1)[of]
+    below = np.log10(own + np.bincount(of, types.kinds, k) + found.kinds + 1)
     head = len(types.words)
     numerators = np.log10(types.counts + 1)
-    numerators[head:end] = 0
-    tokens_, kinds = types.counts.sum(), types.kinds.sum()
-    return Model(of, transitions, numerators - below, numerators - np.log10(tokens_ + kinds + 1), head, int(tokens_))
+    tokens_, kinds = types.counts.sum() + found.counts.sum(), types.kinds.sum() + found.kinds.sum()
+    of_all = np.log10(tokens_ + kinds + 1)
+    return Model(of, transitions, numerators - below[of], numerators - of_all, below, of_all, head, int(tokens_))
 
 
-def scored(codes: DataFrame, words: DataFrame, types: Types, model: Model) -> DataFrame:
-    """One row per text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def scored(codes: DataFrame, types: Types, model: Model) -> DataFrame:
+    """One row per text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. codes: placed rows."""
     end, known = types.end, types.counts > 0
-    known[model.head : end] = False  # the join tells which of these are known
     sent = codes.sparkSession.sparkContext.broadcast((model, known))
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = sent.value
@@ -325,21 +420,18 @@ def scored(codes: DataFrame, words: DataFrame, types: Types, model: Model) -> Da
             for part in common.parts(batch, "ids", common.BATCH_BYTES):
                 ids = _flat(part)
                 n = pc.binary_length(part.column("ids")).to_numpy(zero_copy_only=False) // 4
-                at = np.cumsum(n) - n
-                c = m.classes[np.concatenate([[end], ids])]
-                of_token = m.transitions[c[:-1], c[1:]] + m.emissions[ids]
-                sums = [np.add.reduceat(x, at) for x in (known[ids].astype(np.int64), m.base[ids], of_token)]
-                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("key", "doc_id", "held_out")), pa.array(n, pa.int64()), *map(pa.array, sums)], schema=schema)
-
-    rows = codes.select("key", "doc_id", "held_out", "ids").mapInArrow(run, "key bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    tail = codes.select("key", F.explode("tail").alias("t")).select("key", F.col("t.w").alias("word"), F.col("t.n").alias("times"))
-    joined = tail.join(words, "word")  # unseen words add log10(1) and are not known
-    by_text = joined.groupBy("key").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("found"))
-    more, found = F.coalesce("more", F.lit(0.0)), F.coalesce("found", F.lit(0))
-    return rows.join(by_text, "key", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + found).alias("n_known"), F.lit(model.train_tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"),
-    )
+                starts = np.cumsum(n) - n
+                c, at, times = _class_of(part, ids, m.classes)
+                ids = np.minimum(ids, end)
+                is_known, base, own = known[ids].astype(np.int64), m.base[ids], m.emissions[ids]
+                more = np.log10(times + 1)
+                is_known[at], base[at], own[at] = times > 0, more - m.of_all, more - m.below[c[at + 1]]
+                sums = [np.add.reduceat(x, starts) for x in (is_known, base, m.transitions[c[:-1], c[1:]] + own)]
+                trained = pa.array(np.full(part.num_rows, m.train_tokens, np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(n, pa.int64()), pa.array(sums[0]), trained, *map(pa.array, sums[1:])], schema=schema)
+
+    rows = codes.select("doc_id", "held_out", "ids", "tail")
+    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def brown_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -350,11 +442,11 @@ def brown_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     texts = docs.select(i.alias("doc_id"), held_out.alias("held_out"), F.col(text_column).alias("text"))
     training = texts.where("NOT held_out")
     words = common.stored(word_counts(training), "brown-words")
-    types, least = head_and_endings(words, training.count())
+    types, in_tail = head_and_endings(words, training.count())
     codes = common.stored(encoded(texts, types), "brown-codes")
-    model = fit(codes.where("NOT held_out"), types)
-    tail = words.where((F.col("n") < least) | (F.octet_length("word") > LONGEST))
-    return scored(codes, tail, types, model)
+    found = clustered(codes.where("NOT held_out"), types, words.where(in_tail))
+    codes = common.stored(placed(codes, found), "brown-placed")
+    return scored(codes, types, fit(codes.where("NOT held_out"), types, found))
 
 
 def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,6 +127,19 @@ def test_brown_counts_and_scores(spark, monkeypatch, head):
     assert per("score") > per("base_score") + 0.1  # two languages: the class before tells which
 
 
+def test_brown_classes_do_not_depend_on_the_dictionary(spark, monkeypatch):
+    """Words that are not sent to all tasks have classes of their own: scores are the same as if all were sent."""
+    monkeypatch.setattr(brown_lm, "CORE", 12)
+    r = random.Random(9)
+    text = lambda a: " ".join(f"{a}{int(r.expovariate(0.05))}ness" for _ in range(r.randrange(5, 40)))
+    rows = [(i, text("ab"[i % 2])) for i in range(300)] + [(1000, None), (1001, "new words a1ness"), (None, "a1ness lone"), (1002, "x" * 90 + " b2ness")]
+    scores = []
+    for head in (131_072, 40, 12):
+        monkeypatch.setattr(brown_lm, "HEAD", head)
+        scores.append(sorted((-1 if x["doc_id"] is None else x["doc_id"], x["n_known"], round(x["score"], 8)) for x in brown_lm.brown_scores(docs(spark, rows)).collect()))
+    assert scores[0] == scores[1] == scores[2]
+
+
 def test_brown_model_is_a_distribution(spark):
     """Over the training words and one unseen word a class, the chances after any class add up to 1."""
     r = random.Random(6)

@@ -140,6 +140,10 @@ def test_brown_classes_do_not_depend_on_the_dictionary(spark, monkeypatch):
     assert scores[0] == scores[1] == scores[2]
 
 
+def test_brown_core_is_whole():
+    assert brown_lm.CORE >= 2048
+
+
 def test_brown_model_is_a_distribution(spark):
     """Over the training words and one unseen word a class, the chances after any class add up to 1."""
     r = random.Random(6)

@@ -4,8 +4,9 @@ A text is cut into sentences, which are normalised (A-Z lower-cased, everything
 space) and looked up among known licence sentences. The identifiers found, in order, are then matched
 against ordered licence rules, each a sequence of identifiers that must follow one another with no other
 known sentence between; a rule takes what it matches, so a later, more general rule does not count it
-again. Sentences end at a stop before white space, at a blank line, or at the end of a line; texts that
-wrap their lines are read a second time with line ends as spaces.
+again. Sentences end at a stop before white space (but not in "v. 2.0"), at a blank line, or at the end of a line;
+what stands between stops is also read with line ends as spaces, and takes its place in the order. Known
+sentences with a stop inside are found by their pieces.
 
 Everything is done within a row: no join, no shuffle.
 
@@ -15,6 +16,8 @@ null ids stay null; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,10 +128,33 @@ RULES = [
     ("bsd3-note", "BSD-3-Clause", ["bsd3-note"]),
     ("bsd2-note", "BSD-2-Clause", ["bsd2-note"]),
 ]
+#: Known sentences with a stop inside, as their licences print them. Each piece that the stops leave has an identifier of its own.
+STOPPED = {
+    "gpl3-terms": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl2-terms": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+}
 MARK = "\x01"
 ENDS = r"[.!?;:]+[ \t\r\n]+|\n[ \t\r]*\n"
 
 
+#: What SQL has no part in: version numbers after "v." are no new sentence.
+READ_ENDS = r"(?!(?<=\bv)\.[ \t\r\n]+[0-9])" + ENDS
+
+
+def _pieces() -> tuple[dict[str, str], dict[str, list[str]]]:
+    """The pieces of STOPPED, cut and normalised as texts are, with identifiers; and the identifiers of each sentence."""
+    known: dict[str, str] = {}
+    whole = {}
+    for name, text in STOPPED.items():
+        cut = [re.sub("[^a-z0-9]+", " ", x).strip() for x in re.split(READ_ENDS, text.lower() + "\n")]
+        whole[name] = [known.setdefault(x, f"part-{len(known)}") for x in cut if x]
+    return known, whole
+
+
+PIECES, WHOLE = _pieces()
+
+
 def _identifiers(sentences: Column, sentences_known: dict[str, str]) -> Column:
     """The identifiers of the known ones among normalised sentences, in order."""
     table = F.create_map(*[F.lit(x) for pair in sentences_known.items() for x in pair])
@@ -150,17 +176,27 @@ def _matched(sequence: Column, rules: list[tuple[str, str, list[str]]]) -> Colum
 def scanned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, str, list[str]]] = RULES) -> DataFrame:
     """One row per text with a known sentence: doc_id, sentence_ids, rules (name:count, in rule order), licences (sorted, distinct)."""
     text = F.concat(common.ascii_lower(F.coalesce(F.col(text_column), F.lit(""))), F.lit("\n"))
-    clean = F.regexp_replace(F.regexp_replace(text, ENDS, MARK), f"[^a-z0-9\n{MARK}]+", " ")
+    clean = F.regexp_replace(F.regexp_replace(text, READ_ENDS, MARK), f"[^a-z0-9\n{MARK}]+", " ")
     own = docs.select(F.col(id_column).alias("doc_id"), clean.alias("clean"))
-    lines = F.transform(F.split("clean", f"[\n{MARK}]"), lambda s: F.trim(s))
-    wrapped = F.filter(F.split("clean", MARK), lambda s: F.trim(F.replace(s, F.lit("\n"), F.lit("#"))).contains("#"))
-    wrapped = F.transform(wrapped, lambda s: F.trim(F.regexp_replace(s, "[ \n]+", " ")))
-    own = own.select("doc_id", _identifiers(lines, sentences).alias("a"), _identifiers(wrapped, sentences).alias("b"))
-    # a sentence on one line is read both ways; only what wrapping hides is added
-    own = own.withColumn("b", F.array_except("b", "a")).where((F.size("a") > 0) | (F.size("b") > 0))
-    own = own.withColumn("sentence_ids", F.concat("a", "b"))
+    sentences = PIECES | sentences
+    # each chunk between stops is read by lines and, if it has several, as one sentence
+    wrapped = lambda c: F.trim(F.replace(c, F.lit("\n"), F.lit("#"))).contains("#")
+    one = lambda c: F.when(wrapped(c), F.array(F.trim(F.regexp_replace(c, "[ \n]+", " ")))).otherwise(F.array().cast("array<string>"))
+    lines = lambda c: F.transform(F.split(c, "\n"), lambda s: F.trim(s))
+    read = F.transform(F.split("clean", MARK), lambda c: F.struct(_identifiers(lines(c), sentences).alias("a"), _identifiers(one(c), sentences).alias("b")))
+    own = own.select("doc_id", F.filter(read, lambda r: (F.size(r["a"]) > 0) | (F.size(r["b"]) > 0)).alias("read")).where(F.size("read") > 0)
+    # a sentence over several lines stands where its chunk stands; known lines inside it follow after all others
+    first = F.flatten(F.transform("read", lambda r: F.when(F.size(r["b"]) > 0, r["b"]).otherwise(r["a"])))
+    inside = F.flatten(F.transform(F.filter("read", lambda r: F.size(r["b"]) > 0), lambda r: F.filter(r["a"], lambda x: ~F.array_contains(r["b"], x))))
     padded = lambda c: F.concat(F.lit(" "), F.array_join(c, "  "), F.lit(" "))
-    own = own.withColumn("counts", _matched(padded(F.col("sentence_ids")), rules))
+    sequence = padded(F.concat(first, inside))
+    for name, parts in WHOLE.items():
+        sequence = F.replace(sequence, F.lit(f" {'  '.join(parts)} "), F.lit(f" {name} "))
+    for part in PIECES.values():  # pieces without the others say nothing
+        sequence = F.replace(sequence, F.lit(f" {part} "), F.lit(""))
+    own = own.select("doc_id", sequence.alias("sequence")).where(F.trim("sequence") != "")
+    own = own.withColumn("sentence_ids", F.split(F.trim("sequence"), " +"))
+    own = own.withColumn("counts", _matched(F.col("sequence"), rules))
     names = F.array(*[F.lit(n) for n, _, _ in rules])
     licences = F.array(*[F.lit(x) for _, x, _ in rules])
     found = F.filter(F.arrays_zip(F.col("counts").alias("n"), names.alias("rule"), licences.alias("licence")), lambda r: r["n"] > 0)

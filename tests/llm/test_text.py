@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -262,3 +263,19 @@ def test_licences(spark):
         (7, "apache-note:1 apache-title:1", "Apache-2.0"), (8, "gpl3-title:1", "GPL-3.0-only"), (9, "", ""),
     ]
     assert license_scan.scanned(docs(spark, [])).count() == 0
+
+
+GPL3 = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+GPL2 = GPL3.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+
+
+def wrapped(text, width):
+    return "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+
+
+@pytest.mark.parametrize("width", [40, 72, 79, 10_000])
+def test_licences_with_stops_inside(spark, width):
+    rows = [(i, wrapped(t, width)) for i, t in enumerate([GPL3, GPL2, MPL, "This program is free software: so there."])]
+    got = {r["doc_id"]: (r["rules"], r["licences"]) for r in license_scan.scanned(docs(spark, rows)).collect()}
+    assert got == {0: ("gpl3-header:1", "GPL-3.0-or-later"), 1: ("gpl2-header:1", "GPL-2.0-or-later"), 2: ("mpl-terms:1", "MPL-2.0")}

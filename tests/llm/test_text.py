@@ -279,3 +279,26 @@ def test_licences_with_stops_inside(spark, width):
     rows = [(i, wrapped(t, width)) for i, t in enumerate([GPL3, GPL2, MPL, "This program is free software: so there."])]
     got = {r["doc_id"]: (r["rules"], r["licences"]) for r in license_scan.scanned(docs(spark, rows)).collect()}
     assert got == {0: ("gpl3-header:1", "GPL-3.0-or-later"), 1: ("gpl2-header:1", "GPL-2.0-or-later"), 2: ("mpl-terms:1", "MPL-2.0")}
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+
+
+def test_licences_keep_order_and_repeats(spark):
+    """Wrapped sentences stand where they stand in the text, as often as they do."""
+    mit = MIT.split("\n\n", 2)[2]
+    flat = "\n\n".join(" ".join(p.split()) for p in mit.split("\n\n"))
+    rows = [(1, wrapped(flat, 130)), (2, wrapped(mit + "\n\n" + mit, 70)), (3, flat + "\n\n" + flat), (4, APACHE + "\n\n" + APACHE), (5, mit + "\n\n" + flat)]
+    got = {r["doc_id"]: r["rules"] for r in license_scan.scanned(docs(spark, rows)).collect()}
+    assert got == {1: "mit-full:1", 2: "mit-full:2", 3: "mit-full:2", 4: "apache-header:2", 5: "mit-full:2"}

@@ -1,14 +1,19 @@
 """Licence scans by sentence rules (native: DataFrame functions only).
 
-A text is cut into sentences, which are normalised (A-Z lower-cased, everything but a-z and 0-9 made one
-space) and looked up among known licence sentences. The identifiers found, in order, are then matched
-against ordered licence rules, each a sequence of identifiers that must follow one another with no other
-known sentence between; a rule takes what it matches, so a later, more general rule does not count it
-again. Sentences end at a stop before white space (but not in "v. 2.0"), at a blank line, or at the end of a line;
-what stands between stops is also read with line ends as spaces, and takes its place in the order. Known
-sentences with a stop inside are found by their pieces.
+A text is normalised (A-Z lower-cased, everything but a-z and 0-9 made one space, line ends kept) and cut
+into sentences by stops before white space, by blank lines and by line ends. Known licence sentences are
+recognised in one ordered pass: a known sentence begins where a sentence or line begins, ends where one
+ends, and may be wrapped over lines; those that licences print with a stop inside (``INNER_STOPS``) may
+hold stops too. Of sentences that begin at one place the one with the most words counts, and the search
+goes on behind it, so a wrapped sentence counts once and each stands where it stands in the text, as often
+as it does. Signs that begin a line, such as those of comments, drop out when the text is normalised.
 
-Everything is done within a row: no join, no shuffle.
+The identifiers, in order, are then matched against ordered licence rules, each a sequence of identifiers
+that must follow one another with no other known sentence between; a rule takes what it matches, so a
+later, more general rule does not count it again.
+
+Everything is done within a row: no join, no shuffle. Texts that lack every word of a small set, of which
+each known sentence has one, are left out before they are normalised; they can have no known sentence.
 
 Defined results: null and empty texts have no sentences and no licences; repeated rows are scanned each;
 null ids stay null; other columns are ignored.
@@ -16,7 +21,7 @@ null ids stay null; other columns are ignored.
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,38 +133,27 @@ RULES = [
     ("bsd3-note", "BSD-3-Clause", ["bsd3-note"]),
     ("bsd2-note", "BSD-2-Clause", ["bsd2-note"]),
 ]
-#: Known sentences with a stop inside, as their licences print them. Each piece that the stops leave has an identifier of its own.
-STOPPED = {
-    "gpl3-terms": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "gpl2-terms": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
-}
+#: Sentences that their licences print with a stop before white space inside.
+INNER_STOPS = {"gpl3-terms", "gpl2-terms", "gpl-hope", "mpl-terms"}
 MARK = "\x01"
-ENDS = r"[.!?;:]+[ \t\r\n]+|\n[ \t\r]*\n"
-
-
-#: What SQL has no part in: version numbers after "v." are no new sentence.
-READ_ENDS = r"(?!(?<=\bv)\.[ \t\r\n]+[0-9])" + ENDS
-
-
-def _pieces() -> tuple[dict[str, str], dict[str, list[str]]]:
-    """The pieces of STOPPED, cut and normalised as texts are, with identifiers; and the identifiers of each sentence."""
-    known: dict[str, str] = {}
-    whole = {}
-    for name, text in STOPPED.items():
-        cut = [re.sub("[^a-z0-9]+", " ", x).strip() for x in re.split(READ_ENDS, text.lower() + "\n")]
-        whole[name] = [known.setdefault(x, f"part-{len(known)}") for x in cut if x]
-    return known, whole
 
 
-PIECES, WHOLE = _pieces()
+def telling_words(sentences: list[str], letters: int = 7) -> list[str]:
+    """A small set of words, long ones where there are any, of which every sentence holds one; chosen greedily."""
+    left, out = list(sentences), []
+    while left:
+        words = {w for s in left for w in s.split()}
+        words = {w for w in words if len(w) >= letters} or words
+        out.append(max(sorted(words), key=lambda w: sum(w in s for s in left)))
+        left = [s for s in left if out[-1] not in s]
+    return out
 
 
-def _identifiers(sentences: Column, sentences_known: dict[str, str]) -> Column:
-    """The identifiers of the known ones among normalised sentences, in order."""
-    table = F.create_map(*[F.lit(x) for pair in sentences_known.items() for x in pair])
-    known = F.filter(sentences, lambda s: s.isin(*sentences_known))
-    return F.transform(known, lambda s: F.element_at(table, s))
+def _pattern(sentences: dict[str, str]) -> str:
+    """A known sentence, as group 1, between boundaries; the sentences with the most words come first."""
+    ordered = sorted(sentences, key=lambda s: (-len(s.split()), s))
+    inside = lambda s: f"[ \\n{MARK}]+" if sentences[s] in INNER_STOPS else "[ \\n]+"
+    return f"(?:^|[\\n{MARK}]) ?({'|'.join(inside(s).join(s.split()) for s in ordered)})(?= ?[\\n{MARK}])"
 
 
 def _matched(sequence: Column, rules: list[tuple[str, str, list[str]]]) -> Column:
@@ -175,28 +169,17 @@ def _matched(sequence: Column, rules: list[tuple[str, str, list[str]]]) -> Colum
 
 def scanned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, str, list[str]]] = RULES) -> DataFrame:
     """One row per text with a known sentence: doc_id, sentence_ids, rules (name:count, in rule order), licences (sorted, distinct)."""
-    text = F.concat(common.ascii_lower(F.coalesce(F.col(text_column), F.lit(""))), F.lit("\n"))
-    clean = F.regexp_replace(F.regexp_replace(text, READ_ENDS, MARK), f"[^a-z0-9\n{MARK}]+", " ")
-    own = docs.select(F.col(id_column).alias("doc_id"), clean.alias("clean"))
-    sentences = PIECES | sentences
-    # each chunk between stops is read by lines and, if it has several, as one sentence
-    wrapped = lambda c: F.trim(F.replace(c, F.lit("\n"), F.lit("#"))).contains("#")
-    one = lambda c: F.when(wrapped(c), F.array(F.trim(F.regexp_replace(c, "[ \n]+", " ")))).otherwise(F.array().cast("array<string>"))
-    lines = lambda c: F.transform(F.split(c, "\n"), lambda s: F.trim(s))
-    read = F.transform(F.split("clean", MARK), lambda c: F.struct(_identifiers(lines(c), sentences).alias("a"), _identifiers(one(c), sentences).alias("b")))
-    own = own.select("doc_id", F.filter(read, lambda r: (F.size(r["a"]) > 0) | (F.size(r["b"]) > 0)).alias("read")).where(F.size("read") > 0)
-    # a sentence over several lines stands where its chunk stands; known lines inside it follow after all others
-    first = F.flatten(F.transform("read", lambda r: F.when(F.size(r["b"]) > 0, r["b"]).otherwise(r["a"])))
-    inside = F.flatten(F.transform(F.filter("read", lambda r: F.size(r["b"]) > 0), lambda r: F.filter(r["a"], lambda x: ~F.array_contains(r["b"], x))))
-    padded = lambda c: F.concat(F.lit(" "), F.array_join(c, "  "), F.lit(" "))
-    sequence = padded(F.concat(first, inside))
-    for name, parts in WHOLE.items():
-        sequence = F.replace(sequence, F.lit(f" {'  '.join(parts)} "), F.lit(f" {name} "))
-    for part in PIECES.values():  # pieces without the others say nothing
-        sequence = F.replace(sequence, F.lit(f" {part} "), F.lit(""))
-    own = own.select("doc_id", sequence.alias("sequence")).where(F.trim("sequence") != "")
-    own = own.withColumn("sentence_ids", F.split(F.trim("sequence"), " +"))
-    own = own.withColumn("counts", _matched(F.col("sequence"), rules))
+    text = F.translate(F.coalesce(F.col(text_column), F.lit("")), common.UPPER + MARK, common.LOWER + "\x02")  # MARK is kept for the ends of sentences
+    own = docs.select(F.col(id_column).alias("doc_id"), text.alias("text"))
+    own = own.where(reduce(lambda a, b: a | b, [F.col("text").contains(w) for w in telling_words(list(sentences))]))
+    stops = F.regexp_replace(F.concat("text", F.lit("\n")), "[.!?;:]+[ \t\r\n]+", MARK)
+    clean = F.regexp_replace(F.regexp_replace(stops, f"[^a-z0-9\n{MARK}]+", " "), "\n ?(?:\n ?)+", MARK)
+    found = F.regexp_extract_all(clean, F.lit(_pattern(sentences)), F.lit(1))
+    own = own.select("doc_id", found.alias("found")).where(F.size("found") > 0)
+    identifiers = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
+    ids = F.transform("found", lambda s: F.element_at(identifiers, F.regexp_replace(s, f"[ \n{MARK}]+", " ")))
+    own = own.select("doc_id", ids.alias("sentence_ids"))
+    own = own.withColumn("counts", _matched(F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" ")), rules))
     names = F.array(*[F.lit(n) for n, _, _ in rules])
     licences = F.array(*[F.lit(x) for _, x, _ in rules])
     found = F.filter(F.arrays_zip(F.col("counts").alias("n"), names.alias("rule"), licences.alias("licence")), lambda r: r["n"] > 0)
@@ -213,9 +196,9 @@ def op5_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    """Word by word: every text is a table of words, each with what stands behind it (0 nothing, 1 a line's end, 2 a stop or blank line); sentences join on their first word."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"{q(k)}: {q(v)}" for k, v in SENTENCES.items())
-    keys = ", ".join(q(k) for k in SENTENCES)
+    known = ", ".join(f"([{', '.join(q(w) for w in k.split())}], {q(v)}, {2 if v in INNER_STOPS else 1})" for k, v in SENTENCES.items())
     steps, last = [], "s0"
     for i, (_, _, ids) in enumerate(RULES):
         pattern = "  ".join(ids)
@@ -223,14 +206,20 @@ def _sql() -> str:
         last = f"s{i + 1}"
     found = ", ".join(f"{{'n': n{i}, 'rule': {q(n)}, 'licence': {q(x)}}}" for i, (n, x, _) in enumerate(RULES))
     return f"""
-WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || chr(10) AS x FROM documents),
-c AS (SELECT doc_id, regexp_replace(regexp_replace(x, '[.!?;:]+[ \\t\\r\\n]+|\\n[ \\t\\r]*\\n', chr(1), 'g'), '[^a-z0-9\\n\\x01]+', ' ', 'g') AS clean FROM t),
-l AS (SELECT doc_id, list_transform(string_split_regex(clean, '[\\n\\x01]'), lambda s: trim(s)) AS ls,
-  list_transform(list_filter(string_split(clean, chr(1)), lambda s: contains(trim(replace(s, chr(10), '#')), '#')), lambda s: trim(regexp_replace(s, '[ \\n]+', ' ', 'g'))) AS ws FROM c),
-i AS (SELECT doc_id, list_transform(list_filter(ls, lambda s: s IN ({keys})), lambda s: MAP {{{known}}}[s]) AS a,
-  list_transform(list_filter(ws, lambda s: s IN ({keys})), lambda s: MAP {{{known}}}[s]) AS b FROM l),
-j AS (SELECT doc_id, a || list_filter(list_distinct(b), lambda y: NOT list_contains(a, y)) AS ids FROM i),
-base AS (SELECT doc_id, ids, ' ' || array_to_string(ids, '  ') || ' ' AS s0 FROM j WHERE len(ids) > 0),
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || chr(10), '[a-z0-9]+|[.!?;:]+[ \\t\\r\\n]+|\\n') AS x FROM documents),
+u AS (SELECT r, unnest(x) AS token, generate_subscripts(x, 1) AS i FROM t),
+v AS (SELECT r, i, token, regexp_matches(token, '^[a-z0-9]') AS is_word FROM u),
+n AS (SELECT *, (sum(is_word::INT) OVER (PARTITION BY r ORDER BY i))::BIGINT AS p FROM v),
+w AS (SELECT r, p, max(token) FILTER (is_word) AS word, CASE WHEN bool_or(NOT is_word AND token <> chr(10)) OR count(*) FILTER (token = chr(10)) > 1 THEN 2 WHEN count(*) > 1 THEN 1 ELSE 0 END AS behind FROM n WHERE p > 0 GROUP BY r, p),
+l AS (SELECT r, list(word ORDER BY p) AS words, list(behind ORDER BY p) AS behind FROM w GROUP BY r),
+k(words, id, most) AS (VALUES {known}),
+m AS (SELECT w.r, w.p AS a, w.p + len(k.words) - 1 AS b, k.id FROM w JOIN k ON w.word = k.words[1] JOIN l ON l.r = w.r
+  WHERE (w.p = 1 OR l.behind[w.p - 1] > 0) AND l.words[w.p : w.p + len(k.words) - 1] = k.words AND l.behind[w.p + len(k.words) - 1] > 0
+  AND (len(k.words) = 1 OR list_max(l.behind[w.p : w.p + len(k.words) - 2]) <= k.most)),
+g AS (SELECT DISTINCT r, 0::BIGINT AS a, 0::BIGINT AS b, '' AS id FROM m UNION ALL
+  (SELECT m.r, m.a, m.b, m.id FROM g JOIN m ON m.r = g.r AND m.a > g.b QUALIFY row_number() OVER (PARTITION BY m.r ORDER BY m.a, m.b DESC) = 1)),
+j AS (SELECT r, list(id ORDER BY a) AS ids FROM g WHERE a > 0 GROUP BY r),
+base AS (SELECT t.doc_id, ids, ' ' || array_to_string(ids, '  ') || ' ' AS s0 FROM j JOIN t USING (r)),
 {", ".join(steps)},
 f AS (SELECT doc_id, ids, list_filter([{found}], lambda r: r.n > 0) AS found FROM r{len(RULES) - 1})
 SELECT doc_id, array_to_string(ids, ' ') AS sentence_ids, array_to_string(list_transform(found, lambda r: r.rule || ':' || r.n), ' ') AS rules,

@@ -1,69 +1,152 @@
 """WARC archives: writing, reading, and revisit resolution.
 
-Archives are gzip files of WARC/1.0 records that Spark's text writer puts in the shared folder, so any
-store that Spark can write to will hold them; ``records_per_file`` bounds an archive. They are read
-back through Spark's binary reader and parsed by content length, as payloads may hold any bytes.
+Archives are WARC/1.0 files with a gzip member for each record, so a reader can start at any record. A
+Python step makes the members, from Arrow batches bounded by bytes; Spark's text writer puts their bytes
+into the shared folder as they are, so any store that Spark can write to will hold them. The writer puts
+something behind each row; here that is an empty gzip member, which adds nothing to what is read.
+An archive ends at ``RECORDS_PER_FILE`` records or before it would exceed ``BYTES_PER_FILE`` compressed bytes;
+only a single greater record makes a greater archive. Archives are read back through Spark's binary
+reader, one member at a time, and blocks are taken by content length, as payloads may hold any bytes.
 
 Revisit resolution reads the headers only as far as digests go: records are shuffled by payload digest,
 pre-aggregated to one original per digest and joined back; then each archive is rewritten with fresh
-headers, where a record whose payload another record holds becomes a revisit record without payload.
-Payloads never move by digest; an archive moves once, compressed, to meet the decisions on it.
+headers, where a record whose payload another record holds becomes a revisit record without payload that
+names the original's record id, target and date. Payloads never move by digest; an archive moves once,
+compressed, to meet the decisions on it.
 
 Defined results: null payloads count as empty; of equal payloads of at least ``min_bytes`` bytes the
 record with the largest id is the original, ties (repeated rows) by the later place in the archives;
-null ids come last; urls that are null have no target header; an empty table gives an empty archive.
+null ids come last; each record has an id of its own, also where rows are repeated; urls that are null
+have no target header, and line ends in urls are left out; an empty table gives an empty archive.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismark.llm import common
 
-RECORDS_PER_FILE = 1000
-DATE = "1970-01-01T00:00:00Z"
+RECORDS_PER_FILE, BYTES_PER_FILE = 1000, 16_000_000
+#: Compressed bytes that are read at a time.
+CHUNK = 16_384
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-END = "\r\n\r\n"
 
 
-def record(kind: Column, record_id: Column, page_id: Column, url: Column, payload: Column, more: list[tuple[str, Column]], date: str = DATE) -> Column:
-    """The text of one record without the blank lines that end it, which the writer adds."""
-    line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")), F.lit(""))
-    head = [
-        F.lit("WARC/1.0\r\n"), line("WARC-Type", kind), line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), record_id, F.lit(">"))), line("WARC-Date", F.lit(date)),
-        line("WARC-Target-URI", F.regexp_replace(url, "[\\r\\n]", "")), *(line(n, v) for n, v in more), line("X-Page-ID", page_id),
-        line("Content-Type", F.lit("text/html")), line("Content-Length", F.octet_length(payload)), F.lit("\r\n"),
-    ]
-    return F.concat(*head, payload.cast("string"))
+def member(data: bytes) -> bytes:
+    """A gzip member that holds data."""
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
 
 
-def write(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """records has one text column."""
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+EMPTY_MEMBER = member(b"")
+
+
+def record(headers: list[tuple[str, str | int | None]], block: bytes) -> bytes:
+    """The bytes of one record; headers without a value are left out."""
+    lines = [f"{name}: {value}" for name, value in [*headers, ("Content-Length", len(block))] if value is not None]
+    return b"\r\n".join([b"WARC/1.0", *(x.encode("utf-8", "replace") for x in lines), b"", block, b"", b""])
+
+
+def write(members: DataFrame, path: str) -> None:
+    """members: archive, the number within its task, and data, a record's gzip member."""
+    rows = members.select(F.col("data").cast("string").alias("value"), "archive")
+    rows.write.partitionBy("archive").option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
+
+
+class Cutter:
+    """Numbers a task's archives: the next one begins before this one gets too long."""
+
+    def __init__(self, records: int, size: int):
+        self.records, self.size, self.n, self.bytes, self.archive = records, size, 0, 0, 0
+
+    def of(self, length: int) -> int:
+        if self.n and (self.n == self.records or self.bytes + length > self.size):
+            self.archive, self.n, self.bytes = self.archive + 1, 0, 0
+        self.n, self.bytes = self.n + 1, self.bytes + length
+        return self.archive
+
+
+MEMBERS = pa.schema([("archive", pa.int32()), ("data", pa.binary())])
+
+
+def _batches(members: Iterator[bytes], records: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Members as rows (archive, data), in batches of bounded size."""
+    cutter, rows, held = Cutter(records, size), [], 0
+    for data in members:
+        rows.append((cutter.of(len(data)), data))
+        held += len(data)
+        if held > common.BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), MEMBERS.types, strict=True)], schema=MEMBERS)
+            rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), MEMBERS.types, strict=True)], schema=MEMBERS)
+
+
+def responses(pages: DataFrame, date: str, records: int = RECORDS_PER_FILE, size: int = BYTES_PER_FILE) -> DataFrame:
+    """The members of pages (page_id, url, payload). Record ids are made from a name of the call, the task and the row's number, so a task that runs again gives the same."""
+    call = uuid.uuid4()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def members() -> Iterator[bytes]:
+            n = 0
+            for b in batches:
+                for page, url, payload in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), b.column("payload"), strict=True):
+                    name = uuid.uuid5(call, f"{TaskContext.get().partitionId()} {n}")
+                    url = None if url is None else url.replace("\r", "").replace("\n", "")
+                    block = payload.as_py()
+                    yield member(record([
+                        ("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", date), ("WARC-Target-URI", url),
+                        ("WARC-Payload-Digest", f"sha1:{payload_digest(block)}"), ("X-Page-ID", page), ("Content-Type", "text/html"),
+                    ], block))
+                    n += 1
+
+        yield from _batches(members(), records, size)
+
+    return pages.select("page_id", "url", "payload").mapInArrow(run, "archive int, data binary")
 
 
 def parsed(content: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
-    """Headers (names in lower case), block and number of each record of an archive's bytes."""
-    data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-    at, number = 0, 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {}
-        for h in data[at:end].split(b"\r\n")[1:]:
-            name, _, value = h.partition(b":")
-            headers[name.decode().strip().lower()] = value.decode("utf-8", "replace").strip()
-        size = int(headers["content-length"])
-        yield headers, data[end + 4 : end + 4 + size], number
-        at, number = end + 8 + size, number + 1
+    """Headers (names in lower case), block and number of each record of an archive's bytes, compressed or not; one record at a time is in memory."""
+    number, place = 0, 0
+    packed = content[:2] == b"\x1f\x8b"
+    while place < len(content):
+        if packed:
+            z, read = zlib.decompressobj(31), []
+            while not z.eof:
+                chunk = content[place : place + CHUNK]
+                if not chunk:
+                    raise ValueError("a gzip member is cut off")
+                read.append(z.decompress(chunk))
+                place += len(chunk)
+            place -= len(z.unused_data)
+            data = b"".join(read)
+        else:
+            data, place = content, len(content)
+        at = 0
+        while at < len(data):
+            end = data.find(b"\r\n\r\n", at)
+            if end < 0 or not data.startswith(b"WARC/", at):
+                raise ValueError(f"no WARC record at byte {at}")
+            headers = {}
+            for h in data[at:end].split(b"\r\n")[1:]:
+                name, _, value = h.partition(b":")
+                headers[name.decode().strip().lower()] = value.decode("utf-8", "replace").strip()
+            size = int(headers["content-length"])
+            if not data.startswith(b"\r\n\r\n", end + 4 + size):
+                raise ValueError(f"the record at byte {at} has another length than it says")
+            yield headers, data[end + 4 : end + 4 + size], number
+            at, number = end + 8 + size, number + 1
 
 
 def payload_digest(payload: bytes) -> str:
@@ -76,88 +159,92 @@ def _page(headers: dict[str, str]) -> int | None:
 
 def archives(spark: SparkSession, path: str) -> DataFrame:
     """The archives under path: at_file, content."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select(F.col("path").alias("at_file"), "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("at_file"), "content")
 
 
-HEADERS = "page_id bigint, at_file string, number bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+HEADERS = "page_id bigint, at_file string, number bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, record_id string, url string, date string"
 
 
 def read_headers(files: DataFrame) -> DataFrame:
     """One row per record; digest and size of a response come from its payload, of a revisit from its headers."""
+    names = [x.split()[0] for x in HEADERS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, content in zip(b["at_file"], b["content"], strict=True):
                 rows = []
                 for h, block, number in parsed(content):
+                    about = (h["warc-record-id"], h.get("warc-target-uri"), h["warc-date"])
                     kind = h["warc-type"]
                     if kind == "revisit":
                         refers = h.get("x-refers-to-page-id")
-                        rows.append((_page(h), name, number, int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:"), kind, None if refers is None else int(refers)))
+                        rows.append((_page(h), name, number, int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:"), kind, None if refers is None else int(refers), *about))
                     else:
-                        rows.append((_page(h), name, number, len(block), payload_digest(block), kind, None))
-                out = pd.DataFrame(rows, columns=["page_id", "at_file", "number", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                        rows.append((_page(h), name, number, len(block), payload_digest(block), kind, None, *about))
+                out = pd.DataFrame(rows, columns=names)
                 yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     return files.mapInPandas(run, HEADERS)
 
 
 def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """The records that become revisits: at_file, number, payload_digest, payload_bytes, refers_to."""
+    """The records that become revisits: at_file, number, payload_digest, payload_bytes, refers_to, and the original's record_id, url and date."""
     order = F.struct(F.col("page_id").isNotNull().alias("has_id"), "page_id", "at_file", "number")
     counted = headers.where(F.col("payload_bytes") >= min_bytes)
-    originals = counted.groupBy("payload_digest", "payload_bytes").agg(F.max(order).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = counted.join(originals, ["payload_digest", "payload_bytes"])
-    copies = joined.where((F.col("at_file") != F.col("o.at_file")) | (F.col("number") != F.col("o.number")))
-    return copies.select("at_file", "number", "payload_digest", "payload_bytes", F.col("o.page_id").alias("refers_to"))
+    original = F.struct(order.alias("o"), "record_id", "url", "date")
+    originals = counted.groupBy("payload_digest", "payload_bytes").agg(F.max_by(original, order).alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    key = F.concat_ws(" ", "payload_digest", "payload_bytes").alias("key")
+    originals = originals.select(key, "original", "n")
+    joined = common.heavy_join(counted.select("at_file", "number", "payload_digest", "payload_bytes", key), originals, "key", "n", headers.count())
+    copies = joined.where((F.col("at_file") != F.col("original.o.at_file")) | (F.col("number") != F.col("original.o.number")))
+    return copies.select("at_file", "number", "payload_digest", "payload_bytes", F.col("original.o.page_id").alias("refers_to"), "original.record_id", "original.url", "original.date")
 
 
-def rewritten(files: DataFrame, revisits: DataFrame) -> DataFrame:
-    """The records of deduplicated archives, one text each, with fresh headers.
+def rewritten(files: DataFrame, revisits: DataFrame, records: int = RECORDS_PER_FILE, size: int = BYTES_PER_FILE) -> DataFrame:
+    """The members of deduplicated archives, with fresh headers.
 
     An archive's decisions are at most as many as its records, which the writer bounds.
     """
-    own = revisits.groupBy("at_file").agg(F.collect_list(F.struct("number", "payload_digest", "payload_bytes", "refers_to")).alias("revisits"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for content, decided in zip(b["content"], b["revisits"], strict=True):
-                by = {r["number"]: r for r in decided} if decided is not None else {}
-                rows = []
-                for h, block, number in parsed(content):
-                    r = by.get(number)
-                    page = _page(h)
-                    digest = r["payload_digest"] if r else payload_digest(block)
-                    refers = None if r is None or r["refers_to"] is None else int(r["refers_to"])
-                    rows.append((page, h.get("warc-target-uri"), h["warc-record-id"], "revisit" if r else "response", digest, len(block), refers, b"" if r else block))
-                out = pd.DataFrame(rows, columns=["page_id", "url", "record_id", "kind", "digest", "bytes", "refers", "payload"])
-                yield out.astype({"page_id": "Int64", "refers": "Int64"})
+    one = F.struct("number", "payload_digest", "payload_bytes", "refers_to", "record_id", "url", "date")
+    own = revisits.groupBy("at_file").agg(F.collect_list(one).alias("revisits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def members() -> Iterator[bytes]:
+            for b in batches:
+                for content, decided in zip(b.column("content"), b.column("revisits"), strict=True):
+                    by = {r["number"]: r for r in decided.as_py() or []}
+                    for h, block, number in parsed(content.as_py()):
+                        r = by.get(number)
+                        about = [("WARC-Record-ID", h["warc-record-id"]), ("WARC-Date", h["warc-date"]), ("WARC-Target-URI", h.get("warc-target-uri"))]
+                        if r is None:
+                            more = [("WARC-Type", "response"), *about, ("WARC-Payload-Digest", f"sha1:{payload_digest(block)}")]
+                        else:
+                            more = [
+                                ("WARC-Type", "revisit"), *about, ("WARC-Payload-Digest", f"sha1:{r['payload_digest']}"), ("WARC-Profile", PROFILE),
+                                ("WARC-Refers-To", r["record_id"]), ("WARC-Refers-To-Target-URI", r["url"]), ("WARC-Refers-To-Date", r["date"]),
+                                ("X-Refers-To-Page-ID", r["refers_to"]), ("X-Payload-Length", r["payload_bytes"]),
+                            ]
+                        yield member(record([*more, ("X-Page-ID", h.get("x-page-id")), ("Content-Type", "text/html")], b"" if r else block))
+
+        yield from _batches(members(), records, size)
 
     joined = files.join(own, "at_file", "left").select("content", "revisits")
-    r = joined.mapInPandas(run, "page_id bigint, url string, record_id string, kind string, digest string, bytes bigint, refers bigint, payload binary")
-    revisit = F.col("kind") == "revisit"
-    more = [
-        ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        ("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
-        ("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<urn:page:"), F.col("refers"), F.lit(">")))),
-        ("X-Refers-To-Page-ID", F.when(revisit, F.col("refers"))),
-        ("X-Payload-Length", F.when(revisit, F.col("bytes"))),
-    ]
-    name = F.regexp_extract("record_id", "<urn:page:(.*)>", 1)
-    return r.select(record(F.col("kind"), name, F.col("page_id"), F.col("url"), F.col("payload"), more).alias("value"))
-
-
-def deduplicated_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> DataFrame:
+    return joined.mapInArrow(run, "archive int, data binary")
+
+
+def deduplicated_archives(
+    pages: DataFrame, path: str, min_bytes: int = 0, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", records_per_file: int = RECORDS_PER_FILE, bytes_per_file: int = BYTES_PER_FILE
+) -> DataFrame:
     """Writes pages to archives, resolves revisits, writes deduplicated archives under path and returns their headers as read back."""
     spark = pages.sparkSession
+    common.small_batches(spark)
     payload = F.coalesce(F.col(payload_column).cast("binary"), F.lit(b"")).alias("payload")
     own = pages.select(F.col(id_column).cast("bigint").alias("page_id"), F.col(url_column).alias("url"), payload)
     first = common.scratch(spark, "warc")
-    name = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
-    write(own.select(record(F.lit("response"), name, F.col("page_id"), F.col("url"), F.col("payload"), []).alias("value")), first)
+    write(responses(own, datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), records_per_file, bytes_per_file), first)
     files = archives(spark, first)
     headers = common.stored(read_headers(files), "warc-headers")
-    write(rewritten(files, resolve(headers, min_bytes)), path)
+    write(rewritten(files, resolve(headers, min_bytes), records_per_file, bytes_per_file), path)
     common.remove(spark, first)
     return read_headers(archives(spark, path))
 

@@ -16,26 +16,29 @@ from pyspark.sql import functions as F
 
 from prismark.plans.storage import remove, scratch, stored
 
-__all__ = ["ascii_lower", "at_locators", "located", "maybe_in", "parts", "plain", "release", "remove", "scratch", "small_batches", "stored", "table", "without", "worker_forget", "worker_kept"]
+__all__ = ["ascii_lower", "at_locators", "heavy_join", "located", "locator", "maybe_in", "parts", "plain", "release", "remove", "scratch", "small_batches", "stored", "table", "unused", "without", "worker_forget", "worker_kept"]
 
 #: Bytes of an Arrow batch, about, and of the texts that Python works on together.
 BATCH_BYTES = 4_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def located(df: DataFrame, columns: list[Column]) -> DataFrame:
-    """``columns`` of df with the locator of each row: ``at_file``, ``at_row``.
+def locator(df: DataFrame) -> tuple[Column, Column]:
+    """File and row number that Parquet scans expose, whatever the columns are called; AnalysisException where df is no plain scan."""
+    scan = df.metadataColumn("_metadata")
+    return scan["file_path"], scan["row_index"]
 
-    The locator is the file and row number that Parquet scans expose; a frame that is no plain scan
-    is first written to the shared folder.
-    """
-    at = [F.col("_metadata.file_path").alias("at_file"), F.col("_metadata.row_index").alias("at_row")]
+
+def located(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """``columns`` of df with the locator of each row: ``at_file``, ``at_row``. A frame that is no plain scan is first written to the shared folder."""
     try:
+        at = [c.alias(n) for c, n in zip(locator(df), ("at_file", "at_row"), strict=True)]
         return df.select(*columns, *at)
     except AnalysisException:
         names = [f"c{i}" for i in range(len(columns))]
         kept = stored(df.select(*[c.alias(n) for c, n in zip(columns, names, strict=True)]), "rows")
         fields = df.select(*columns).columns
+        at = [c.alias(n) for c, n in zip(locator(kept), ("at_file", "at_row"), strict=True)]
         return kept.select(*[F.col(n).alias(f) for n, f in zip(names, fields, strict=True)], *at)
 
 
@@ -48,46 +51,69 @@ def plain(df: DataFrame) -> DataFrame:
     """df itself if it is a plain Parquet scan, else a stored copy that is one."""
     small_batches(df.sparkSession)
     try:
-        df.select("_metadata.file_path")
+        df.select(*locator(df))
         return df
     except AnalysisException:
         return stored(df, "table")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 #: Bits of the filter below; it is sent to all tasks, 4 MB at most whatever the tables' sizes.
 FILTER_BITS, BUCKET_BITS = 1 << 25, 32_768
 
 
-def maybe_in(df: DataFrame, keys: list[str], wanted: DataFrame, wanted_keys: list[str]) -> DataFrame:
-    """df with ``__maybe``: false only where no row of wanted has the row's keys.
+def maybe_in(df: DataFrame, keys: list[Column], wanted: DataFrame, wanted_keys: list[Column]) -> tuple[DataFrame, str]:
+    """df with a boolean column, and its name: false only where no row of wanted has the row's keys.
 
     A bitmap of fixed size holds a hash of each wanted key. It spares a shuffle the rows that cannot
     match; as it fills up it spares less, and the join behind it decides in any case.
     """
+    maybe, bucket_name, bits_name = (unused(df, f"__{x}") for x in ("maybe", "bucket", "bits"))
     place = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
     bucket, bit = (lambda p: F.floor(p / BUCKET_BITS)), (lambda p: p % BUCKET_BITS)
-    bits = wanted.select(place(wanted_keys).alias("p")).groupBy(bucket(F.col("p")).alias("__bucket")).agg(F.bitmap_construct_agg(bit(F.col("p"))).alias("__bits"))
+    bits = wanted.select(place(wanted_keys).alias("p")).groupBy(bucket(F.col("p")).alias(bucket_name)).agg(F.bitmap_construct_agg(bit(F.col("p"))).alias(bits_name))
     own = place(keys)
-    byte = F.conv(F.hex(F.substring("__bits", (bit(own) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring(bits_name, (bit(own) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     is_set = (F.call_function("shiftright", byte, (bit(own) % 8).cast("int")) % 2) == 1
     # at most FILTER_BITS / BUCKET_BITS rows of BUCKET_BITS / 8 bytes
-    joined = df.join(F.broadcast(bits), bucket(own) == F.col("__bucket"), "left")
-    return joined.withColumn("__maybe", F.coalesce(is_set, F.lit(False))).drop("__bucket", "__bits")
+    joined = df.join(F.broadcast(bits), bucket(own) == F.col(bucket_name), "left")
+    return joined.withColumn(maybe, F.coalesce(is_set, F.lit(False))).drop(bucket_name, bits_name), maybe
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs, a plain Parquet scan, without the rows at the locators (at_file, at_row) in dropped. Only rows that may be dropped are shuffled."""
-    gone = dropped.select(F.col("at_file").alias("__file"), F.col("at_row").alias("__row"))
-    mine = docs.select("*", F.col("_metadata.file_path").alias("__at_file"), F.col("_metadata.row_index").alias("__at_row"))
-    mine = maybe_in(mine, ["__at_file", "__at_row"], gone, ["__file", "__row"])
-    checked = mine.where("__maybe").join(gone, (F.col("__at_file") == F.col("__file")) & (F.col("__at_row") == F.col("__row")), "left_anti")
-    return mine.where("NOT __maybe").unionByName(checked).drop("__at_file", "__at_row", "__maybe")
+    names = [unused(docs, f"__{x}") for x in ("file", "row", "gone_file", "gone_row")]
+    file, row = locator(docs)
+    mine = docs.select("*", file.alias(names[0]), row.alias(names[1]))
+    gone = dropped.select(F.col("at_file").alias(names[2]), F.col("at_row").alias(names[3]))
+    mine, maybe = maybe_in(mine, [F.col(names[0]), F.col(names[1])], gone, [F.col(names[2]), F.col(names[3])])
+    checked = mine.where(F.col(maybe)).join(gone, (F.col(names[0]) == F.col(names[2])) & (F.col(names[1]) == F.col(names[3])), "left_anti")
+    return mine.where(~F.col(maybe)).unionByName(checked).drop(*names[:2], maybe)
+
+
+def heavy_join(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int) -> DataFrame:
+    """left joined with right, which has one row for each key, and in ``weight`` how many of left's rows hold it.
+
+    Keys with more than a thousandth of left's ``rows``, so fewer than a thousand keys, are sent to all
+    tasks: their rows are not shuffled, and no task gets all rows of such a key.
+    """
+    heavy = F.col(weight) > rows / 1000
+    some, others = F.broadcast(right.where(heavy)), left.join(F.broadcast(right.where(heavy).select(key)), key, "left_anti")
+    return left.join(some, key).unionByName(others.join(right.where(~heavy), key))
 
 
 def at_locators(located_rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The located rows whose locators (at_file, at_row) are in wanted, joined with it."""
-    some = maybe_in(located_rows, ["at_file", "at_row"], wanted, ["at_file", "at_row"]).where("__maybe").drop("__maybe")
-    return some.join(wanted, ["at_file", "at_row"])
+    keys = [F.col("at_file"), F.col("at_row")]
+    some, maybe = maybe_in(located_rows, keys, wanted, keys)
+    return some.where(F.col(maybe)).drop(maybe).join(wanted, ["at_file", "at_row"])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,13 +6,23 @@ locator of its content and the number of rows. Rows that hit an existing digest
 their full bytes against the content at the retained locator; rows that share a digest but not the
 bytes are grouped anew by their bytes.
 
+With a ``state`` folder the keyed state outlives the call: contents, headers, the stream's checkpoint and
+its results stay there, and the next call's rows are checked against all that earlier calls brought. A
+call that broke off is made good by the next one, as headers wait in the folder until the stream has read
+them. Without a folder the state lasts for the call.
+
+Groups may be large: their digests are sent to all rows instead of being shuffled to one task, and the
+content that the rows of a group are checked against is dealt out in copies, one for ``SALT`` rows.
+
 Defined results: null text counts as empty text; of equal texts the row with the largest id stays,
 null ids last, ties (repeated rows) by the later locator; an empty table gives an empty result; other
-columns are ignored whatever their names are.
+columns are ignored whatever their names are. A row that an earlier call kept is replaced where a later
+call brings an equal text with a larger id; its group's rows of the later call name the id that stays.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -28,21 +38,24 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.metricsEnabled": "false",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",  # so soon after a stream ends its stores are closed
 }
+#: Rows of a group that one copy of its content is checked against.
+SALT = 1000
+HEADERS = "digest string, sort_id boolean, id bigint, at_file string, at_row bigint, call string"
 
 
 def normalised(text: Column) -> Column:
     return common.ascii_lower(F.coalesce(text, F.lit("")))
 
 
-def keyed_state(headers: DataFrame, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Streams the header table at ``path`` through the keyed state; one row per digest.
+def keyed_state(headers: DataFrame, path: str, folder: str, files_per_batch: int | None = None) -> DataFrame:
+    """Streams the header table at ``path``, as far as that is not done, through the keyed state in ``folder``; one row per digest.
 
     ``files_per_batch`` bounds a micro-batch; any number gives the same result, because what a later
     batch emits for a digest replaces what an earlier one emitted.
     """
-    spark = headers.sparkSession
-    out, mark = common.scratch(spark, "dedup-state"), common.scratch(spark, "dedup-checkpoint")
+    spark, out = headers.sparkSession, f"{folder}/digests"
     before = {k: spark.conf.get(k, None) for k in STATE_CONF}
     for k, v in STATE_CONF.items():
         spark.conf.set(k, v)
@@ -59,18 +72,15 @@ def keyed_state(headers: DataFrame, path: str, files_per_batch: int | None = Non
         def emit(batch: DataFrame, number: int) -> None:
             batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-        query = state.writeStream.outputMode("update").option("checkpointLocation", mark).trigger(availableNow=True).foreachBatch(emit).start()
+        query = state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(emit).start()
         query.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = "digest string, top struct<sort_id:boolean,id:bigint,at_file:string,at_row:bigint>, group_size bigint, batch bigint"
-    if not headers.take(1):
-        return spark.createDataFrame([], schema).drop("batch")
     seen = spark.read.schema(schema).option("basePath", out).parquet(out)
     if seen.select("batch").distinct().count() > 1:
         seen = seen.groupBy("digest").agg(F.max_by(F.struct("top", "group_size"), "batch").alias("s")).select("digest", "s.*")
-    common.remove(spark, mark)
     return seen.select("digest", "top", "group_size")
 
 
@@ -80,38 +90,54 @@ def decide(
     text_column: str = "text",
     digest: Callable[[Column], Column] = lambda t: F.sha2(t, 256),
     files_per_batch: int | None = None,
+    state: str | None = None,
 ) -> DataFrame:
-    """One row per row of docs: id, keep_id, group_size, kept, digest, and its locator (at_file, at_row)."""
+    """One row per row of docs: id, keep_id, group_size, kept, digest, and its locator (at_file, at_row; in docs or, with a state folder, in its contents)."""
     spark = docs.sparkSession
-    docs = common.plain(docs)
-    text = normalised(F.col(text_column))
-    path = common.scratch(spark, "dedup-headers")
-    i = F.col(id_column).cast("bigint")
-    common.located(docs, [digest(text).alias("digest"), i.isNotNull().alias("sort_id"), i.alias("id")]).write.parquet(path)
-    headers = spark.read.schema("digest string, sort_id boolean, id bigint, at_file string, at_row bigint").parquet(path)
-    state = keyed_state(headers, path, files_per_batch)
-
-    joined = headers.join(state, "digest")
+    text, i = normalised(F.col(text_column)), F.col(id_column).cast("bigint")
+    call, folder = uuid.uuid4().hex, state or common.scratch(spark, "dedup-state")
+    path = f"{folder}/headers"
+    if state:
+        kept = docs.select(i.alias("id"), text.alias("bytes"), F.lit(call).alias("call"))
+        kept.write.mode("append").option("compression", "zstd").parquet(f"{folder}/contents")
+        contents = spark.read.schema("id bigint, bytes string, call string").parquet(f"{folder}/contents")
+        rows, content, i, text = contents.where(F.col("call") == call), contents, F.col("id"), F.col("bytes")
+    else:
+        rows = content = common.plain(docs)
+    own_headers = common.located(rows, [digest(text).alias("digest"), i.isNotNull().alias("sort_id"), i.alias("id"), F.lit(call).alias("call")])
+    own_headers.write.mode("append").parquet(path)
+    headers = spark.read.schema(HEADERS).parquet(path)
+    mine = headers.where(F.col("call") == call)
+    if not headers.take(1):
+        return spark.createDataFrame([], "id bigint, keep_id bigint, group_size bigint, kept boolean, digest string, at_file string, at_row bigint")
+    groups = keyed_state(headers, path, folder, files_per_batch)
+
+    joined = common.heavy_join(headers, groups, "digest", "group_size", headers.count())
     own = (F.col("at_file") == F.col("top.at_file")) & (F.col("at_row") == F.col("top.at_row"))
-    alone = joined.where("group_size = 1").select("id", F.col("id").alias("keep_id"), "group_size", F.lit(True).alias("kept"), "digest", "at_file", "at_row")
+    alone = joined.where((F.col("group_size") == 1) & (F.col("call") == call))
+    alone = alone.select("id", F.col("id").alias("keep_id"), "group_size", F.lit(True).alias("kept"), "digest", "at_file", "at_row")
 
     # hits: fetch the full bytes of the row and of the content at the retained locator
-    hits = joined.where("group_size > 1").select("digest", "id", "sort_id", "at_file", "at_row", F.col("top.id").alias("keep_id"), "group_size", own.alias("own"))
-    content = common.located(docs, [text.alias("bytes")])
+    hits = joined.where("group_size > 1").select("digest", "id", "sort_id", "at_file", "at_row", F.col("top.id").alias("keep_id"), "group_size", own.alias("own"), (F.col("call") == call).alias("mine"))
+    if state:  # groups that this call's rows are in
+        hits = hits.join(mine.select("digest").distinct(), "digest", "left_semi")
+    content = common.located(content, [text.alias("bytes")])
     hits = common.stored(common.at_locators(content, common.stored(hits, "dedup-hit-headers")), "dedup-hits")
-    first = hits.where("own").select("digest", F.col("bytes").alias("state_bytes"))
+    parts = F.ceil(F.col("group_size") / SALT)
+    first = hits.where("own").select("digest", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"), F.col("bytes").alias("state_bytes"))
     same = F.col("bytes") == F.col("state_bytes")
-    checked = hits.join(first, "digest").withColumn("same", same).withColumn("bytes", F.when(~same, F.col("bytes"))).drop("state_bytes")
+    dealt = hits.withColumn("part", F.pmod(F.xxhash64("at_file", "at_row"), parts))
+    checked = dealt.join(first, ["digest", "part"]).withColumn("same", same).withColumn("bytes", F.when(~same, F.col("bytes"))).drop("state_bytes", "part")
     checked = common.stored(checked, "dedup-checked")
     verdicts = checked.where("NOT same").groupBy("digest").agg(F.count(F.lit(1)).alias("differ"))
     hits = checked.join(verdicts, "digest", "left").withColumn("differ", F.coalesce("differ", F.lit(0)))
-    equal = hits.where("same").select(
+    equal = hits.where("same AND mine").select(
         "id", "keep_id", (F.col("group_size") - F.col("differ")).alias("group_size"), F.col("own").alias("kept"), "digest", "at_file", "at_row"
     )
     # rows whose bytes differ from the retained content's: grouped by their bytes
-    rest = hits.where("not same").select("digest", "bytes", "id", "sort_id", "at_file", "at_row")
+    rest = hits.where("not same").select("digest", "bytes", "id", "sort_id", "at_file", "at_row", "mine")
     tops = rest.groupBy("digest", "bytes").agg(F.max(F.struct("sort_id", "id", "at_file", "at_row")).alias("top"), F.count(F.lit(1)).alias("group_size"))
-    rest = rest.join(tops, ["digest", "bytes"]).select("id", F.col("top.id").alias("keep_id"), "group_size", own.alias("kept"), "digest", "at_file", "at_row")
+    rest = rest.where("mine").join(tops, ["digest", "bytes"]).select("id", F.col("top.id").alias("keep_id"), "group_size", own.alias("kept"), "digest", "at_file", "at_row")
     return alone.unionByName(equal).unionByName(rest)
 
 

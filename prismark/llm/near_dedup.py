@@ -3,12 +3,16 @@
 A document is its set of word shingles. Documents with equal sets form one class, and only classes are
 compared. In each of several independent trees a node picks a minwise coordinate, and its documents branch
 by the token that is least under it; nodes with few documents are compared
-exhaustively, on sketches, and others branch again. What the sketches do not rule out makes candidate
-groups: groups with few members are compared exhaustively on their full sets, and every member of a
-larger group meets a few pivots, again on full sets. Members that pivots join to one component need no
-link of their own. The others choose new pivots, a few times, and at last meet the whole group in
-blocks; so no link between parts that pivots leave apart is lost, and pairs within a part are never
-made.
+exhaustively, on sketches, and others branch again, each until its own branching no longer takes it
+apart. The number of trees follows from the target recall and the deepest level that trees reach: a pair
+at the threshold must agree in one coordinate a level, so deeper trees are repeated more often
+(``trees_for``). What the sketches do not rule out makes candidate
+groups: groups of few members and bounded text are compared exhaustively on their full sets, and every
+member of a larger group meets a few pivots, again on full sets. Members that pivots join to one component
+need no link of their own. The others choose new pivots, a few times, and at last meet the whole group in
+blocks of bounded text; so no link between parts that pivots leave apart is lost, and pairs within a part
+are never made. Nodes, groups and components may be large: what is known of one is sent to its rows, or
+its rows are dealt out in parts, so none is gathered in one task.
 
 Defined results: null and empty texts and texts without words have an empty set and are linked with
 nothing; texts with fewer words than a shingle have the whole sequence as one; rows with a null id take
@@ -21,6 +25,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -31,14 +37,21 @@ from pyspark.sql import functions as F
 from prismark.llm import common
 from prismark.llm.components import connected
 
+#: TREES at least; more where trees grow deep.
 COORDINATES, TREES, DEPTH = 64, 12, 8
-#: Branching goes on while it leaves at most this share of the rows in large nodes.
+#: Share of the pairs at the threshold that the trees are to bring together at least; pairs above it are met more often.
+RECALL = 0.99
+#: A large node branches on unless it holds more than this share of the node above it.
 SHRINKS = 0.8
 #: Most classes in a node, and in a candidate group, that are compared exhaustively in one task.
 LEAF, GROUP = 128, 256
+#: Shingles, and so bytes of text, that one task compares at a time: bounds groups and blocks beside their members' number.
+SHINGLES = 1_000_000
 PIVOTS, ROUNDS = 8, 3
-#: Sizes of the blocks in which what pivots leave of a large group meets the whole group.
-REST_BLOCK, GROUP_BLOCK = 64, 256
+#: Members of a large group that meet one copy of its pivots.
+PART = 500
+#: Most members of the blocks in which what pivots leave of a large group meets the whole group.
+REST_BLOCK, GROUP_BLOCK = 1024, 1024
 WORDS = 60_000
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,6 +81,16 @@ class Threshold:
         return int(COORDINATES * j - 5 * (COORDINATES * j * (1 - j)) ** 0.5)
 
 
+def trees_for(t: Threshold, depth: int, recall: float = RECALL) -> int:
+    """Trees that bring a pair at the threshold together, where it must agree in ``depth`` coordinates, with the given chance.
+
+    The trees pick from the same coordinates, of which such a pair agrees in a binomial number.
+    """
+    j, c = t.part / t.whole, COORDINATES
+    missed = lambda trees: sum(comb(c, a) * j**a * (1 - j) ** (c - a) * (1 - (a / c) ** depth) ** trees for a in range(c + 1))
+    return next(n for n in range(1, 10_000) if missed(n) <= 1 - recall)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
@@ -117,27 +140,36 @@ def _signatures(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint32).reshape(-1, COORDINATES)
 
 
-def _branches(rows: DataFrame, depth: int) -> DataFrame:
-    """The children of each row: at the root one for each tree, below that by the coordinate that the node's path picks."""
+NODE = "path bigint, parent bigint, digest binary, n bigint, sketch binary"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _branches(rows: DataFrame, depth: int, trees: range) -> tuple[DataFrame, DataFrame]:
+    """The children of each row, and their paths only: at the root one for each tree, below that by the coordinate that the node's path picks."""
+
+    def paths(b: pd.DataFrame, sig: np.ndarray, tree: int) -> np.ndarray:
+        if depth:
+            path = _mix(b["path"].to_numpy(np.int64).view(np.uint64))
+            pick = (path % np.uint64(COORDINATES)).astype(np.int64)
+        else:
+            path, pick = np.full(len(b), tree + 1, np.uint64), np.full(len(b), tree * 5 % COORDINATES)
+        return _mix(_mix(path * _ORDERED[depth] + pick.astype(np.uint64)) + sig[np.arange(len(b)), pick].astype(np.uint64) * _ORDERED[depth + 8]).view(np.int64)
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                sig = _signatures(b["sig"])
+                sketch = pd.Series([x.tobytes() for x in sig.astype(np.uint8)])
+                for tree in trees:
+                    yield pd.DataFrame({"path": paths(b, sig, tree), "parent": b["parent"].to_numpy(), "digest": b["digest"].to_numpy(), "n": b["n"].to_numpy(), "sketch": sketch.to_numpy()})
+
+    def only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            sig = _signatures(b["sig"])
-            sketch = pd.Series([x.tobytes() for x in sig.astype(np.uint8)])
-            own = np.arange(len(b))
-            for tree in range(1 if depth else TREES):
-                if depth:
-                    path = _mix(b["path"].to_numpy(np.int64).view(np.uint64))
-                    pick = (path % np.uint64(COORDINATES)).astype(np.int64)
-                else:
-                    path = np.full(len(b), tree + 1, np.uint64)
-                    pick = np.full(len(b), tree * 5 % COORDINATES)
-                child = _mix(_mix(path * _ORDERED[depth] + pick.astype(np.uint64)) + sig[own, pick].astype(np.uint64) * _ORDERED[depth + 8])
-                yield pd.DataFrame({"path": child.view(np.int64), "digest": b["digest"].to_numpy(), "n": b["n"].to_numpy(), "sketch": sketch.to_numpy()})
-
-    return rows.mapInPandas(run, "path bigint, digest binary, n bigint, sketch binary")
+            if len(b):
+                sig = _signatures(b["sig"])
+                for tree in trees:
+                    yield pd.DataFrame({"path": paths(b, sig, tree)})
+
+    return rows.mapInPandas(whole, NODE), rows.select(*(["path"] if depth else []), "sig").mapInPandas(only, "path bigint")
 
 
 def _tasks(rows: int, each: int) -> int:
@@ -245,80 +277,90 @@ def _small_links(members: DataFrame, t: Threshold) -> DataFrame:
     return members.groupBy("group").applyInPandas(run, LINK)
 
 
+MET = "group binary, size bigint, n bigint, digest binary, text string, joined boolean, done boolean, bits int, linked array<binary>"
+
+
 def _met_pivots(members: DataFrame, t: Threshold, tasks: int) -> DataFrame:
     """One round: pivots from the members that are neither joined nor done; each member with the pivots it is linked to.
 
-    members: group, digest, text, joined, done. Returns these with the linked pivots, as bits and as digests.
+    members: group, size, n, digest, text, joined, done. Returns these with the linked pivots, as bits and as digests.
     """
     order = F.struct(F.xxhash64("digest", "group").alias("h"), "digest")
     part = F.pmod(F.xxhash64("group", "digest"), F.lit(PIVOTS))
     # one member of each hashed part of a group, so picking pivots gathers no group
     free = members.where("NOT joined AND NOT done")
-    pivots = free.groupBy("group", part.alias("part")).agg(F.min_by(F.struct("digest", "text"), order).alias("p"))
-    pivots = pivots.groupBy("group").agg(F.sort_array(F.collect_list("p")).alias("pivots"))
+    pivots = free.groupBy("group", part.alias("part")).agg(F.min_by(F.struct("digest", "text"), order).alias("p"), F.first("size").alias("size"))
+    # a part of a group and a copy of its pivots lie together, the pivots first
+    parts = F.ceil(F.col("size") / PART)
+    none = F.lit(None)
+    copies = pivots.select("group", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"), F.lit(False).alias("member"), "size", none.cast("bigint").alias("n"), "p.digest", "p.text", none.cast("boolean").alias("joined"), none.cast("boolean").alias("done"))
+    own = members.select("group", F.pmod(F.xxhash64("digest"), parts).alias("part"), F.lit(True).alias("member"), "size", "n", "digest", "text", "joined", "done")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, list[np.ndarray]] = {}
+        at, known, names = None, [], []
         for b in batches:
             out = []
-            for group, digest, text, joined, done, pivots in zip(b["group"], b["digest"], b["text"], b["joined"], b["done"], b["pivots"], strict=True):
-                if group not in known:
-                    if len(known) > 50:
-                        known.clear()
-                    known[group] = [shingles(p["text"], t.words) for p in pivots]
-                own, names = shingles(text, t.words), [p["digest"] for p in pivots]
-                hits = [k for k, s in enumerate(known[group]) if t.sizes(len(own), len(s)) and t.linked(_shared(own, s), len(own), len(s))]
-                out.append((group, digest, text, joined, done or digest in names, sum(1 << k for k in hits), [names[k] for k in hits]))
-            yield pd.DataFrame(out, columns=["group", "digest", "text", "joined", "done", "bits", "linked"])
+            for group, part, member, size, n, digest, text, joined, done in b.itertuples(index=False):
+                if (group, part) != at:
+                    at, known, names = (group, part), [], []
+                own = shingles(text, t.words)
+                if not member:
+                    known.append(own)
+                    names.append(digest)
+                elif known:
+                    hits = [k for k, s in enumerate(known) if t.sizes(len(own), len(s)) and t.linked(_shared(own, s), len(own), len(s))]
+                    out.append((group, size, int(n), digest, text, joined, done or digest in names, sum(1 << k for k in hits), [names[k] for k in hits]))
+            yield pd.DataFrame(out, columns=["group", "size", "n", "digest", "text", "joined", "done", "bits", "linked"])
         common.worker_forget()
 
-    met = members.join(pivots, "group").select("group", "digest", "text", "joined", "done", "pivots").coalesce(tasks)
-    return met.mapInPandas(run, "group binary, digest binary, text string, joined boolean, done boolean, bits int, linked array<binary>")
+    both = copies.unionByName(own).repartition(tasks, "group", "part").sortWithinPartitions("group", "part", "member", "digest")
+    return both.mapInPandas(run, MET)
 
 
 def _joining(met: DataFrame) -> DataFrame:
-    """Of each group the bits of the pivots that lie in its main component (group, main), from counts of members by bits."""
+    """Of each group: the bits of the pivots that lie in its main component (main), its members' number, and whether any member is neither joined nor done (open). From counts of members by bits."""
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         main = 1 << PIVOTS  # members that earlier rounds have joined
-        masks = [(int(x) | main * bool(j), int(n)) for x, j, n in zip(b["bits"], b["joined"], b["n"], strict=True) if x or j]
+        masks = [(int(x) | main * bool(j), bool(d), int(n)) for x, j, d, n in zip(b["bits"], b["joined"], b["done"], b["members"], strict=True)]
         parts: list[int] = []
-        for m, _ in masks:
-            parts, m = [p for p in parts if not p & m], m | sum({p for p in parts if p & m})
-            parts.append(m)
-        size = {p: sum(n for m, n in masks if m & p) for p in parts}
+        for m, _, _ in masks:
+            if m:
+                parts, m = [p for p in parts if not p & m], m | sum({p for p in parts if p & m})
+                parts.append(m)
+        size = {p: sum(n for m, _, n in masks if m & p) for p in parts}
         best = max(size, key=lambda p: (bool(p & main), size[p], p), default=0)
-        return pd.DataFrame({"group": [b["group"].iloc[0]], "main": [best & (main - 1)]})
+        return pd.DataFrame({"group": [b["group"].iloc[0]], "main": [best & (main - 1)], "members": [sum(n for _, _, n in masks)], "open": [any(not d and not m & (best | main) for m, d, _ in masks)]})
 
-    counts = met.groupBy("group", "bits", "joined").agg(F.count(F.lit(1)).alias("n"))  # at most 2 ** (PIVOTS + 1) rows a group
-    return counts.groupBy("group").applyInPandas(run, "group binary, main int")
+    counts = met.groupBy("group", "bits", "joined", "done").agg(F.count(F.lit(1)).alias("members"))  # at most 2 ** (PIVOTS + 2) rows a group
+    return counts.groupBy("group").applyInPandas(run, "group binary, main int, members bigint, open boolean")
 
 
-def _large_links(members: DataFrame, t: Threshold, tasks: int) -> DataFrame:
-    """Verified links inside groups (group, digest, text) of more than GROUP members: pivots in rounds, then blocks."""
+def _large_links(members: DataFrame, t: Threshold, count: int) -> DataFrame:
+    """Verified links inside groups (group, size, n, digest, text) that are too large for one task: pivots in rounds, then blocks."""
     now = members.withColumns({"joined": F.lit(False), "done": F.lit(False)})
     found = []
     for _ in range(ROUNDS):
-        met = common.stored(_met_pivots(now, t, tasks), "near-met")
+        met = common.stored(_met_pivots(now, t, _tasks(count, 200)), "near-met")
         pairs = met.where("bits > 0").select(F.col("digest").alias("a"), F.explode("linked").alias("b"))
         found.append(pairs.where("a <> b"))
-        state = met.join(_joining(met), "group").select("group", "digest", "text", (F.col("joined") | (F.col("bits").bitwiseAND(F.col("main")) > 0)).alias("joined"), "done")
-        left = state.where("NOT joined AND NOT done").select("group").distinct()
+        state = common.heavy_join(met.drop("linked"), common.stored(_joining(met), "near-joining"), "group", "members", count).where("open")
         # groups whose members are all joined or done are finished
-        now = common.stored(state.join(left, "group", "left_semi"), "near-state")
-        if now.isEmpty():
+        now = common.stored(state.select("group", "size", "n", "digest", "text", (F.col("joined") | (F.col("bits").bitwiseAND(F.col("main")) > 0)).alias("joined"), "done"), "near-state")
+        count = now.count()
+        if not count:
             break
-    links = found[0]
-    for f in found[1:]:
-        links = links.unionByName(f)
-    if now.isEmpty():
+    links = reduce(DataFrame.unionByName, found)
+    if not count:
         return links
-    rest = now.where("NOT joined AND NOT done")
-    counts = rest.groupBy("group").agg(F.count(F.lit(1)).alias("rest")).join(now.groupBy("group").agg(F.count(F.lit(1)).alias("size")), "group")
-    counts = common.stored(counts.select("group", F.ceil(F.col("rest") / REST_BLOCK).alias("rbs"), F.ceil(F.col("size") / GROUP_BLOCK).alias("gbs")), "near-rest")
+    rest = F.when(~F.col("joined") & ~F.col("done"), F.col("n"))
+    blocks = lambda n, most, shingles_: F.ceil(F.greatest(n / most, shingles_ / SHINGLES, F.lit(1.0)))
+    sums = now.groupBy("group").agg(F.count(rest).alias("rest"), F.sum(rest).alias("rest_n"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("all_n"))
+    sums = common.stored(sums.select("group", "members", blocks(F.col("rest"), REST_BLOCK, F.col("rest_n")).alias("rbs"), blocks(F.col("members"), GROUP_BLOCK, F.col("all_n")).alias("gbs")), "near-rest")
     h, zero = F.xxhash64(F.lit(7), "digest"), F.lit(0).cast("bigint")
-    left = rest.join(counts, "group").select("group", "digest", "text", F.pmod(h, "rbs").alias("rb"), F.explode(F.sequence(zero, F.col("gbs") - 1)).alias("gb"), F.lit(True).alias("own"))
-    right = now.join(counts, "group").select("group", "digest", "text", F.explode(F.sequence(zero, F.col("rbs") - 1)).alias("rb"), F.pmod(h, "gbs").alias("gb"), F.lit(False).alias("own"))
+    every = common.heavy_join(now, sums, "group", "members", count)
+    left = every.where("NOT joined AND NOT done").select("group", "digest", "text", F.pmod(h, "rbs").alias("rb"), F.explode(F.sequence(zero, F.col("gbs") - 1)).alias("gb"), F.lit(True).alias("own"))
+    right = every.select("group", "digest", "text", F.explode(F.sequence(zero, F.col("rbs") - 1)).alias("rb"), F.pmod(h, "gbs").alias("gb"), F.lit(False).alias("own"))
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         mine, others = b[b["own"]], b[~b["own"]]
@@ -330,58 +372,70 @@ def _large_links(members: DataFrame, t: Threshold, tasks: int) -> DataFrame:
     return links.unionByName(left.unionByName(right).groupBy("group", "rb", "gb").applyInPandas(run, LINK))
 
 
+def _grown(classes: DataFrame, count: int, trees: range) -> tuple[list[DataFrame], list[DataFrame], int]:
+    """Grows trees over the classes: small nodes' rows, links of the large ones that branching does not take apart, and the deepest level of either."""
+    few, alike, deepest = [], [], 1
+    level = classes.select("digest", "n", "sig", F.lit(count).cast("bigint").alias("parent"))
+    rows = count * len(trees)
+    for depth in range(DEPTH):
+        children, paths = _branches(level, depth, trees if not depth else range(1))
+        sizes = common.stored(paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-sizes")
+        met, maybe = common.maybe_in(children, [F.col("path")], sizes, [F.col("path")])
+        nodes = common.stored(common.heavy_join(met.where(F.col(maybe)).drop(maybe), sizes, "path", "size", rows), "near-nodes")
+        stays = (F.col("size") > SHRINKS * F.col("parent")) if depth < DEPTH - 1 else F.lit(True)
+        large = nodes.where(F.col("size") > LEAF)
+        few.append(nodes.where(F.col("size") <= LEAF).select("path", "digest", "n", "sketch"))  # a path holds its depth
+        counts = large.groupBy(stays.alias("stays")).agg(F.count(F.lit(1)).alias("n"))
+        n = {r["stays"]: r["n"] for r in counts.collect()}  # two rows
+        if n or not nodes.isEmpty():
+            deepest = depth + 1
+        if n.get(True):  # their members are candidates as they are
+            least = large.where(stays).groupBy("path").agg(F.min("digest").alias("b"), F.count(F.lit(1)).alias("members"))
+            alike.append(common.heavy_join(large.where(stays), least, "path", "members", n[True]).select(F.col("digest").alias("a"), "b").where("a <> b"))
+        rows = n.get(False, 0)
+        if not rows:
+            break
+        level = large.where(~stays).select("path", "digest", F.col("size").alias("parent")).join(classes.select("digest", "n", "sig"), "digest").coalesce(_tasks(rows, 5000))
+    return few, alike, deepest
+
+
 def classes_with_components(docs: DataFrame, t: Threshold, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows of docs (doc_id, at_file, at_row, n, digest), and classes (digest, component: the least row of the component)."""
+    """Rows of docs (doc_id, at_file, at_row, n, digest), and classes (digest, component: the least row of the component, copies: its rows)."""
     docs = common.plain(docs)
     rows = common.stored(_sets(docs, t.words, id_column, text_column), "near-sets")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at_file", "at_row")
-    classes = common.stored(rows.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(row).alias("first")), "near-classes")
-
-    few, alike, level, before = None, None, classes.select("digest", "n", "sig"), None
-    for depth in range(DEPTH):
-        children = _branches(level, depth)
-        if depth:
-            children = common.stored(children, "near-children")
-        sizes = children.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        nodes = common.stored(children.join(sizes, "path"), "near-nodes")
-        own = nodes.where(F.col("size") <= LEAF).select("path", "digest", "n", "sketch")
-        few = own if few is None else few.unionByName(own)  # a path holds its depth
-        large = nodes.where(F.col("size") > LEAF)
-        count = large.count()
-        if not count:
-            break
-        if depth == DEPTH - 1 or before is not None and count > SHRINKS * before:
-            # branching no longer takes these nodes apart: their members are candidates as they are
-            least = large.groupBy("path").agg(F.min("digest").alias("b"))
-            alike = large.join(least, "path").select(F.col("digest").alias("a"), "b").where("a <> b")
-            break
-        before = count
-        level = large.select("path", "digest").join(classes.select("digest", "n", "sig"), "digest").coalesce(_tasks(count, 5000))
-    pairs = _candidates(few.groupBy("path").agg(F.collect_list(F.struct("digest", "n", "sketch")).alias("members")).select("members"), t)
-    pairs = pairs if alike is None else pairs.unionByName(alike)
-    groups = connected(pairs)
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    groups = groups.join(sizes, "root").select(F.col("node").alias("digest"), F.col("root").alias("group"), "size")
-
-    place = classes.select("digest", F.col("first.at_file").alias("at_file"), F.col("first.at_row").alias("at_row"))
+    own = rows.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(row).alias("first"), F.count(F.lit(1)).alias("copies"))
+    classes = common.stored(own, "near-classes")
+    count, few, alike, grown, wanted = classes.count(), [], [], 0, TREES
+    while grown < wanted:
+        more = _grown(classes, count, range(grown, wanted))
+        few, alike, grown = few + more[0], alike + more[1], wanted
+        wanted = max(wanted, trees_for(t, more[2]))
+    nodes = reduce(DataFrame.unionByName, few).groupBy("path").agg(F.collect_list(F.struct("digest", "n", "sketch")).alias("members"))  # at most LEAF
+    groups = connected(reduce(DataFrame.unionByName, [_candidates(nodes.select("members"), t), *alike]))
+    sizes = groups.join(classes.select(F.col("digest").alias("node"), "n"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("all_n"))
+    place = classes.select("digest", "n", F.col("first.at_file").alias("at_file"), F.col("first.at_row").alias("at_row"))
+    groups = common.heavy_join(groups, common.stored(sizes, "near-sizes"), "root", "size", groups.count()).select(F.col("node").alias("digest"), F.col("root").alias("group"), "size", "all_n")
     wanted = common.stored(groups.join(place, "digest"), "near-groups")
     content = common.located(docs, [F.col(text_column).alias("text")])
-    members = common.stored(common.at_locators(content, wanted).select("group", "size", "digest", "text"), "near-texts")
-    links = _small_links(members.where(F.col("size") <= GROUP).select("group", "digest", "text"), t)
-    large = members.where(F.col("size") > GROUP).select("group", "digest", "text")
-    count = large.count()
-    if count:
-        links = links.unionByName(_large_links(large, t, _tasks(count, 200)))
+    members = common.stored(common.at_locators(content, wanted).select("group", "size", "all_n", "n", "digest", "text"), "near-texts")
+    small = (F.col("size") <= GROUP) & (F.col("all_n") <= SHINGLES)
+    links = _small_links(members.where(small).select("group", "digest", "text"), t)
+    large = members.where(~small).drop("all_n")
+    many = large.count()
+    if many:
+        links = links.unionByName(_large_links(large, t, many))
     roots = connected(links)
-    labelled = classes.select("digest", "first").join(roots, F.col("digest") == F.col("node"), "left").withColumn("root", F.coalesce("root", "digest"))
-    least = labelled.groupBy("root").agg(F.min("first").alias("component"))
-    return rows.drop("sig"), labelled.join(least, "root").select("digest", "component")
+    labelled = classes.select("digest", "first", "copies").join(roots, F.col("digest") == F.col("node"), "left").withColumn("root", F.coalesce("root", "digest"))
+    least = labelled.groupBy("root").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("members"))
+    return rows.drop("sig"), common.heavy_join(labelled, least, "root", "members", count).select("digest", "component", "copies")
 
 
 def near_duplicates(docs: DataFrame, t: Threshold = Threshold(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept (its id is its component's)."""
     rows, classes = classes_with_components(docs, t, id_column, text_column)
-    joined = rows.join(classes, "digest", "left")
+    joined = common.heavy_join(rows, common.stored(classes, "near-components"), "digest", "copies", rows.count())
+    joined = joined.unionByName(rows.where("n = 0"), allowMissingColumns=True)
     component = F.coalesce(F.col("component.doc_id"), F.when(F.col("component").isNull(), F.col("doc_id")))
     out = joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -391,7 +445,7 @@ def keep_first(docs: DataFrame, t: Threshold = Threshold(), id_column: str = "do
     """docs, with all their columns, with one row of each component."""
     docs = common.plain(docs)
     rows, classes = classes_with_components(docs, t, id_column, text_column)
-    joined = rows.join(classes, "digest")
+    joined = common.heavy_join(rows, common.stored(classes, "near-components"), "digest", "copies", rows.count())
     stays = (F.col("component.at_file") == F.col("at_file")) & (F.col("component.at_row") == F.col("at_row"))
     return common.without(docs, common.stored(joined.where(~stays).select("at_file", "at_row"), "near-dropped"))
 

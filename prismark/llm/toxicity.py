@@ -4,10 +4,12 @@ Two interpolated Kneser-Ney models, toxic and ordinary, keep their own counts at
 below it both back off to one set of continuation counts gathered from all training words, so a rare
 expression gets the same backed-off probability from either model and moves the score only as far as
 a class has really seen its letters. A word's evidence is its toxic log-likelihood less its ordinary
-one. Two samples of one language differ by a few nats on any word, and a text of a rarer language by
-as much on all of its words; so evidence up to a tolerance is left out, and what exceeds it is summed
-over the text and divided by its length in words. A logistic curve maps that to 0..1; curve and
-tolerance are fitted on held-back labelled rows.
+one; a text's is the sum over its words divided by its length in words, so the two likelihoods are
+compared normalised by length, and ordinary words speak against a text as toxic ones speak for it. Two
+samples of one language differ by a few nats on any word, which in sum would hide a few toxic
+expressions; so evidence is shrunk by a tolerance, on both sides alike, before it is summed. At
+tolerance 0 the comparison is the plain one. A logistic curve maps the result to 0..1; curve and
+tolerance are fitted on held-back labelled rows, by their loss.
 
 Training reads at most ``max_per_class`` labelled rows of each class, the ones whose ids hash lowest
 (the documented bound of the classifier's sample); scoring reads every whole text.
@@ -39,8 +41,8 @@ THRESHOLD = 0.3
 #: Words longer than this are read in pieces of this length, so that one text without spaces needs no more memory.
 PIECE = 64
 CACHE = 200_000
-#: Nats of evidence that chance explains; the fit picks one of them.
-TOLERANCES = (2.0, 3.0, 4.0, 5.0)
+#: Nats of a word's evidence that chance explains; the fit picks one of them.
+TOLERANCES = (0.0, 1.0, 2.0, 3.0, 4.0, 5.0)
 _STEP, _WRAP = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -173,8 +175,8 @@ class Scorer:
         self.known: dict[str, int] = {}
         self.evidence = np.zeros(0)
 
-    def excess(self, texts: list[str | None], tolerances: tuple[float, ...]) -> np.ndarray:
-        """A row per text: for each tolerance, the evidence beyond it per word."""
+    def compared(self, texts: list[str | None], tolerances: tuple[float, ...]) -> np.ndarray:
+        """A row per text: for each tolerance, the evidence per word, each word's shrunk by it."""
         out = np.zeros((len(texts), len(tolerances)))
         lists = [words_of(t) for t in texts]
         fresh = list(set().union(*lists).difference(self.known))
@@ -188,9 +190,8 @@ class Scorer:
         for k, words in enumerate(lists):
             if words:
                 own = self.evidence[np.fromiter(map(get, words), np.int64, len(words))]
-                own = own[own > min(tolerances)]
                 for i, t in enumerate(tolerances):
-                    out[k, i] = np.maximum(own - t, 0).sum() / len(words)
+                    out[k, i] = (own - np.clip(own, -t, t)).sum() / len(words)
         return out
 
 
@@ -260,7 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
 
 def evidence(text: Column, model: Model, tolerances: tuple[float, ...]) -> Column:
-    """An array with, for each tolerance, the text's evidence beyond it per word."""
+    """An array with, for each tolerance, the text's evidence per word."""
     spark = SparkSession.getActiveSession()
     common.small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
@@ -269,7 +270,7 @@ def evidence(text: Column, model: Model, tolerances: tuple[float, ...]) -> Colum
     def compared(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = common.worker_kept(("toxicity", id(sent.value)), lambda: Scorer(sent.value))
         for texts in batches:
-            yield pd.Series([list(x) for part in _batches(texts) for x in scorer.excess(part.where(part.notna(), None).tolist(), tolerances)], dtype=object)
+            yield pd.Series([list(x) for part in _batches(texts) for x in scorer.compared(part.where(part.notna(), None).tolist(), tolerances)], dtype=object)
         common.release()
 
     return compared(text)
@@ -289,7 +290,8 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     model = train(docs, labels, id_column, text_column)
     if model is None:
         return docs
-    return docs.withColumn("__toxicity", toxicity(F.col(text_column), model)).where(F.col("__toxicity") < threshold).drop("__toxicity")
+    name = common.unused(docs, "__toxicity")
+    return docs.withColumn(name, toxicity(F.col(text_column), model)).where(F.col(name) < threshold).drop(name)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

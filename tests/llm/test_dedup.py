@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from prismark.llm import components, exact_dedup, near_dedup
 from prismark.llm.near_dedup import Threshold
 
-SCHEMA = "doc_id bigint, text string, at_file string, digest int, n int, kept string"  # with columns that clash with the operators' own
+SCHEMA = "doc_id bigint, text string, at_file string, digest int, n int, kept string, _metadata string, __maybe int, __file int"  # with columns that clash with the operators' own
 
 
 def docs(spark, rows):
-    return spark.createDataFrame([(i, t, "x", 1, 2, "y") for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "x", 1, 2, "y", "m", 3, 4) for i, t in rows], SCHEMA)
 
 
 def fold(t):
@@ -44,6 +44,28 @@ def test_exact_keeps_whole_rows_and_empty_tables(spark):
     assert exact_dedup.decide(df.limit(0)).count() == 0 and exact_dedup.deduplicate(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [64, 1])
+def test_exact_state_outlives_the_call(spark, tmp_path, bits):
+    """The second call's rows are judged against the first call's too, whose table is gone by then."""
+    first, second = ODD[:8] + [(100 + k, f"copy {k % 7}") for k in range(30)], ODD[8:] + [(50 + 3 * k, f"Copy {k % 9}") for k in range(40)] + [(200, "z" * 200_000)]
+    rows, digest = [], lambda t: F.substring(F.sha2(t, 256), 1, bits)
+    for own in (first, second, []):
+        rows += own
+        groups = {}
+        for i, t in rows:
+            groups.setdefault(fold(t), []).append(-1 if i is None else i)
+        got = exact_dedup.decide(docs(spark, own).repartition(2), digest=digest, state=str(tmp_path)).collect()
+        want = sorted((-1 if i is None else i, max(groups[fold(t)]), len(groups[fold(t)])) for i, t in own)
+        assert sorted((-1 if r["id"] is None else r["id"], -1 if r["keep_id"] is None else r["keep_id"], r["group_size"]) for r in got) == want
+
+
+def test_exact_large_group(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SALT", 7)
+    rows = [(i, "same" if i % 3 else f"text {i}") for i in range(400)]
+    got = {r["id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.decide(docs(spark, rows)).collect()}
+    assert got == {i: (398, 266, i == 398) if i % 3 else (i, 1, True) for i, _ in rows}
+
+
 def sets_of(rows, k):
     out = []
     for _, t in rows:
@@ -94,7 +116,7 @@ EDGES = [(9001, None), (9002, ""), (9003, "   "), (9004, "one two"), (9005, "ONE
 def test_near_equals_brute_force(spark, monkeypatch, t, small):
     """small: tiny nodes and groups, so that pivots, rounds and blocks do the work."""
     if small:
-        for name, value in (("LEAF", 3), ("GROUP", 4), ("PIVOTS", 2), ("ROUNDS", 2), ("REST_BLOCK", 3), ("GROUP_BLOCK", 4)):
+        for name, value in (("LEAF", 3), ("GROUP", 4), ("PIVOTS", 2), ("ROUNDS", 2), ("REST_BLOCK", 3), ("GROUP_BLOCK", 4), ("PART", 3)):
             monkeypatch.setattr(near_dedup, name, value)
     rows = families(1, 6, 14) + EDGES
     got = near_dedup.near_duplicates(docs(spark, rows), t).collect()
@@ -111,6 +133,56 @@ def test_near_large_group_of_near_copies(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(rows, t)
 
 
+@pytest.mark.parametrize("depth", [2, 8])
+def test_trees_reach_the_recall(depth):
+    """By simulation: pairs at the threshold agree in each coordinate with its chance, and trees pick coordinates at random."""
+    import numpy as np
+
+    t, rng = Threshold(4, 5, 5), np.random.default_rng(depth)
+    agree = rng.random((4000, near_dedup.COORDINATES)) < 0.8
+    met = np.zeros(4000, bool)
+    for _ in range(near_dedup.trees_for(t, depth)):
+        met |= agree[:, rng.integers(0, near_dedup.COORDINATES, depth)].all(1)
+    assert met.mean() > near_dedup.RECALL - 0.006
+
+
+def shared_passage(n, words, passage, own):
+    """Pairs of texts of similarity 0.8 or a little more; all texts share a passage, so trees take them apart slowly."""
+    r = random.Random(11)
+    common_, out = [f"p{i}" for i in range(passage)], []
+    for k in range(n):
+        base = [f"k{k}x{i}" for i in range(words - passage)]
+        for j in range(2):
+            edge = [f"e{k}j{j}x{i}" for i in range(own)]
+            out.append((2 * k + j, " ".join([*common_, *base, *edge])))
+    r.shuffle(out)
+    return out
+
+
+def test_near_recall_with_a_passage_that_all_share(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LEAF", 6)
+    monkeypatch.setattr(near_dedup, "GROUP", 40)
+    rows = shared_passage(300, 80, 56, 9)
+    t = Threshold(4, 5, 5)
+    a, b = sets_of([x for x in rows if x[0] < 2], 5)
+    assert t.linked(len(a & b), len(a), len(b)) and len(a & b) / len(a | b) < 0.82
+    reached = []
+    grown = near_dedup._grown
+    monkeypatch.setattr(near_dedup, "_grown", lambda *x: reached.append((x[2], (out := grown(*x))[2])) or out)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs(spark, rows), t).collect()}
+    assert max(d for _, d in reached) > 3
+    assert sum(got[2 * k] == got[2 * k + 1] for k in range(300)) >= 297 and all(v // 2 == k // 2 for k, v in got.items())
+
+
+def test_near_long_texts_in_one_group(spark, monkeypatch):
+    """Groups of few members but much text go in bounded blocks."""
+    monkeypatch.setattr(near_dedup, "SHINGLES", 500)
+    rows = families(5, 2, 12, words=400, edits=20)
+    t = Threshold(85, 100, 3)
+    got = near_dedup.near_duplicates(docs(spark, rows), t).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(rows, t)
+
+
 def test_near_keeps_one_row_a_group(spark):
     rows = families(3, 4, 5) + EDGES
     df = docs(spark, rows)
@@ -123,7 +195,7 @@ def test_near_keeps_one_row_a_group(spark):
 
 
 def test_components(spark):
-    links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
+    links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(5000 + k % 3, 10_000 + k) for k in range(3000)] + [(7, 7), (200, 201), (201, 200)]
     got = dict(tuple(r) for r in components.connected(spark.createDataFrame(links, "a bigint, b bigint")).collect())
-    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200} | {5000 + k: 5000 + k for k in range(3)} | {10_000 + k: 5000 + k % 3 for k in range(3000)}
     assert components.connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0

@@ -1,8 +1,10 @@
 """URL filter, WARC archives and Hamming search."""
 
 import base64
+import gzip
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -71,23 +73,60 @@ def test_warc_round_trip_and_revisits(spark):
         top = max((i for i in ids if i is not None), default=None)
         assert [r["page_id"] for r in own if r["record_type"] == "response"] == [top]
         assert all(r["refers_to"] == top for r in own if r["record_type"] == "revisit")
+    records = [(h, block) for r in warc.archives(spark, path).collect() for h, block, _ in warc.parsed(bytes(r["content"]))]
+    ids = {h["warc-record-id"]: h for h, _ in records}
+    assert len(ids) == len(rows)
+    for h, block in records:
+        if h["warc-type"] == "revisit":  # the record it names is a response with the same payload
+            o = ids[h["warc-refers-to"]]
+            assert o["warc-type"] == "response" and o["warc-payload-digest"] == h["warc-payload-digest"] and o.get("warc-target-uri") == h.get("warc-refers-to-target-uri") and o["warc-date"] == h["warc-refers-to-date"]
+            assert h.get("warc-profile") == warc.PROFILE
+        else:
+            assert "warc-refers-to" not in h
     for content in [r["content"] for r in warc.archives(spark, path).collect()]:
         for h, block, _ in warc.parsed(bytes(content)):
-            assert (h["warc-type"] == "revisit") == ("warc-refers-to" in h or h.get("warc-profile") == warc.PROFILE)
             assert h["warc-type"] == "revisit" and block == b"" or h["warc-payload-digest"] == "sha1:" + warc.payload_digest(block)
     least = warc.deduplicated_archives(df, common.scratch(spark, "warc-test"), min_bytes=2).collect()
     assert all(r["record_type"] == "response" for r in least if r["payload_bytes"] < 2) and any(r["record_type"] == "revisit" for r in least)
     assert warc.deduplicated_archives(df.limit(0), common.scratch(spark, "warc-test")).count() == 0
 
 
-@pytest.mark.parametrize("width", [64, 20, 7])
-def test_hamming_equals_brute_force(spark, width):
+def test_warc_a_member_a_record_and_bounded_archives(spark):
+    """Each record is a gzip member that begins and ends with it; archives are bounded by records and bytes, and a great record stands alone."""
+    rng = np.random.default_rng(1)
+    rows = [(i, f"http://h/{i}", rng.bytes(3000).hex()) for i in range(40)] + [(100, "http://big", rng.bytes(2_000_000).hex())]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    path = common.scratch(spark, "warc-test")
+    assert warc.deduplicated_archives(df, path, records_per_file=15, bytes_per_file=30_000).count() == 41
+    seen = 0
+    for content in [bytes(r["content"]) for r in warc.archives(spark, path).collect()]:
+        own = list(warc.parsed(content))
+        assert len(own) <= 15 and (len(content) < 32_000 or len(own) == 1)
+        assert gzip.decompress(content).startswith(b"WARC/1.0\r\n")
+        z = zlib.decompressobj(31)
+        first = z.decompress(content)
+        assert z.eof and first.endswith(b"\r\n\r\n") and first.count(b"WARC/1.0\r\n") == 1
+        seen += len(own)
+    assert seen == 41
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.parsed(content[:-30]))
+
+
+def test_warc_great_payload(spark):
+    n = 50_000_000
+    df = spark.range(2).selectExpr("id AS page_id", "'http://x' AS url", f"concat(repeat('ab', {n // 2}), if(id = 2, 'x', '')) AS html")
+    got = sorted(tuple(r) for r in warc.deduplicated_archives(df, common.scratch(spark, "warc-test")).select("page_id", "payload_bytes", "record_type", "refers_to").collect())
+    assert got == [(0, n, "revisit", 1), (1, n, "response", None)]
+
+
+@pytest.mark.parametrize(("width", "bits_each"), [(64, None), (64, 16), (20, 5), (20, 8), (7, 7)])
+def test_hamming_equals_brute_force(spark, width, bits_each):
     rng = np.random.default_rng(width)
     bits = rng.integers(0, 2, (300, width))
     bits[100:200] = bits[0]  # a third of all rows share a code
     codes = ["".join(map(str, b)) for b in bits]
     rows = spark.createDataFrame([(i * 3, c) for i, c in enumerate(codes)], "id bigint, code string")
-    got = hamming_search.top_k(rows, rows.where("id % 20 = 0"), 12, rows_per_block=70, queries_per_block=4).collect()
+    got = hamming_search.top_k(rows, rows.where("id % 20 = 0"), 12, segment_bits=bits_each, queries_per_block=4).collect()
     for q in range(0, 300, 20):
         d = (bits != bits[q]).sum(1)
         want = [(int(i) * 3, int(d[i])) for i in np.lexsort((np.arange(300), d))[:12]]
@@ -96,6 +135,36 @@ def test_hamming_equals_brute_force(spark, width):
     assert hamming_search.top_k(rows.limit(0), rows, 3).count() == 0 and hamming_search.top_k(rows, rows.limit(0), 3).count() == 0
 
 
+def test_hamming_proves_near_queries_without_meeting_all(spark, monkeypatch):
+    """Clusters of near codes are proved at a small radius; a segment value that a third of all share is split."""
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 2, (40, 64))
+    bits = np.repeat(centres, 25, 0) ^ (rng.random((1000, 64)) < 0.03)
+    bits[::3, :20] = 1
+    codes = ["".join(map(str, b)) for b in bits]
+    rows = spark.createDataFrame(list(enumerate(codes)), "id bigint, code string")
+    monkeypatch.setattr(hamming_search, "SPLIT", 50)
+    radii = []
+    met = hamming_search.Index.met
+    monkeypatch.setattr(hamming_search.Index, "met", lambda self, q, r: radii.append((r, q.count())) or met(self, q, r))
+    got = hamming_search.top_k(rows, rows.where("id % 20 = 0"), 30).collect()
+    for q in range(0, 1000, 20):
+        d = (bits != bits[q]).sum(1)
+        want = [(int(i), int(d[i])) for i in np.lexsort((np.arange(1000), d))[:30]]
+        assert [(r["id"], r["distance"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
+    assert radii[0] == (0, 50) and len(radii) > 1 and all(a[1] >= b[1] for a, b in zip(radii, radii[1:], strict=False))
+
+
+def test_hamming_odd_rows(spark):
+    rows = spark.createDataFrame([(1, "1" * 64), (1, "1" * 64), (None, "1" * 64), (3, None), (2, "0" * 64)], "id bigint, code string")
+    got = sorted((r["query_id"], r["rank"], r["id"], r["distance"]) for r in hamming_search.top_k(rows, rows, 4).collect())
+    assert got == [(1, 1, 1, 0), (1, 2, 1, 0), (1, 3, 2, 64), (2, 1, 2, 0), (2, 2, 1, 64), (2, 3, 1, 64)]
+    mixed = spark.createDataFrame([(1, "1" * 63), (2, "1" * 65), (3, "1" * 64)], "id bigint, code string")
+    for a, b in ((mixed, mixed), (rows, mixed.where("id = 1"))):
+        with pytest.raises(ValueError, match="cannot be compared"):
+            hamming_search.top_k(a, b, 2)
+
+
 def test_codes_of_odd_vectors(spark):
     df = spark.createDataFrame([([0.5, -1.0, 0.0, float("nan"), None],)], "v array<float>")
     assert df.select(hamming_search.code(df["v"])).first()[0] == "10000"

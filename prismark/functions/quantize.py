@@ -50,6 +50,15 @@ def compression_ratio(vector: Column, element_bytes: int = 4) -> Column:
     return (F.size(vector) * element_bytes) / F.size(vector)
 
 
+def batch_sweep(vectors: DataFrame, sizes: list[int], column: str = "embedding", mbps: float = 100.0) -> DataFrame:
+    """Rows (batch, full_bytes, code_bytes, ratio, full_ms, code_ms): what a batch of so many vectors takes to send; sizes above the number of vectors are left out."""
+    n = F.size(column)
+    own = vectors.agg(F.count(F.lit(1)).alias("rows"), F.avg(n * 4).alias("full"), F.avg(n).alias("code"))
+    each = own.withColumn("batch", F.explode(F.array(*[F.lit(s).cast("bigint") for s in sizes]))).where("batch <= rows")
+    full, code = F.col("full") * F.col("batch"), F.col("code") * F.col("batch")
+    return each.select("batch", full.alias("full_bytes"), code.alias("code_bytes"), (full / code).alias("ratio"), transfer_ms(full, mbps).alias("full_ms"), transfer_ms(code, mbps).alias("code_ms"))
+
+
 def transfer_ms(payload_bytes: Column, mbps: float = 100.0) -> Column:
     """Time to send so many bytes at so many megabits a second."""
     return payload_bytes.cast("double") / F.lit(mbps * 1024 * 1024 / 8000)

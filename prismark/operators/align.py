@@ -24,6 +24,12 @@ def align_three_way(hashes: DataFrame, traditional: DataFrame, deep: DataFrame)
     return hashes.join(traditional, "image_id").join(deep, "image_id")
 
 
+def gather(aligned: DataFrame, rows: DataFrame, at: str, index: str = "row_index", column: str = "features") -> DataFrame:
+    """aligned with the vector of ``rows`` (index, column) that its row index ``at`` names, as a column of that name; rows whose index names none are dropped."""
+    own = rows.select(F.col(index).alias("_index"), F.col(column).alias(column))
+    return aligned.join(own, F.col(at) == F.col("_index")).drop("_index")
+
+
 def first_of_key(aligned: DataFrame, *order: str) -> DataFrame:
     """One row a key, the first in the given order."""
     rank = F.row_number().over(W.partitionBy("image_id").orderBy(*order))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections import OrderedDict
 
 import pandas as pd
@@ -24,24 +25,28 @@ class ResultCache:
     def __init__(self, capacity: int = 100):
         self.capacity, self.hits, self.misses = capacity, 0, 0
         self._kept: OrderedDict = OrderedDict()
+        self._lock = threading.Lock()
 
     def get(self, key):
-        if key not in self._kept:
-            self.misses += 1
-            return None
-        self.hits += 1
-        self._kept.move_to_end(key)
-        return self._kept[key]
+        with self._lock:
+            if key not in self._kept:
+                self.misses += 1
+                return None
+            self.hits += 1
+            self._kept.move_to_end(key)
+            return self._kept[key]
 
     def put(self, key, results) -> None:
-        self._kept[key] = results
-        self._kept.move_to_end(key)
-        if len(self._kept) > self.capacity:
-            self._kept.popitem(last=False)
+        with self._lock:
+            self._kept[key] = results
+            self._kept.move_to_end(key)
+            if len(self._kept) > self.capacity:
+                self._kept.popitem(last=False)
 
     def clear(self) -> None:
-        """To be called when the index gets new rows."""
-        self._kept.clear()
+        """Called when the index gets new rows."""
+        with self._lock:
+            self._kept.clear()
 
     @property
     def hit_rate(self) -> float:
@@ -49,29 +54,55 @@ class ResultCache:
         return self.hits / asked if asked else 0.0
 
 
+#: Chunks whose summaries are read together.
+FAN = 256
+
+
+def _begins(recent: DataFrame, capacity: int) -> DataFrame:
+    """The state (chunk, held: keys, oldest use first) that each chunk begins with, from its own last keys (chunk, key, last).
+
+    Chunks are gathered ``FAN`` to a group, groups are summed up like chunks, and the states that the
+    groups begin with, found the same way, are carried through their chunks, all groups side by side.
+    """
+    recent = stored(recent, "cache-states")
+    ends = recent.agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).first()
+    grouped = recent.withColumn("group", F.floor(F.col("chunk") / FAN))
+    if ends["a"] is None or ends["a"] // FAN == ends["b"] // FAN:
+        each = grouped.withColumn("held", F.array().cast("array<string>"))
+    else:
+        last = grouped.groupBy(F.col("group").alias("chunk"), "key").agg(F.max("last").alias("last"))
+        rank = F.row_number().over(W.partitionBy("chunk").orderBy(F.desc("last")))
+        groups = _begins(last.withColumn("r", rank).where(F.col("r") <= capacity).drop("r"), capacity)
+        each = grouped.join(groups.withColumnRenamed("chunk", "group"), "group")
+
+    def carry(b: pd.DataFrame) -> pd.DataFrame:
+        state, out = OrderedDict.fromkeys(b["held"].iloc[0]), []
+        for chunk, own in b.sort_values("last").groupby("chunk", sort=True):
+            out.append((chunk, list(state)))
+            for key in own["key"]:
+                state.pop(key, None)
+                state[key] = None
+            while len(state) > capacity:
+                state.popitem(last=False)
+        return pd.DataFrame(out, columns=["chunk", "held"])
+
+    # a group has at most FAN * capacity rows
+    return each.groupBy("group").applyInPandas(carry, "chunk bigint, held array<string>")
+
+
 def lru_replay(requests: DataFrame, capacity: int, seq: str = "seq", key: str = "key", chunk: int = 100_000) -> DataFrame:
     """requests (seq, key) with hit: whether an LRU cache that stores every miss holds the key.
 
     A replay needs no more from the past than the last ``capacity`` distinct keys. Chunks of the log are
-    summed up to those, the driver carries one such state over the summaries, and then all chunks are
-    replayed side by side, each from its own state.
+    summed up to those, and then all chunks are replayed side by side, each from the state it begins with
+    (``_begins``). Only counts reach the driver.
     """
-    spark = requests.sparkSession
     own = requests.select(F.col(seq).cast("bigint").alias("seq"), F.col(key).cast("string").alias("key")).where("seq IS NOT NULL")
     own = stored(own.withColumn("chunk", F.floor(F.col("seq") / chunk)), "requests")
     last = own.groupBy("chunk", "key").agg(F.max("seq").alias("last"))
     rank = F.row_number().over(W.partitionBy("chunk").orderBy(F.desc("last")))
-    recent = last.withColumn("r", rank).where(F.col("r") <= capacity).orderBy("chunk", "last")
-    state, states, now = OrderedDict(), [], None
-    for row in recent.toLocalIterator():  # a chunk's keys, oldest use first
-        if row["chunk"] != now:
-            now = row["chunk"]
-            states.append((now, list(state)))
-        state.pop(row["key"], None)
-        state[row["key"]] = None
-        while len(state) > capacity:
-            state.popitem(last=False)
-    begins = spark.createDataFrame(states, "chunk bigint, held array<string>")
+    recent = last.withColumn("r", rank).where(F.col("r") <= capacity).drop("r")
+    begins = _begins(recent, capacity)
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("seq")

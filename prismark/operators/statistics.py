@@ -24,8 +24,10 @@ def at_positions(df: DataFrame, group: str, value: str, positions: DataFrame) ->
     first = sums.select(group, "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     own = W.partitionBy(group, "part").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
     cut = dealt.withColumn("_before", F.coalesce(F.sum("n").over(own), F.lit(0))).join(first, [group, "part"]).withColumn("_from", F.col("first") + F.col("_before"))
-    p = positions.withColumnRenamed(group, "_group")
-    met = cut.join(F.broadcast(p), (F.col(group) == F.col("_group")) & (F.col("pos") >= F.col("_from")) & (F.col("pos") < F.col("_from") + F.col("n")))
+    # each position first finds its range among the group's, at most one a task, and then its value within that range
+    ranges = sums.withColumnRenamed("n", "_n").join(first, [group, "part"])
+    placed = positions.join(ranges, group).where((F.col("pos") >= F.col("first")) & (F.col("pos") < F.col("first") + F.col("_n"))).drop("first", "_n")
+    met = cut.join(placed, [group, "part"]).where((F.col("pos") >= F.col("_from")) & (F.col("pos") < F.col("_from") + F.col("n")))
     return met.select(group, *[c for c in positions.columns if c != group], F.col("v").alias("value_at"))
 
 

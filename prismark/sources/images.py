@@ -6,16 +6,17 @@ Descriptors that need libraries outside this environment (SIFT, ORB, a CNN) plug
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prismark.functions import paths
 from prismark.functions.hashes import perceptual_hash_values
+from prismark.plans.numbering import numbered
 
 Extractor = Callable[[np.ndarray], np.ndarray]  # uint8 height x width x 3 (BGR) -> vector
 SIDE = 224
@@ -25,7 +26,7 @@ def list_images(spark: SparkSession, folder: str, extensions: tuple[str, ...] =
     """Rows (index, path, category) of a folder and its subfolders, numbered by path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
     found = files.where(paths.has_extension(F.col("path"), extensions))
-    return found.select((F.row_number().over(W.orderBy("path")) - 1).alias("index"), "path", paths.category(F.col("path")).alias("category"))
+    return numbered(found, ["path"]).select("index", "path", paths.category(F.col("path")).alias("category"))
 
 
 def load_images(spark: SparkSession, folder: str, extensions: tuple[str, ...] = paths.IMAGE_EXTENSIONS) -> DataFrame:
@@ -64,6 +65,11 @@ def resized(a: np.ndarray, height: int, width: int) -> np.ndarray:
     return out
 
 
+def normalised(a: np.ndarray, side: int = SIDE) -> np.ndarray:
+    """An image of side x side with values 0..1."""
+    return (resized(a, side, side) / 255.0).astype(np.float32)
+
+
 def grey(a: np.ndarray) -> np.ndarray:
     return a[:, :, 2] * 0.299 + a[:, :, 1] * 0.587 + a[:, :, 0] * 0.114
 
@@ -120,6 +126,46 @@ def with_features(images: DataFrame, *extractors: Extractor) -> DataFrame:
     return decoded(images).select("path", "height", "width", "channels", "data").mapInPandas(run, "path string, features array<float>")
 
 
+#: Backbones by name: each makes, once a task, a function from a batch of inputs (n x 224 x 224 x 3) to vectors (n x width).
+BACKBONES: dict[str, Callable[[], Callable[[np.ndarray], np.ndarray]]] = {}
+
+
+def register_backbone(name: str, load: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> None:
+    """Makes a model available by name; ``load`` runs on the workers, so it may import what only they have."""
+    BACKBONES[name] = load
+
+
+def with_model(images: DataFrame, model: str | Callable[[], Callable[[np.ndarray], np.ndarray]], batch_size: int = 32, prepare: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Rows (path, features, model_ms): a model's vectors of decoded images, ``batch_size`` at a time.
+
+    model is a registered name or a loader. ``prepare`` makes an input of an image of 224 x 224 (default:
+    ``imagenet_input``). model_ms is the time of the image's batch divided by its size.
+    """
+    if isinstance(model, str):
+        if model not in BACKBONES:
+            raise ValueError(f"unknown backbone {model!r}; registered: {sorted(BACKBONES)}")
+        model = BACKBONES[model]
+    if batch_size < 1:
+        raise ValueError("batch_size must be 1 or more")
+    prepare = prepare or imagenet_input
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        infer = None
+        for b in batches:
+            for at in range(0, len(b), batch_size):
+                part = b.iloc[at : at + batch_size]
+                infer = infer or model()
+                inputs = np.stack([prepare(np.rint(resized(pixels(h, w, c, d), SIDE, SIDE)).astype(np.uint8)) for _, h, w, c, d in part.itertuples(index=False)])
+                began = time.perf_counter()
+                out = np.asarray(infer(inputs), np.float32)
+                ms = (time.perf_counter() - began) * 1000 / len(part)
+                if len(out) != len(part):
+                    raise ValueError("the model gave another number of vectors than it got images")
+                yield pd.DataFrame({"path": part["path"].to_numpy(), "features": list(out.reshape(len(part), -1)), "model_ms": ms})
+
+    return decoded(images).select("path", "height", "width", "channels", "data").mapInPandas(run, "path string, features array<float>, model_ms double")
+
+
 def imagenet_input(a: np.ndarray) -> np.ndarray:
     """RGB in 0..1, less the channel means, over the channel deviations: the input of a pretrained backbone."""
     rgb = a[:, :, ::-1] / 255.0

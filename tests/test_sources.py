@@ -60,8 +60,11 @@ def test_matrices(spark, tmp_path):
     assert np.allclose([r["features"] for r in df.orderBy("row_index").collect()], m)
     assert matrices.read_npy(spark, str(tmp_path / "f.npy"), rows=7).count() == 7
     assert matrices.write_npy(df, str(tmp_path / "g.npy")) == 50 and np.allclose(np.load(tmp_path / "g.npy"), m)
-    (tmp_path / "m.csv").write_text("index,image_path\n0,a/b, c.jpg\n1,d.jpg\n")
-    assert [tuple(r) for r in matrices.read_metadata(spark, str(tmp_path / "m.csv")).orderBy("index").collect()] == [(0, "a/b, c.jpg"), (1, "d.jpg")]
+    (tmp_path / "m.csv").write_text("index,image_path\n0,a/b, c.jpg\n1,d.jpg\nx,e.jpg\n")
+    assert [tuple(r) for r in matrices.read_metadata(spark, str(tmp_path / "m.csv")).orderBy("index").collect()] == [(None, "x,e.jpg"), (0, "a/b, c.jpg"), (1, "d.jpg")]
+    with pytest.raises(ValueError):
+        matrices.write_npy(spark.createDataFrame([(0, [1.0]), (1, None)], "row_index bigint, features array<float>"), str(tmp_path / "x.npy"))
+    assert matrices.write_npy(df.limit(0), str(tmp_path / "e.npy")) == 0 and np.load(tmp_path / "e.npy").shape == (0, 0)
     np.save(tmp_path / "p.npy", np.array(["x.jpg", "y.jpg"]))
     assert matrices.read_metadata(spark, str(tmp_path / "p.npy")).count() == 2
     (tmp_path / "h.json").write_text(json.dumps({"a.jpg": {"aHash": "1", "dHash": "2", "pHash": "3"}}))
@@ -79,6 +82,27 @@ def test_matrices(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "r")).first()["v"] == 2.0
 
 
+def test_model_batches(spark, folder):
+    """A model is loaded once a task and gets whole batches of prepared images."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def load():
+        def infer(x):
+            calls.add(1)
+            assert x.shape[1:] == (224, 224, 3) and len(x) <= 1
+            return np.stack([x.mean((1, 2, 3)), x.max((1, 2, 3))], 1)
+
+        return infer
+
+    images.register_backbone("means", load)
+    loaded = images.load_images(spark, folder)
+    got = {r["path"].rsplit("/", 1)[1]: r for r in images.with_model(loaded, "means", 1, images.normalised).collect()}
+    assert set(got) == {"a.png", "b.PNG"} and np.allclose(got["b.PNG"]["features"], [1 / 3, 1]) and got["a.png"]["model_ms"] >= 0 and calls.value == 2
+    for wrong in (lambda: images.with_model(loaded, "no such"), lambda: images.with_model(loaded, load, 0)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
 CONFIG = lsh.LSHConfig(num_tables=10, hash_width=8)
 
 

@@ -16,6 +16,7 @@ packed each; ids may be null; an empty table gives an empty result; other column
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import islice
@@ -51,6 +52,12 @@ def gathered(values: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tupl
     return values[at], ends
 
 
+def _encodings(tokenizer, texts: list[str], each: int) -> Iterator:
+    """The texts' encodings; only ``each`` of them are in memory at a time."""
+    for i in range(0, len(texts), each):
+        yield from tokenizer.encode_batch_fast(texts[i : i + each], add_special_tokens=False)
+
+
 class ChunkEncoder:
     """Encodes texts with a tokenizer that drops white space, by the distinct chunks between spaces.
 
@@ -60,6 +67,7 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and each thread would hold memory of its own
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -76,13 +84,13 @@ class ChunkEncoder:
         self.stops = [b"", *self._others([".", ","])]
 
     def _others(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in _encodings(self.tokenizer, chunks, 4000)]
 
     def _plain(self, words: list[str]) -> list[bytes]:
         """Ids of plain words, encoded together: each is one stretch of letters and so ends at its first token that ends a word."""
         out: list[bytes] = []
         parts = [words[i : i + 1000] for i in range(0, len(words), 1000)]
-        for part, e in zip(parts, self.words.encode_batch([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+        for part, e in zip(parts, _encodings(self.words, [" ".join(p) for p in parts], 8), strict=True):
             ids = np.array(e.ids, "<u4")
             own, ends = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(ends) != len(part):

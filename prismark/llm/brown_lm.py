@@ -3,8 +3,9 @@
 A word's probability is that of its class after the class before it, times that of the word in its class.
 Exchange clustering assigns the classes. The most frequent types, ``CORE`` of them, are clustered by
 exact exchange on their bigram counts: each in turn moves to the class that gains most likelihood, until
-none moves. Every other training word then makes its one best exchange move against the classes of its
-neighbours, all words in parallel.
+none moves. Every other training word then makes exchange moves against the classes of its core
+neighbours, in sweeps over all words in parallel: each sweep moves every word to its best class under the
+class bigrams that the sweep before has left, and sweeps go on while these gain mutual information.
 
 Words are counted exactly over all training texts, however many there are. Only for speed are at most
 ``HEAD`` frequent words, of at most ``LONGEST`` bytes, sent to all tasks as a dictionary, a bound by
@@ -39,6 +40,8 @@ HEAD, LONGEST, ENDINGS, LETTERS = 131_072, 64, 8192, 4
 CORE, CLASSES, SWEEPS = 2048, 64, 12
 #: Words seen at most so often also speak for their ending, which unseen words share.
 RARE = 5
+#: Most sweeps over the words outside the core, and the share of mutual information that one must gain.
+WORD_SWEEPS, GAIN = 8, 1e-4
 
 
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -230,21 +233,62 @@ def _ending(word: str) -> Column:
     return F.pmod(F.crc32(F.substring(word, -LETTERS, LETTERS)), F.lit(ENDINGS)).cast("int")
 
 
+def _affinity(n: np.ndarray) -> np.ndarray:
+    """What a step from one class (row) to another is worth: its logarithm against chance."""
+    n = n + 0.1
+    return np.log(n) - np.log(n.sum(1))[:, None] - np.log(n.sum(0))[None]
+
+
+def _information(n: np.ndarray) -> float:
+    """Mutual information of neighbouring classes, in nats over all steps."""
+    return float(_xlogx(n).sum() - _xlogx(n.sum(1)).sum() - _xlogx(n.sum(0)).sum() + _xlogx(n.sum()))
+
+
+def _best(column: pa.Array, both: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of seen (none empty): the class that gains most, the rows' sizes, and the flattened keys and numbers. both: by key and own class."""
+    flat, sizes = column.flatten(), pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    keys, n = flat.field("k").to_numpy(), flat.field("n").to_numpy()
+    return np.add.reduceat(both[keys] * n[:, None], np.cumsum(sizes) - sizes).argmax(1), sizes, keys, n
+
+
+def _both(affinity: np.ndarray) -> np.ndarray:
+    return np.concatenate([affinity, affinity.T])  # rows: class before, then class after; columns: own class
+
+
+def _swept(words: DataFrame, core: np.ndarray) -> np.ndarray:
+    """The affinity under which the words' (seen) best classes have the most mutual information. core: the class bigrams of the core."""
+    k, affinity, best, most = len(core), _affinity(core), _affinity(core), -np.inf
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+    for _ in range(WORD_SWEEPS):
+        sent = words.sparkSession.sparkContext.broadcast(_both(affinity))
+
+        def steps(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(2 * k * k, np.int64)
+            for b in batches:
+                if b.num_rows:
+                    own, sizes, keys, n = _best(b.column("seen"), sent.value)
+                    total += np.bincount(keys * k + np.repeat(own, sizes), n, 2 * k * k).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], schema=schema)
+
+        counts = words.select("seen").mapInArrow(steps, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+        before, after = _collected(counts, 2 * k * k).reshape(2, k, k)  # at most two sides times CLASSES * CLASSES rows
+        n = core + before + after.T
+        now = _information(n)
+        if np.isfinite(most) and now <= most + GAIN * abs(most):
+            break
+        most, best, affinity = now, affinity, _affinity(n)
+    return best
+
+
 def _best_moves(seen: DataFrame, affinity: np.ndarray) -> DataFrame:
     """Adds the class that gains most to rows with seen: side times classes plus neighbour's class, and how often."""
-    sent = seen.sparkSession.sparkContext.broadcast(np.concatenate([affinity, affinity.T]))  # rows: class before, then class after; columns: own class
+    sent = seen.sparkSession.sparkContext.broadcast(_both(affinity))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = sent.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            column = b.column("seen")
-            flat = column.flatten()
-            sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
-            gain = both[flat.field("k").to_numpy()] * flat.field("n").to_numpy()[:, None]
-            best = np.add.reduceat(gain, np.cumsum(sizes) - sizes).argmax(1)  # none is empty
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.int64())], names=[*b.schema.names, "class"])
+            if b.num_rows:
+                own, _, _, _ = _best(b.column("seen"), sent.value)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int64())], names=[*b.schema.names, "class"])
 
     return seen.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in seen.dtypes) + ", class bigint")
 
@@ -282,8 +326,7 @@ def clustered(training: DataFrame, types: Types, tail_words: DataFrame | None =
     k = int(own.max()) + 1
     member = np.zeros((size, k))
     member[np.arange(size), own] = 1
-    n = member.T @ bigrams @ member + 0.1
-    affinity = np.log(n) - np.log(n.sum(1))[:, None] - np.log(n.sum(0))[None]
+    n = member.T @ bigrams @ member
 
     of = np.full(total + 1, -1, np.int64)
     of[core] = own
@@ -321,7 +364,11 @@ def clustered(training: DataFrame, types: Types, tail_words: DataFrame | None =
     # at most two sides times CLASSES rows for each type or word
     one = F.struct((F.col("key") % (2 * k)).cast("int").alias("k"), "n")
     by_type = seen.groupBy("word", (F.col("key") / (2 * k)).cast("bigint").alias("type")).agg(F.sort_array(F.collect_list(one)).alias("seen"))
+    path = common.scratch(spark, "brown-seen")
+    by_type = common.stored(by_type, "brown-seen", path)
+    affinity = _swept(by_type.where(f"word IS NOT NULL OR type < {head}"), n)
     moves = common.stored(_best_moves(by_type, affinity), "brown-moves")
+    common.remove(spark, path)
     moved = moves.where(f"word IS NULL AND type < {head}").select("type", "class").toPandas()  # at most one row a type
     of[moved["type"]] = moved["class"]
 
@@ -443,9 +490,11 @@ def brown_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     training = texts.where("NOT held_out")
     words = common.stored(word_counts(training), "brown-words")
     types, in_tail = head_and_endings(words, training.count())
-    codes = common.stored(encoded(texts, types), "brown-codes")
+    path = common.scratch(texts.sparkSession, "brown-codes")
+    codes = common.stored(encoded(texts, types), "brown-codes", path)
     found = clustered(codes.where("NOT held_out"), types, words.where(in_tail))
     codes = common.stored(placed(codes, found), "brown-placed")
+    common.remove(texts.sparkSession, path)
     return scored(codes, types, fit(codes.where("NOT held_out"), types, found))
 
 

@@ -143,6 +143,49 @@ def test_brown_classes_do_not_depend_on_the_dictionary(spark, monkeypatch):
     assert scores[0] == scores[1] == scores[2]
 
 
+@pytest.mark.parametrize("head", [131_072, 30])
+def test_brown_scores_equal_brute_force(spark, monkeypatch, head):
+    """Scores from plain dictionaries, given the classes of words and endings."""
+    monkeypatch.setattr(brown_lm, "HEAD", head)
+    monkeypatch.setattr(brown_lm, "CORE", 25)
+    r = random.Random(8)
+    text = lambda a: " ".join(f"{a}{int(r.expovariate(0.06))}" for _ in range(r.randrange(0, 30)))
+    rows = [(i, text("ab"[i % 2])) for i in range(200)] + [(900, None), (901, "new a1 words b2"), (None, "a1 " + "z" * 90)]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    own = lambda t: [*(t or "").encode().lower().split(), None]
+    df = docs(spark, rows).withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))).select("doc_id", "held_out", "text")
+    training = df.where("NOT held_out")
+    words = brown_lm.word_counts(training).cache()
+    types, in_tail = brown_lm.head_and_endings(words, training.count())
+    codes = brown_lm.encoded(df, types)
+    found = brown_lm.clustered(codes.where("NOT held_out"), types, words.where(in_tail))
+    of = {w: int(c) for w, c in zip(types.words, found.of, strict=False)} | {bytes(x["word"]): x["class"] for x in found.tail.collect()} | {None: int(found.of[-1])}
+    endings = found.of[len(types.words) : -1]
+    class_of = lambda w: of[w] if w in of else int(endings[brown_lm.ending(w)])
+    k = len(found.counts)
+    train = [own(t) for i, t in rows if not held(i)]
+    count = Counter(w for t in train for w in t)
+    steps = Counter((class_of(a), class_of(b)) for t in train for a, b in zip([None, *t], t, strict=False))
+    size, kinds = Counter(), Counter()
+    for w, n in count.items():
+        size[class_of(w)] += n
+        kinds[class_of(w)] += 1
+    total = sum(size.values())
+
+    def score(t):
+        out = 0.0
+        for a, b in zip([None, *own(t)], own(t), strict=False):
+            x, y = class_of(a), class_of(b)
+            share = (size[y] + 1) / (total + k)
+            out += math.log10((steps[x, y] + k * share) / (sum(steps[x, z] for z in range(k)) + k)) + math.log10((count[b] + 1) / (size[y] + kinds[y] + 1))
+        return out
+
+    placed = brown_lm.placed(codes, found)
+    got = brown_lm.scored(placed, types, brown_lm.fit(placed.where("NOT held_out"), types, found)).collect()
+    want = sorted((-1 if i is None else i, round(score(t), 6)) for i, t in rows)
+    assert sorted((-1 if x["doc_id"] is None else x["doc_id"], round(x["score"], 6)) for x in got) == want
+
+
 def test_brown_core_is_whole():
     assert brown_lm.CORE >= 2048
 

@@ -56,6 +56,60 @@ def test_trees_learn_and_generalise(spark):
     assert url_filter.train(df.where("block = 1")).of(["u"], ["h"], ["/"])[0] == 1
 
 
+def test_trees_split_and_predict_as_brute_force_does():
+    rng = np.random.default_rng(5)
+    x = np.stack([rng.integers(0, 9, 300), rng.random(300), rng.integers(0, 2, 300)], 1).astype(float)
+    y = ((x[:, 1] > 0.6) ^ (rng.random(300) < 0.1)).astype(float)
+    t = url_filter.Trees(rounds=1, depth=1).fit(x, y)
+    p = y.mean()
+    best = max(
+        (sum((y[m] - p).sum() ** 2 / (m.sum() * p * (1 - p) + 1) for m in (x[:, k] <= e, x[:, k] > e)), k, e)
+        for k in range(3) for e in t.edges[k] if min((x[:, k] <= e).sum(), (x[:, k] > e).sum()) * p * (1 - p) >= t.least
+    )
+    feature, cut, value = t.trees[0]
+    assert feature[0] == best[1] and np.isclose(t.edges[feature[0]][cut[0]], best[2])
+    for side in (x[:, best[1]] <= best[2], x[:, best[1]] > best[2]):
+        leaf = t.rate * (y[side] - p).sum() / (side.sum() * p * (1 - p) + 1)
+        assert np.allclose(t.predict(x)[side], 1 / (1 + np.exp(-(t.base + leaf))))
+    deep = url_filter.Trees(rounds=7, depth=3).fit(x, y)
+    for row, got in zip(x, deep.predict(x), strict=True):
+        score = deep.base
+        for feature, cut, value in deep.trees:
+            node = 0
+            while node < 7:
+                k = feature[node]
+                node = 2 * node + 1 + int(cut[node] < len(deep.edges[k]) and row[k] > deep.edges[k][min(cut[node], len(deep.edges[k]) - 1)])
+            score += value[node - 7]
+        assert np.isclose(got, 1 / (1 + np.exp(-score)))
+
+
+def test_features_equal_plain_ones():
+    """Each feature from its definition, one url at a time."""
+    import math
+
+    urls = ["https://A1.b-c.net/x9/yy.html?q=1&r=2#f", "http://h.org", "ftp://h/é/", ""]
+    hosts, paths = ["a1.b-c.net", "h.org", "h", ""], ["/x9/yy.html", "", "/é/", ""]
+    m = url_filter.UrlModel(urls[:2], hosts[:2], paths[:2], np.array([1.0, 0.0]))
+    got = dict(zip(url_filter.NAMES, m.features(urls, hosts, paths).T.tolist(), strict=True))
+    assert got["length"] == [len(u) for u in urls] and got["depth"] == [2, 0, 1, 0] and got["labels"] == [3, 2, 1, 1] and got["parameters"] == [2, 0, 0, 0]
+    assert got["query_length"] == [7, 0, 0, 0] and got["hyphens"] == [1, 0, 0, 0] and got["fragment"] == [1, 0, 0, 0] and got["secure"] == [1, 0, 0, 0] and got["file_ending"] == [1, 0, 0, 0]
+    assert got["digit_ratio"] == [4 / len(urls[0]), 0, 0, 0] and got["host_digits"] == [1, 0, 0, 0] and got["path_digits"] == [1, 0, 0, 0] and got["longest_segment"] == [7, 0, 1, 0]
+    for u, e in zip(urls, got["entropy"], strict=True):
+        assert math.isclose(e, -sum(u.count(c) / len(u) * math.log2(u.count(c) / len(u)) for c in set(u)), abs_tol=1e-9)
+    assert got["suffix1"][0] == (1 + 2 * 0.5) / 3 and got["suffix1"][1] == (0 + 2 * 0.5) / 3 and got["suffix1"][2] == 0.5
+
+
+def test_odd_urls_with_trained_trees(spark):
+    """Null urls and urls without a scheme are judged by the trees, like all that no rule covers."""
+    urls = [f"http://a{i}.example.org/es/{i}" for i in range(80)] + [f"http://b{i}.site.org/{i}" for i in range(80)] + [None, None, "", "x", "http://" + "q" * 50_000 + ".net/", "http://b1.site.net/1"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r["page_id"]: r for r in url_filter.judged(df, url_filter.RULES).collect()}
+    assert len(got) == len(urls)
+    for i in range(160, len(urls)):
+        assert got[i]["rule"] is None and got[i]["verdict"] == ("block" if got[i]["score"] > 0.5 else "allow") and 0 <= got[i]["score"] <= 1
+    assert got[160]["score"] == got[161]["score"] and got[160]["host"] == got[160]["path"] == ""
+
+
 def test_warc_round_trip_and_revisits(spark):
     tricky = "a\r\n\r\nWARC/1.0\r\nContent-Length: 5\r\n\r\nb"
     rows = [(1, "http://a", "x"), (2, "http://b", "x"), (3, None, None), (4, "http://d", ""), (5, "u\r\nX: y", tricky), (6, "http://f", tricky), (7, "é", "é€😀"), (8, "http://h", "z" * 500_000), (2, "http://b", "x"), (None, "http://n", "x"), (None, "http://m", "only"), (9, "k", "\n")]
@@ -135,8 +189,9 @@ def test_hamming_equals_brute_force(spark, width, bits_each):
     assert hamming_search.top_k(rows.limit(0), rows, 3).count() == 0 and hamming_search.top_k(rows, rows.limit(0), 3).count() == 0
 
 
-def test_hamming_proves_near_queries_without_meeting_all(spark, monkeypatch):
-    """Clusters of near codes are proved at a small radius; a segment value that a third of all share is split."""
+@pytest.mark.parametrize("visits", [1, 100])
+def test_hamming_proves_near_queries_without_meeting_all(spark, monkeypatch, visits):
+    """Clusters of near codes are proved at a small radius; a segment value that a third of all share is split. With more visits a round takes more radii."""
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 2, (40, 64))
     bits = np.repeat(centres, 25, 0) ^ (rng.random((1000, 64)) < 0.03)
@@ -146,13 +201,14 @@ def test_hamming_proves_near_queries_without_meeting_all(spark, monkeypatch):
     monkeypatch.setattr(hamming_search, "SPLIT", 50)
     radii = []
     met = hamming_search.Index.met
-    monkeypatch.setattr(hamming_search.Index, "met", lambda self, q, r: radii.append((r, q.count())) or met(self, q, r))
+    monkeypatch.setattr(hamming_search.Index, "met", lambda self, q, r: radii.append((r[0], q.count())) or met(self, q, r))
+    monkeypatch.setattr(hamming_search, "VISITS", visits)
     got = hamming_search.top_k(rows, rows.where("id % 20 = 0"), 30).collect()
     for q in range(0, 1000, 20):
         d = (bits != bits[q]).sum(1)
         want = [(int(i), int(d[i])) for i in np.lexsort((np.arange(1000), d))[:30]]
         assert [(r["id"], r["distance"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
-    assert radii[0] == (0, 50) and len(radii) > 1 and all(a[1] >= b[1] for a, b in zip(radii, radii[1:], strict=False))
+    assert radii[0] == (0, 50) and len(radii) > 1 and all(a[0] < b[0] and a[1] >= b[1] for a, b in zip(radii, radii[1:], strict=False))
 
 
 def test_hamming_odd_rows(spark):

@@ -169,9 +169,11 @@ def _matched(sequence: Column, rules: list[tuple[str, str, list[str]]]) -> Colum
 
 def scanned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, str, list[str]]] = RULES) -> DataFrame:
     """One row per text with a known sentence: doc_id, sentence_ids, rules (name:count, in rule order), licences (sorted, distinct)."""
-    text = F.translate(F.coalesce(F.col(text_column), F.lit("")), common.UPPER + MARK, common.LOWER + "\x02")  # MARK is kept for the ends of sentences
-    own = docs.select(F.col(id_column).alias("doc_id"), text.alias("text"))
-    own = own.where(reduce(lambda a, b: a | b, [F.col("text").contains(w) for w in telling_words(list(sentences))]))
+    telling = telling_words(list(sentences))
+    # in a lambda, so that a text is lower-cased once; whatever lower() does beyond A-Z, it leaves these words' letters as they are
+    maybe = F.exists(F.array(F.lower(F.col(text_column))), lambda t: reduce(lambda a, b: a | b, [t.contains(w) for w in telling]))
+    text = F.translate(F.col(text_column), common.UPPER + MARK, common.LOWER + "\x02")  # MARK is kept for the ends of sentences
+    own = docs.where(maybe).select(F.col(id_column).alias("doc_id"), text.alias("text"))
     stops = F.regexp_replace(F.concat("text", F.lit("\n")), "[.!?;:]+[ \t\r\n]+", MARK)
     clean = F.regexp_replace(F.regexp_replace(stops, f"[^a-z0-9\n{MARK}]+", " "), "\n ?(?:\n ?)+", MARK)
     found = F.regexp_extract_all(clean, F.lit(_pattern(sentences)), F.lit(1))

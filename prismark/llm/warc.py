@@ -1,10 +1,10 @@
 """WARC archives: writing, reading, and revisit resolution.
 
 Archives are WARC/1.0 files with a gzip member for each record, so a reader can start at any record. A
-Python step makes the members, from Arrow batches bounded by bytes; Spark's text writer puts their bytes
-into the shared folder as they are, so any store that Spark can write to will hold them. The writer puts
-something behind each row; here that is an empty gzip member, which adds nothing to what is read.
-An archive ends at ``RECORDS_PER_FILE`` records or before it would exceed ``BYTES_PER_FILE`` compressed bytes;
+Python step makes the members, from Arrow batches bounded by bytes, and joins them to archives; Spark's
+text writer puts each archive's bytes into a file of its own in the shared folder, as they are, so any
+store that Spark can write to will hold them. The writer puts something behind each row; here that is an
+empty gzip member at an archive's end, which adds nothing to what is read. An archive ends at ``RECORDS_PER_FILE`` records or before it would exceed ``BYTES_PER_FILE`` compressed bytes;
 only a single greater record makes a greater archive. Archives are read back through Spark's binary
 reader, one member at a time, and blocks are taken by content length, as payloads may hold any bytes.
 
@@ -58,43 +58,28 @@ def record(headers: list[tuple[str, str | int | None]], block: bytes) -> bytes:
     return b"\r\n".join([b"WARC/1.0", *(x.encode("utf-8", "replace") for x in lines), b"", block, b"", b""])
 
 
-def write(members: DataFrame, path: str) -> None:
-    """members: archive, the number within its task, and data, a record's gzip member."""
-    rows = members.select(F.col("data").cast("string").alias("value"), "archive")
-    rows.write.partitionBy("archive").option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
+def write(archives_: DataFrame, path: str) -> None:
+    """archives_: data, the bytes of one archive a row."""
+    rows = archives_.select(F.col("data").cast("string").alias("value"))
+    rows.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
 
 
-class Cutter:
-    """Numbers a task's archives: the next one begins before this one gets too long."""
-
-    def __init__(self, records: int, size: int):
-        self.records, self.size, self.n, self.bytes, self.archive = records, size, 0, 0, 0
-
-    def of(self, length: int) -> int:
-        if self.n and (self.n == self.records or self.bytes + length > self.size):
-            self.archive, self.n, self.bytes = self.archive + 1, 0, 0
-        self.n, self.bytes = self.n + 1, self.bytes + length
-        return self.archive
-
-
-MEMBERS = pa.schema([("archive", pa.int32()), ("data", pa.binary())])
-
-
-def _batches(members: Iterator[bytes], records: int, size: int) -> Iterator[pa.RecordBatch]:
-    """Members as rows (archive, data), in batches of bounded size."""
-    cutter, rows, held = Cutter(records, size), [], 0
+def _joined(members: Iterator[bytes], records: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Archives of members, one to a batch; the next one begins before this one gets too long."""
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(own)], pa.binary())], names=["data"])
+    own, held = [], 0
     for data in members:
-        rows.append((cutter.of(len(data)), data))
+        if own and (len(own) == records or held + len(data) > size):
+            yield row()
+            own, held = [], 0
+        own.append(data)
         held += len(data)
-        if held > common.BATCH_BYTES:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), MEMBERS.types, strict=True)], schema=MEMBERS)
-            rows, held = [], 0
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), MEMBERS.types, strict=True)], schema=MEMBERS)
+    if own:
+        yield row()
 
 
 def responses(pages: DataFrame, date: str, records: int = RECORDS_PER_FILE, size: int = BYTES_PER_FILE) -> DataFrame:
-    """The members of pages (page_id, url, payload). Record ids are made from a name of the call, the task and the row's number, so a task that runs again gives the same."""
+    """Archives of pages (page_id, url, payload). Record ids are made from a name of the call, the task and the row's number, so a task that runs again gives the same."""
     call = uuid.uuid4()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,9 +96,9 @@ def responses(pages: DataFrame, date: str, records: int = RECORDS_PER_FILE, size
                     ], block))
                     n += 1
 
-        yield from _batches(members(), records, size)
+        yield from _joined(members(), records, size)
 
-    return pages.select("page_id", "url", "payload").mapInArrow(run, "archive int, data binary")
+    return pages.select("page_id", "url", "payload").mapInArrow(run, "data binary")
 
 
 def parsed(content: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
@@ -159,7 +144,7 @@ def _page(headers: dict[str, str]) -> int | None:
 
 def archives(spark: SparkSession, path: str) -> DataFrame:
     """The archives under path: at_file, content."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("at_file"), "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select(F.col("path").alias("at_file"), "content")
 
 
 HEADERS = "page_id bigint, at_file string, number bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, record_id string, url string, date string"
@@ -195,13 +180,13 @@ def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
     originals = counted.groupBy("payload_digest", "payload_bytes").agg(F.max_by(original, order).alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1")
     key = F.concat_ws(" ", "payload_digest", "payload_bytes").alias("key")
     originals = originals.select(key, "original", "n")
-    joined = common.heavy_join(counted.select("at_file", "number", "payload_digest", "payload_bytes", key), originals, "key", "n", headers.count())
+    joined = common.heavy_join(counted.select("at_file", "number", "payload_digest", "payload_bytes", key), originals, "key", "n", headers.count(), ["at_file", "number"])
     copies = joined.where((F.col("at_file") != F.col("original.o.at_file")) | (F.col("number") != F.col("original.o.number")))
     return copies.select("at_file", "number", "payload_digest", "payload_bytes", F.col("original.o.page_id").alias("refers_to"), "original.record_id", "original.url", "original.date")
 
 
 def rewritten(files: DataFrame, revisits: DataFrame, records: int = RECORDS_PER_FILE, size: int = BYTES_PER_FILE) -> DataFrame:
-    """The members of deduplicated archives, with fresh headers.
+    """The deduplicated archives, with fresh headers.
 
     An archive's decisions are at most as many as its records, which the writer bounds.
     """
@@ -226,10 +211,10 @@ def rewritten(files: DataFrame, revisits: DataFrame, records: int = RECORDS_PER_
                             ]
                         yield member(record([*more, ("X-Page-ID", h.get("x-page-id")), ("Content-Type", "text/html")], b"" if r else block))
 
-        yield from _batches(members(), records, size)
+        yield from _joined(members(), records, size)
 
     joined = files.join(own, "at_file", "left").select("content", "revisits")
-    return joined.mapInArrow(run, "archive int, data binary")
+    return joined.mapInArrow(run, "data binary")
 
 
 def deduplicated_archives(

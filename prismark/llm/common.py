@@ -98,15 +98,19 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return mine.where(~F.col(maybe)).unionByName(checked).drop(*names[:2], maybe)
 
 
-def heavy_join(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int) -> DataFrame:
-    """left joined with right, which has one row for each key, and in ``weight`` how many of left's rows hold it.
+def heavy_join(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int, spread: list[str]) -> DataFrame:
+    """left joined with right, which has one row for each key, and in ``weight`` how many of left's ``rows`` hold it at most.
 
-    Keys with more than a thousandth of left's ``rows``, so fewer than a thousand keys, are sent to all
-    tasks: their rows are not shuffled, and no task gets all rows of such a key.
+    A key with more than a thousandth of all rows, so one of fewer than a thousand keys, is split: its rows
+    are dealt out by a hash of the columns ``spread``, and its row in right is copied as often.
     """
-    heavy = F.col(weight) > rows / 1000
-    some, others = F.broadcast(right.where(heavy)), left.join(F.broadcast(right.where(heavy).select(key)), key, "left_anti")
-    return left.join(some, key).unionByName(others.join(right.where(~heavy), key))
+    most = max(1, rows // 1000)
+    part, parts = unused(left, "__part"), unused(left, "__parts")
+    many = F.ceil(F.col(weight) / most)
+    heavy = right.where(F.col(weight) > most).select(key, many.alias(parts))
+    dealt = left.join(F.broadcast(heavy), key, "left").withColumn(part, F.pmod(F.xxhash64(*spread), F.coalesce(parts, F.lit(1).cast("bigint")))).drop(parts)
+    copies = right.withColumn(part, F.explode(F.sequence(F.lit(0).cast("bigint"), many - 1)))
+    return dealt.join(copies, [key, part]).drop(part)
 
 
 def at_locators(located_rows: DataFrame, wanted: DataFrame) -> DataFrame:

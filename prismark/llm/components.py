@@ -9,15 +9,18 @@ from prismark.llm import common
 
 
 def _star(links: DataFrame, large: bool, rows: int) -> DataFrame:
-    """One step over links (a, b), so many rows: a node's neighbours (large: the greater ones) are linked to the least of the node and its neighbours."""
+    """One step over links (a, b), so many rows: a node's neighbours (large: the greater ones) are linked to the least of the node and its neighbours.
+
+    A node with very many neighbours has greater ones, as large components hang from their least nodes.
+    """
     around = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     if not large:
         around = around.where("v < u")
     least = around.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
     if large:
-        return common.heavy_join(around.where("v > u"), least, "u", "n", 2 * rows).select(F.col("v").alias("a"), F.least("m", "u").alias("b")).where("a <> b")
+        return common.heavy_join(around.where("v > u"), least, "u", "n", 2 * rows, ["v"]).select(F.col("v").alias("a"), F.least("m", "u").alias("b")).where("a <> b")
     # each u is also linked to its least neighbour, as that neighbour is among its neighbours' row
-    out = common.heavy_join(around, least, "u", "n", rows).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
+    out = around.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
     return out.distinct()
 
 
@@ -39,9 +42,10 @@ def connected(links: DataFrame, most: int = 60) -> DataFrame:
     for _ in range(most):
         if _settled(now):
             break
+        rows = now.count()
         for large in (True, False):
             before, path = path, common.scratch(spark, "links")
-            now = common.stored(_star(now, large, now.count()), "links", path)
+            now = common.stored(_star(now, large, rows), "links", path)
             common.remove(spark, before)
     else:
         raise RuntimeError("the components did not settle")

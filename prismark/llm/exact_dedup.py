@@ -11,8 +11,8 @@ its results stay there, and the next call's rows are checked against all that ea
 call that broke off is made good by the next one, as headers wait in the folder until the stream has read
 them. Without a folder the state lasts for the call.
 
-Groups may be large: their digests are sent to all rows instead of being shuffled to one task, and the
-content that the rows of a group are checked against is dealt out in copies, one for ``SALT`` rows.
+Groups may be large: their rows are dealt out to many tasks, and so is, in copies, the content that the
+rows of a group are checked against, one copy for ``SALT`` rows.
 
 Defined results: null text counts as empty text; of equal texts the row with the largest id stays,
 null ids last, ties (repeated rows) by the later locator; an empty table gives an empty result; other
@@ -112,7 +112,7 @@ def decide(
         return spark.createDataFrame([], "id bigint, keep_id bigint, group_size bigint, kept boolean, digest string, at_file string, at_row bigint")
     groups = keyed_state(headers, path, folder, files_per_batch)
 
-    joined = common.heavy_join(headers, groups, "digest", "group_size", headers.count())
+    joined = common.heavy_join(headers, groups, "digest", "group_size", headers.count(), ["at_file", "at_row"])
     own = (F.col("at_file") == F.col("top.at_file")) & (F.col("at_row") == F.col("top.at_row"))
     alone = joined.where((F.col("group_size") == 1) & (F.col("call") == call))
     alone = alone.select("id", F.col("id").alias("keep_id"), "group_size", F.lit(True).alias("kept"), "digest", "at_file", "at_row")
@@ -124,13 +124,14 @@ def decide(
     content = common.located(content, [text.alias("bytes")])
     hits = common.stored(common.at_locators(content, common.stored(hits, "dedup-hit-headers")), "dedup-hits")
     parts = F.ceil(F.col("group_size") / SALT)
-    first = hits.where("own").select("digest", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"), F.col("bytes").alias("state_bytes"))
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part")
+    first = hits.where("own").select("digest", copies, F.col("bytes").alias("state_bytes"))
     same = F.col("bytes") == F.col("state_bytes")
     dealt = hits.withColumn("part", F.pmod(F.xxhash64("at_file", "at_row"), parts))
-    checked = dealt.join(first, ["digest", "part"]).withColumn("same", same).withColumn("bytes", F.when(~same, F.col("bytes"))).drop("state_bytes", "part")
+    checked = dealt.join(first, ["digest", "part"]).withColumn("same", same).withColumn("bytes", F.when(~same, F.col("bytes"))).drop("state_bytes")
     checked = common.stored(checked, "dedup-checked")
-    verdicts = checked.where("NOT same").groupBy("digest").agg(F.count(F.lit(1)).alias("differ"))
-    hits = checked.join(verdicts, "digest", "left").withColumn("differ", F.coalesce("differ", F.lit(0)))
+    verdicts = checked.where("NOT same").groupBy("digest").agg(F.count(F.lit(1)).alias("differ"), F.max("group_size").alias("group_size"))
+    hits = checked.join(verdicts.select("digest", copies, "differ"), ["digest", "part"], "left").withColumn("differ", F.coalesce("differ", F.lit(0)))
     equal = hits.where("same AND mine").select(
         "id", "keep_id", (F.col("group_size") - F.col("differ")).alias("group_size"), F.col("own").alias("kept"), "digest", "at_file", "at_row"
     )

@@ -6,7 +6,7 @@ value. For radius 0, 1, 2, ... the queries that are still open visit the values
 their own in every segment, by one equi join on segment and value. A code is verified where it is met
 first, in full. Any code not met by then differs by more than the radius in every segment; so once the
 k-th verified distance is below what such a code must have, the query is proved, ties included, and
-leaves. The others go on with the next radius.
+leaves. The others go on with the next radius. A round takes several radii while they are cheap together.
 
 Segments have about the logarithm of the number of codes in bits, so a value holds few codes however
 many there are. Equal codes are one entry with their k lowest ids; a value that still holds more than a
@@ -34,6 +34,8 @@ from prismark.llm import common
 
 #: Queries that meet all codes at a time, where that is cheaper.
 QUERIES = 1024
+#: Values that a query visits in one round, if that is more than one radius.
+VISITS = 512
 #: Codes that a segment's value holds on average, as a power of two; bits of a segment at least and at most.
 HELD, LEAST, MOST = 4, 6, 24
 #: A value with more than the index's rows divided by this is split.
@@ -45,15 +47,6 @@ def code(vector: Column) -> Column:
     return F.array_join(F.transform(vector, lambda x: F.when((x > 0) & ~F.isnan(x), "1").otherwise("0")), "")
 
 
-def code_width(*frames: DataFrame) -> int | None:
-    """The length that all codes have; None where there are none."""
-    ends = [df.agg(F.min(F.length("code")).alias("a"), F.max(F.length("code")).alias("b")).first() for df in frames]
-    widths = {x for e in ends for x in e if x is not None}
-    if len(widths) > 1:
-        raise ValueError(f"codes of {min(widths)} and of {max(widths)} bits cannot be compared")
-    return widths.pop() if widths else None
-
-
 def _cuts(width: int, codes: int) -> list[int]:
     bits = min(MOST, max(LEAST, ceil(log2(max(2, codes))) - HELD))
     count = max(1, round(width / bits))
@@ -64,16 +57,19 @@ def _sum(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
+def classes_of(rows: DataFrame, k: int) -> DataFrame:
+    """Distinct codes with their k lowest ids and the least of them: code, ids, least."""
+    lowest = F.row_number().over(W.partitionBy("code").orderBy("id"))
+    few = rows.select("id", "code").withColumn("r", lowest).where(F.col("r") <= k)
+    classes = few.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # at most k ids
+    return common.stored(classes.withColumn("least", F.col("ids")[0]), "hamming-codes")
+
+
 class Index:
     """Distinct codes with their lowest ids, and the same once for each segment."""
 
-    def __init__(self, rows: DataFrame, width: int, k: int, segment_bits: int | None = None):
-        self.k = k
-        lowest = F.row_number().over(W.partitionBy("code").orderBy("id"))
-        few = rows.select("id", "code").withColumn("r", lowest).where(F.col("r") <= k)
-        classes = few.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # at most k ids
-        classes = common.stored(classes.withColumn("least", F.col("ids")[0]), "hamming-codes")
-        self.size = classes.count()
+    def __init__(self, classes: DataFrame, size: int, width: int, k: int, segment_bits: int | None = None):
+        self.k, self.size = k, size
         self.cuts = _cuts(width, self.size) if segment_bits is None else _cuts(width, 2 ** (segment_bits + HELD))
         self.count = len(self.cuts) - 1
         self.widths = [b - a for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
@@ -82,8 +78,8 @@ class Index:
         table = self.codes.select(F.explode(entries).alias("e"), "*").select("e.*", "ids", "least", *self.names("s"))
         held = table.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n"))
         most = max(1, self.size * self.count // SPLIT)
-        # fewer than SPLIT rows, as each has more than a thousandth of all
-        self.split = common.stored(held.where(F.col("n") > most).select("segment", "value", F.ceil(F.col("n") / most).cast("int").alias("parts")), "hamming-split")
+        split = held.where(F.col("n") > most).select("segment", "value", F.ceil(F.col("n") / most).cast("int")).collect()  # fewer than SPLIT rows, as each has more than a thousandth of all
+        self.split = classes.sparkSession.createDataFrame(split, "segment int, value int, parts int")
         parts = F.coalesce("parts", F.lit(1))
         dealt = table.join(F.broadcast(self.split), ["segment", "value"], "left").withColumn("part", F.pmod(F.xxhash64(*self.names("s")), parts).cast("int"))
         self.table = common.stored(dealt.drop("parts"), "hamming-index")
@@ -103,17 +99,18 @@ class Index:
         """Values that a query visits at a radius."""
         return sum(comb(w, radius) for w in self.widths)
 
-    def met(self, queries: DataFrame, radius: int) -> DataFrame:
-        """Codes that queries (query_id, q..., bound) meet first at the radius, with their distances."""
-        masks = [(j, sum(1 << i for i in c)) for j, w in enumerate(self.widths) for c in combinations(range(w), radius)]
+    def met(self, queries: DataFrame, radii: range) -> DataFrame:
+        """Codes that queries (query_id, q..., bound) meet first at these radii, with their distances."""
+        masks = [(j, sum(1 << i for i in c)) for r in radii for j, w in enumerate(self.widths) for c in combinations(range(w), r)]
         masks = queries.sparkSession.createDataFrame(masks, "segment int, mask int")  # fewer than there are codes, and than 2 ** MOST a segment
         own = F.array(*[F.struct(F.lit(j).alias("segment"), F.col(f"q{j}").alias("own")) for j in range(self.count)])
         probes = queries.select(F.explode(own).alias("e"), "*").select("e.*", "query_id", "bound", *self.names("q")).join(F.broadcast(masks), "segment")
-        probes = probes.withColumn("value", F.col("own").bitwiseXOR(F.col("mask"))).drop("own", "mask")
+        probes = probes.select("segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"), F.bit_count("mask").alias("radius"), "query_id", "bound", *self.names("q"))
         parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
-        probes = probes.join(F.broadcast(self.split), ["segment", "value"], "left").select("segment", "value", parts, "query_id", "bound", *self.names("q"))
+        probes = probes.join(F.broadcast(self.split), ["segment", "value"], "left").select("segment", "value", parts, "radius", "query_id", "bound", *self.names("q"))
         both = probes.join(self.table, ["segment", "value", "part"])
         # no lesser radius met it, and at this one no earlier segment
+        radius = F.col("radius")
         first = reduce(lambda a, b: a & b, [(d > radius) | ((d == radius) & (F.col("segment") <= j)) for j, d in enumerate(self.apart())])
         found = both.where(first).withColumn("distance", _sum(self.apart()).cast("bigint"))
         return found.where("bound IS NULL OR distance <= bound").select("query_id", *self.names("q"), "ids", "least", "distance")
@@ -142,26 +139,34 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, segment_bits: int |
     """rows and queries: id, code. Returns query_id, rank, id, distance for each query."""
     spark = rows.sparkSession
     rows, queries = (df.where("id IS NOT NULL AND code IS NOT NULL") for df in (rows, queries))
-    width = code_width(rows, queries)
-    if width is None:
+    classes = classes_of(rows, k)
+    own = classes.select("code", F.lit(1).alias("n")).unionByName(queries.select("code", F.lit(0).alias("n")))
+    seen = own.agg(F.min(F.length("code")).alias("width"), F.max(F.length("code")).alias("most"), F.sum("n").alias("codes")).first()
+    if not seen["codes"]:
         return spark.createDataFrame([], "query_id bigint, rank int, id bigint, distance bigint")
-    index = Index(rows, width, k, segment_bits)
+    if seen["width"] < seen["most"]:
+        raise ValueError(f"codes of {seen['width']} and of {seen['most']} bits cannot be compared")
+    index = Index(classes, seen["codes"], seen["width"], k, segment_bits)
     q = index.names("q")
     query = W.partitionBy("query_id", *q)
     left = common.stored(queries.select(F.col("id").alias("query_id"), "code").distinct().select("query_id", *index.segments("q"), F.lit(None).cast("bigint").alias("bound")), "hamming-queries")
-    best, done = None, []
-    for radius in range(max(index.widths) + 1):
+    best, done, radius, most = None, [], 0, max(index.widths)
+    while radius <= most:
         if index.visits(radius) >= index.size:
             done.append(index.all(left, queries_per_block))
             break
-        found = index.nearest(index.met(left, radius))
+        last = radius
+        while last < most and index.visits(last + 1) < index.size and sum(map(index.visits, range(radius, last + 2))) <= VISITS:
+            last += 1
+        found = index.nearest(index.met(left, range(radius, last + 1)))
+        radius = last + 1
         if best is not None:
             both = best.unionByName(found)
             found = both.withColumn("rank", F.row_number().over(query.orderBy("distance", "id"))).where(F.col("rank") <= k).drop("rank")
         best = common.stored(found, "hamming-best")
-        # a code that is not met differs by radius + 1 or more in every segment
+        # a code that is not met differs by the next radius or more in every segment
         kth = best.groupBy("query_id", *q).agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth")).where(F.col("n") == k)
-        proved = kth.where(F.col("kth") < index.count * (radius + 1))
+        proved = kth.where(F.col("kth") < index.count * radius)
         done.append(best.join(proved.select("query_id", *q), ["query_id", *q], "left_semi"))
         left = left.drop("bound").join(proved, ["query_id", *q], "left_anti").join(kth.select("query_id", *q, F.col("kth").alias("bound")), ["query_id", *q], "left")
         left = common.stored(left, "hamming-queries")

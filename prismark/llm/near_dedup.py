@@ -8,11 +8,12 @@ apart. The number of trees follows from the target recall and the deepest level
 at the threshold must agree in one coordinate a level, so deeper trees are repeated more often
 (``trees_for``). What the sketches do not rule out makes candidate
 groups: groups of few members and bounded text are compared exhaustively on their full sets, and every
-member of a larger group meets a few pivots, again on full sets. Members that pivots join to one component
-need no link of their own. The others choose new pivots, a few times, and at last meet the whole group in
-blocks of bounded text; so no link between parts that pivots leave apart is lost, and pairs within a part
-are never made. Nodes, groups and components may be large: what is known of one is sent to its rows, or
-its rows are dealt out in parts, so none is gathered in one task.
+member of a larger group meets a few pivots, again on full sets. Pivots are the members whose sketches agree
+most with the group's commonest one, so the text that many copies derive from is among them. Members that
+pivots join to one component need no link of their own. The others choose new pivots, a few times, and at
+last meet the whole group in blocks of bounded text; so no link between parts that pivots leave apart is lost, and pairs within a part
+are never made. Nodes, groups and components may be large: their rows are dealt out to many tasks, and
+what is known of them in copies, so none is gathered in one task.
 
 Defined results: null and empty texts and texts without words have an empty set and are linked with
 nothing; texts with fewer words than a shingle have the whole sequence as one; rows with a null id take
@@ -47,7 +48,7 @@ SHRINKS = 0.8
 LEAF, GROUP = 128, 256
 #: Shingles, and so bytes of text, that one task compares at a time: bounds groups and blocks beside their members' number.
 SHINGLES = 1_000_000
-PIVOTS, ROUNDS = 8, 3
+PIVOTS, ROUNDS = 8, 4
 #: Members of a large group that meet one copy of its pivots.
 PART = 500
 #: Most members of the blocks in which what pivots leave of a large group meets the whole group.
@@ -277,30 +278,54 @@ def _small_links(members: DataFrame, t: Threshold) -> DataFrame:
     return members.groupBy("group").applyInPandas(run, LINK)
 
 
-MET = "group binary, size bigint, n bigint, digest binary, text string, joined boolean, done boolean, bits int, linked array<binary>"
+def _with_sketches(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """members with the sketches of their classes (digest, sig), as arrays."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"digest": b["digest"].to_numpy(), "sketch": list(_signatures(b["sig"]).astype(np.uint8).astype(np.int16))})
+
+    own, maybe = common.maybe_in(classes.select("digest", "sig"), [F.col("digest")], members, [F.col("digest")])
+    return members.join(own.where(F.col(maybe)).select("digest", "sig").mapInPandas(run, "digest binary, sketch array<smallint>"), "digest")
+
+
+def _pivots(members: DataFrame, count: int) -> DataFrame:
+    """Of each group's members that are neither joined nor done, ``PIVOTS`` at most: group, digest. At most ``count`` members."""
+    free = members.where("NOT joined AND NOT done").select("group", "digest", "sketch")
+    votes = free.select("group", F.posexplode("sketch").alias("at", "value")).groupBy("group", "at", "value").agg(F.count(F.lit(1)).alias("n"))
+    commonest = votes.groupBy("group", "at").agg(F.max_by("value", F.struct("n", "value")).alias("value"), F.sum("n").alias("n"))
+    centre = F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"])  # one value a coordinate
+    centres = commonest.groupBy("group").agg(centre.alias("centre"), F.max("n").alias("members"))
+    agreeing = F.aggregate(F.zip_with("sketch", "centre", lambda a, b: (a == b).cast("int")), F.lit(0), lambda acc, x: acc + x)
+    near = common.heavy_join(free, centres, "group", "members", count, ["digest"]).select("group", "digest", agreeing.alias("agreeing"))
+    # the best member of each hashed part of a group, so picking pivots gathers no group
+    part = F.pmod(F.xxhash64("group", "digest"), F.lit(PIVOTS))
+    order = F.struct("agreeing", F.xxhash64("digest", "group").alias("h"), "digest")
+    return near.groupBy("group", part.alias("part")).agg(F.max_by("digest", order).alias("digest")).drop("part")
 
 
-def _met_pivots(members: DataFrame, t: Threshold, tasks: int) -> DataFrame:
+MET = "group binary, size bigint, n bigint, digest binary, text string, sketch array<smallint>, joined boolean, done boolean, bits int, linked array<binary>"
+
+
+def _met_pivots(members: DataFrame, t: Threshold, count: int) -> DataFrame:
     """One round: pivots from the members that are neither joined nor done; each member with the pivots it is linked to.
 
-    members: group, size, n, digest, text, joined, done. Returns these with the linked pivots, as bits and as digests.
+    members, ``count`` rows: group, size, n, digest, text, sketch, joined, done. Returns these with the linked pivots, as bits and as digests.
     """
-    order = F.struct(F.xxhash64("digest", "group").alias("h"), "digest")
-    part = F.pmod(F.xxhash64("group", "digest"), F.lit(PIVOTS))
-    # one member of each hashed part of a group, so picking pivots gathers no group
-    free = members.where("NOT joined AND NOT done")
-    pivots = free.groupBy("group", part.alias("part")).agg(F.min_by(F.struct("digest", "text"), order).alias("p"), F.first("size").alias("size"))
+    chosen = common.stored(_pivots(members, count), "near-pivots")
+    own, maybe = common.maybe_in(members.select("group", "size", "digest", "text"), [F.col("digest")], chosen, [F.col("digest")])
+    pivots = own.where(F.col(maybe)).join(chosen, ["group", "digest"])
     # a part of a group and a copy of its pivots lie together, the pivots first
     parts = F.ceil(F.col("size") / PART)
     none = F.lit(None)
-    copies = pivots.select("group", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"), F.lit(False).alias("member"), "size", none.cast("bigint").alias("n"), "p.digest", "p.text", none.cast("boolean").alias("joined"), none.cast("boolean").alias("done"))
-    own = members.select("group", F.pmod(F.xxhash64("digest"), parts).alias("part"), F.lit(True).alias("member"), "size", "n", "digest", "text", "joined", "done")
+    copies = pivots.select("group", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"), F.lit(False).alias("member"), "size", none.cast("bigint").alias("n"), "digest", "text", none.cast("array<smallint>").alias("sketch"), none.cast("boolean").alias("joined"), none.cast("boolean").alias("done"))
+    own = members.select("group", F.pmod(F.xxhash64("digest"), parts).alias("part"), F.lit(True).alias("member"), "size", "n", "digest", "text", "sketch", "joined", "done")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, known, names = None, [], []
         for b in batches:
             out = []
-            for group, part, member, size, n, digest, text, joined, done in b.itertuples(index=False):
+            for group, part, member, size, n, digest, text, sketch, joined, done in b.itertuples(index=False):
                 if (group, part) != at:
                     at, known, names = (group, part), [], []
                 own = shingles(text, t.words)
@@ -309,11 +334,11 @@ def _met_pivots(members: DataFrame, t: Threshold, tasks: int) -> DataFrame:
                     names.append(digest)
                 elif known:
                     hits = [k for k, s in enumerate(known) if t.sizes(len(own), len(s)) and t.linked(_shared(own, s), len(own), len(s))]
-                    out.append((group, size, int(n), digest, text, joined, done or digest in names, sum(1 << k for k in hits), [names[k] for k in hits]))
-            yield pd.DataFrame(out, columns=["group", "size", "n", "digest", "text", "joined", "done", "bits", "linked"])
+                    out.append((group, size, int(n), digest, text, sketch, joined, done or digest in names, sum(1 << k for k in hits), [names[k] for k in hits]))
+            yield pd.DataFrame(out, columns=["group", "size", "n", "digest", "text", "sketch", "joined", "done", "bits", "linked"])
         common.worker_forget()
 
-    both = copies.unionByName(own).repartition(tasks, "group", "part").sortWithinPartitions("group", "part", "member", "digest")
+    both = copies.unionByName(own).repartition(_tasks(count, 200), "group", "part").sortWithinPartitions("group", "part", "member", "digest")
     return both.mapInPandas(run, MET)
 
 
@@ -337,16 +362,16 @@ def _joining(met: DataFrame) -> DataFrame:
 
 
 def _large_links(members: DataFrame, t: Threshold, count: int) -> DataFrame:
-    """Verified links inside groups (group, size, n, digest, text) that are too large for one task: pivots in rounds, then blocks."""
+    """Verified links inside groups (group, size, n, digest, text, sketch) that are too large for one task: pivots in rounds, then blocks."""
     now = members.withColumns({"joined": F.lit(False), "done": F.lit(False)})
     found = []
     for _ in range(ROUNDS):
-        met = common.stored(_met_pivots(now, t, _tasks(count, 200)), "near-met")
+        met = common.stored(_met_pivots(now, t, count), "near-met")
         pairs = met.where("bits > 0").select(F.col("digest").alias("a"), F.explode("linked").alias("b"))
         found.append(pairs.where("a <> b"))
-        state = common.heavy_join(met.drop("linked"), common.stored(_joining(met), "near-joining"), "group", "members", count).where("open")
+        state = common.heavy_join(met.drop("linked"), common.stored(_joining(met), "near-joining"), "group", "members", count, ["digest"]).where("open")
         # groups whose members are all joined or done are finished
-        now = common.stored(state.select("group", "size", "n", "digest", "text", (F.col("joined") | (F.col("bits").bitwiseAND(F.col("main")) > 0)).alias("joined"), "done"), "near-state")
+        now = common.stored(state.select("group", "size", "n", "digest", "text", "sketch", (F.col("joined") | (F.col("bits").bitwiseAND(F.col("main")) > 0)).alias("joined"), "done"), "near-state")
         count = now.count()
         if not count:
             break
@@ -358,7 +383,7 @@ def _large_links(members: DataFrame, t: Threshold, count: int) -> DataFrame:
     sums = now.groupBy("group").agg(F.count(rest).alias("rest"), F.sum(rest).alias("rest_n"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("all_n"))
     sums = common.stored(sums.select("group", "members", blocks(F.col("rest"), REST_BLOCK, F.col("rest_n")).alias("rbs"), blocks(F.col("members"), GROUP_BLOCK, F.col("all_n")).alias("gbs")), "near-rest")
     h, zero = F.xxhash64(F.lit(7), "digest"), F.lit(0).cast("bigint")
-    every = common.heavy_join(now, sums, "group", "members", count)
+    every = common.heavy_join(now, sums, "group", "members", count, ["digest"])
     left = every.where("NOT joined AND NOT done").select("group", "digest", "text", F.pmod(h, "rbs").alias("rb"), F.explode(F.sequence(zero, F.col("gbs") - 1)).alias("gb"), F.lit(True).alias("own"))
     right = every.select("group", "digest", "text", F.explode(F.sequence(zero, F.col("rbs") - 1)).alias("rb"), F.pmod(h, "gbs").alias("gb"), F.lit(False).alias("own"))
 
@@ -381,17 +406,17 @@ def _grown(classes: DataFrame, count: int, trees: range) -> tuple[list[DataFrame
         children, paths = _branches(level, depth, trees if not depth else range(1))
         sizes = common.stored(paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-sizes")
         met, maybe = common.maybe_in(children, [F.col("path")], sizes, [F.col("path")])
-        nodes = common.stored(common.heavy_join(met.where(F.col(maybe)).drop(maybe), sizes, "path", "size", rows), "near-nodes")
+        nodes = common.stored(common.heavy_join(met.where(F.col(maybe)).drop(maybe), sizes, "path", "size", rows, ["digest"]), "near-nodes")
         stays = (F.col("size") > SHRINKS * F.col("parent")) if depth < DEPTH - 1 else F.lit(True)
         large = nodes.where(F.col("size") > LEAF)
         few.append(nodes.where(F.col("size") <= LEAF).select("path", "digest", "n", "sketch"))  # a path holds its depth
-        counts = large.groupBy(stays.alias("stays")).agg(F.count(F.lit(1)).alias("n"))
-        n = {r["stays"]: r["n"] for r in counts.collect()}  # two rows
-        if n or not nodes.isEmpty():
+        counts = nodes.groupBy(F.when(F.col("size") > LEAF, stays).alias("stays")).agg(F.count(F.lit(1)).alias("n"))
+        n = {r["stays"]: r["n"] for r in counts.collect()}  # three rows
+        if n:
             deepest = depth + 1
         if n.get(True):  # their members are candidates as they are
             least = large.where(stays).groupBy("path").agg(F.min("digest").alias("b"), F.count(F.lit(1)).alias("members"))
-            alike.append(common.heavy_join(large.where(stays), least, "path", "members", n[True]).select(F.col("digest").alias("a"), "b").where("a <> b"))
+            alike.append(common.heavy_join(large.where(stays), least, "path", "members", n[True], ["digest"]).select(F.col("digest").alias("a"), "b").where("a <> b"))
         rows = n.get(False, 0)
         if not rows:
             break
@@ -415,7 +440,7 @@ def classes_with_components(docs: DataFrame, t: Threshold, id_column: str = "doc
     groups = connected(reduce(DataFrame.unionByName, [_candidates(nodes.select("members"), t), *alike]))
     sizes = groups.join(classes.select(F.col("digest").alias("node"), "n"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("all_n"))
     place = classes.select("digest", "n", F.col("first.at_file").alias("at_file"), F.col("first.at_row").alias("at_row"))
-    groups = common.heavy_join(groups, common.stored(sizes, "near-sizes"), "root", "size", groups.count()).select(F.col("node").alias("digest"), F.col("root").alias("group"), "size", "all_n")
+    groups = common.heavy_join(groups, common.stored(sizes, "near-sizes"), "root", "size", groups.count(), ["node"]).select(F.col("node").alias("digest"), F.col("root").alias("group"), "size", "all_n")
     wanted = common.stored(groups.join(place, "digest"), "near-groups")
     content = common.located(docs, [F.col(text_column).alias("text")])
     members = common.stored(common.at_locators(content, wanted).select("group", "size", "all_n", "n", "digest", "text"), "near-texts")
@@ -424,17 +449,17 @@ def classes_with_components(docs: DataFrame, t: Threshold, id_column: str = "doc
     large = members.where(~small).drop("all_n")
     many = large.count()
     if many:
-        links = links.unionByName(_large_links(large, t, many))
+        links = links.unionByName(_large_links(common.stored(_with_sketches(large, classes), "near-large"), t, many))
     roots = connected(links)
     labelled = classes.select("digest", "first", "copies").join(roots, F.col("digest") == F.col("node"), "left").withColumn("root", F.coalesce("root", "digest"))
     least = labelled.groupBy("root").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("members"))
-    return rows.drop("sig"), common.heavy_join(labelled, least, "root", "members", count).select("digest", "component", "copies")
+    return rows.drop("sig"), common.heavy_join(labelled, least, "root", "members", count, ["digest"]).select("digest", "component", "copies")
 
 
 def near_duplicates(docs: DataFrame, t: Threshold = Threshold(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept (its id is its component's)."""
     rows, classes = classes_with_components(docs, t, id_column, text_column)
-    joined = common.heavy_join(rows, common.stored(classes, "near-components"), "digest", "copies", rows.count())
+    joined = common.heavy_join(rows, common.stored(classes, "near-components"), "digest", "copies", rows.count(), ["at_file", "at_row"])
     joined = joined.unionByName(rows.where("n = 0"), allowMissingColumns=True)
     component = F.coalesce(F.col("component.doc_id"), F.when(F.col("component").isNull(), F.col("doc_id")))
     out = joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
@@ -445,7 +470,7 @@ def keep_first(docs: DataFrame, t: Threshold = Threshold(), id_column: str = "do
     """docs, with all their columns, with one row of each component."""
     docs = common.plain(docs)
     rows, classes = classes_with_components(docs, t, id_column, text_column)
-    joined = common.heavy_join(rows, common.stored(classes, "near-components"), "digest", "copies", rows.count())
+    joined = common.heavy_join(rows, common.stored(classes, "near-components"), "digest", "copies", rows.count(), ["at_file", "at_row"])
     stays = (F.col("component.at_file") == F.col("at_file")) & (F.col("component.at_row") == F.col("at_row"))
     return common.without(docs, common.stored(joined.where(~stays).select("at_file", "at_row"), "near-dropped"))
 

@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -137,6 +138,16 @@ class Model:
     tolerance: float = 4.0
     slope: float = 1.0
     intercept: float = 0.0
+    _sent: Broadcast | None = None
+
+    def sent(self, spark: SparkSession) -> Broadcast:
+        """The counts, sent to the workers once; tolerance and curve are not theirs."""
+        if self._sent is None:
+            self._sent = spark.sparkContext.broadcast(self)
+        return self._sent
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_sent": None}
 
     @classmethod
     def trained(cls, words: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> Model:
@@ -248,6 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         return None
     model = Model.trained(counts["word"].tolist(), counts["toxic"].to_numpy(), counts["ordinary"].to_numpy())
     del counts
+    common.release()
     held = texts.where("held").select("toxic", evidence(F.col("text"), model, TOLERANCES).alias("x")).toPandas().sort_values("toxic")
     if held["toxic"].nunique() == 2:
         weight = held["toxic"].map({c: n / min(n, max_per_class) for c, n in sizes.items()}).to_numpy(np.float64)
@@ -264,7 +276,7 @@ def evidence(text: Column, model: Model, tolerances: tuple[float, ...]) -> Colum
     """An array with, for each tolerance, the text's evidence per word."""
     spark = SparkSession.getActiveSession()
     common.small_batches(spark)
-    sent = spark.sparkContext.broadcast(model)
+    sent = model.sent(spark)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def compared(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -58,7 +58,7 @@ def _asked(rows, a):
     if a.query_id:
         return rows.where(F.col("vec_id").isin(a.query_id))
     if a.random:
-        return rows.orderBy(F.xxhash64("vec_id", F.lit(a.seed)), "vec_id").limit(a.random)
+        return evaluation.sampled(rows, a.random, a.seed).drop("place")
     return rows.where("vec_id % 20 = 0")
 
 

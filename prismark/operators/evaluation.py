@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 from prismark.operators import search
 
 
+def sampled(rows: DataFrame, n: int, seed: int = 42, id_column: str = "vec_id") -> DataFrame:
+    """n rows that depend on their ids and the seed only, not on how the table is laid out; with ``place``, which they are ordered by."""
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_column).cast("string")).cast("binary"))
+    return rows.where(F.col(id_column).isNotNull()).withColumn("place", place).orderBy("place", id_column).limit(n)
+
+
 def precision_recall(results: DataFrame, labels: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Rows (query_id, precision, recall): hits of the query's label among its first k results over k, and over the other rows of that label.
 

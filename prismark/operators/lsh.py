@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -95,6 +96,20 @@ def probe(postings: DataFrame, query_codes: DataFrame) -> DataFrame:
     return postings.join(q, ["table_id", "bucket"]).groupBy("query_id", "image_id").agg(F.min("node_id").alias("node_id"))
 
 
+def grid(postings: DataFrame, query_codes: DataFrame, width: int, tables: list[int], widths: list[int]) -> DataFrame:
+    """Rows (num_tables, hash_width, query_id, image_id): candidates of every smaller index, all from one of the largest, whose codes have ``width`` bits.
+
+    The leading bits of a code are the narrower index's code, and its first tables are the smaller index.
+    """
+    asked = query_codes.select(F.col("image_id").alias("query_id"), "table_id", F.col("bucket").alias("_asked"))
+    found = []
+    for w in widths:
+        own = prefix(postings, width, w).join(asked.withColumn("bucket", F.shiftright("_asked", width - w)), ["table_id", "bucket"])
+        found.append(own.groupBy("query_id", "image_id").agg(F.min("table_id").alias("_first")).withColumn("hash_width", F.lit(w)))
+    each = reduce(DataFrame.unionByName, found).withColumn("num_tables", F.explode(F.array(*[F.lit(t) for t in tables])))
+    return each.where("_first < num_tables").select("num_tables", "hash_width", "query_id", "image_id")
+
+
 def search_index(postings: DataFrame, vectors: DataFrame, queries: DataFrame, config: LSHConfig, dim: int, k: int, metric: str = "cosine", exclude_self: bool = False, digits: int | None = None) -> DataFrame:
     """Rows (query_id, rank, image_id, score, node_id). A query without candidates has no rows."""
     found = probe(postings, codes(queries, config, dim))

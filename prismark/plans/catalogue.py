@@ -8,6 +8,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prismark.functions import colors, hashes, paths, quantize, vectors
@@ -115,7 +116,7 @@ def _planes(tables: int, width: int) -> str:
 def _codes(tables: int = CONFIG.num_tables, width: int = CONFIG.hash_width, nodes: int = CONFIG.num_nodes) -> str:
     """CTEs: codes (image_id, table_id, bucket, node_id) and cand (query_id, image_id, node_id)."""
     return f"""{_planes(tables, width)},
-    codes AS (SELECT vec_id AS image_id, table_id::INT AS table_id, sum(CASE WHEN {_dot("embedding", "p")} >= 0 THEN (1 << ({width} - 1 - bit)) ELSE 0 END)::BIGINT AS bucket,
+    codes AS (SELECT vec_id AS image_id, table_id::INT AS table_id, sum(CASE WHEN {_dot("embedding", "p")} >= 0 THEN (1::BIGINT << ({width} - 1 - bit)) ELSE 0 END)::BIGINT AS bucket,
         (vec_id % {nodes})::INT AS node_id FROM embeddings, planes GROUP BY vec_id, table_id),
     cand AS (SELECT q.image_id AS query_id, r.image_id, min(r.node_id) AS node_id FROM codes q JOIN codes r USING (table_id, bucket) WHERE q.image_id % 20 = 0 GROUP BY 1, 2)"""
 
@@ -374,35 +375,43 @@ def ann_recall(spark, sf_dir):
     return evaluation.ann_recall(_candidates(spark, sf_dir), truth, asking(e).select(F.col("vec_id").alias("query_id")), K).withColumn("recall", F.round("recall", 6))
 
 
-def _grid(spark, sf_dir) -> DataFrame:
+def _grid(spark, sf_dir, config: lsh.LSHConfig = CONFIG, tables: tuple = (1, 2, 4), widths: tuple = (2, 4, 6)) -> DataFrame:
     """Candidates of each (num_tables, hash_width), all from one index of the largest."""
     e = embeddings(spark, sf_dir)
-    posts, asked = _postings(spark, sf_dir), lsh.codes(asking(e), CONFIG, DIM).select(F.col("image_id").alias("query_id"), "table_id", F.col("bucket").alias("qb"))
-    found = None
-    for width in (2, 4, 6):
-        own = lsh.prefix(posts, CONFIG.hash_width, width).join(asked.withColumn("bucket", F.shiftright("qb", CONFIG.hash_width - width)), ["table_id", "bucket"])
-        first = own.groupBy("query_id", "image_id").agg(F.min("table_id").alias("first_table")).withColumn("hash_width", F.lit(width))
-        found = first if found is None else found.unionByName(first)
-    sizes = F.explode(F.array(*[F.lit(t) for t in (1, 2, 4)]))
-    return found.withColumn("num_tables", sizes).where("first_table < num_tables").select("num_tables", "hash_width", "query_id", "image_id")
-
-
-def _grid_sql() -> str:
-    return f"""{_codes()}, t AS ({EXACT_WITH_SELF}), w(hash_width) AS (VALUES (2), (4), (6)), n(num_tables) AS (VALUES (1), (2), (4)),
+    return lsh.grid(lsh.build_index(e, config, DIM), lsh.codes(asking(e), config, DIM), config.hash_width, list(tables), list(widths))
+
+
+def _grid_sql(config: lsh.LSHConfig = CONFIG, tables: tuple = (1, 2, 4), widths: tuple = (2, 4, 6)) -> str:
+    values = lambda x: ", ".join(f"({v})" for v in x)
+    cut = f"({config.hash_width} - hash_width)"
+    return f"""{_codes(config.num_tables, config.hash_width)}, t AS ({EXACT_WITH_SELF}), w(hash_width) AS (VALUES {values(widths)}), n(num_tables) AS (VALUES {values(tables)}),
     g AS (SELECT DISTINCT num_tables, hash_width, q.image_id AS query_id, r.image_id FROM codes q JOIN codes r USING (table_id), w, n
-        WHERE q.image_id % 20 = 0 AND table_id < num_tables AND (q.bucket >> (6 - hash_width)) = (r.bucket >> (6 - hash_width))),
+        WHERE q.image_id % 20 = 0 AND table_id < num_tables AND (q.bucket >> {cut}) = (r.bucket >> {cut})),
     per AS (SELECT num_tables, hash_width, g.query_id, count(*) AS candidates, count(t.image_id) / {K}.0::DOUBLE AS recall FROM g LEFT JOIN t USING (query_id, image_id) GROUP BY 1, 2, 3),
     grid AS (SELECT num_tables, hash_width, round(avg(candidates), 6) AS avg_candidates, round(avg(recall), 6) AS avg_recall FROM per GROUP BY 1, 2)"""
 
 
-@query(f"WITH {_grid_sql()} SELECT * FROM grid")
-def lsh_grid(spark, sf_dir):
+def _grid_quality(spark, sf_dir, found: DataFrame) -> DataFrame:
     e = embeddings(spark, sf_dir)
     truth = search.exact_topk(e, asking(e), K, digits=6)
-    per = evaluation.ann_recall(_grid(spark, sf_dir), truth, asking(e).select(F.col("vec_id").alias("query_id")), K, ["num_tables", "hash_width"])
+    per = evaluation.ann_recall(found, truth, asking(e).select(F.col("vec_id").alias("query_id")), K, ["num_tables", "hash_width"])
     return per.groupBy("num_tables", "hash_width").agg(F.round(F.avg("candidates"), 6).alias("avg_candidates"), F.round(F.avg("recall"), 6).alias("avg_recall"))
 
 
+@query(f"WITH {_grid_sql()} SELECT * FROM grid")
+def lsh_grid(spark, sf_dir):
+    return _grid_quality(spark, sf_dir, _grid(spark, sf_dir))
+
+
+#: The index whose smaller ones the grid search of the published configurations compares.
+GRID = (lsh.LSHConfig(20, 32), (5, 10, 20), (8, 16, 32))
+
+
+@query(f"WITH {_grid_sql(*GRID)} SELECT * FROM grid")
+def lsh_grid_wide(spark, sf_dir):
+    return _grid_quality(spark, sf_dir, _grid(spark, sf_dir, *GRID))
+
+
 @query(f"""WITH {_grid_sql()}, b AS (SELECT *, max(avg_recall) OVER (ORDER BY avg_candidates, avg_recall DESC, num_tables, hash_width ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM grid)
     SELECT num_tables, hash_width, avg_candidates, avg_recall FROM b WHERE avg_recall > coalesce(best, -1)""")
 def pareto_frontier(spark, sf_dir):
@@ -432,8 +441,6 @@ def tradeoff_precision(spark, sf_dir):
     r AS (SELECT k, p.query_id, count(*) AS n, count(t.image_id) / {K}.0::DOUBLE AS recall FROM k JOIN p ON position <= k LEFT JOIN t USING (query_id, image_id) GROUP BY 1, 2)
     SELECT k, count(*) AS queries, sum(n)::BIGINT AS candidates, round(avg(recall), 6) AS avg_recall FROM r GROUP BY k""")
 def candidate_tuner(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     e = embeddings(spark, sf_dir)
     position = F.row_number().over(W.partitionBy("query_id").orderBy("image_id"))
     found = _candidates(spark, sf_dir).select("query_id", "image_id", position.alias("position"))
@@ -761,3 +768,22 @@ def lsh_recall(spark, sf_dir):
     truth = search.exact_topk(e, asking(e), K, digits=6)
     per = evaluation.ann_recall(found, truth, asking(e).select(F.col("vec_id").alias("query_id")), K)
     return per.agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("recall"), 6).alias("recall"))
+
+
+@query(f"""WITH {_codes(RECALLING.num_tables, RECALLING.hash_width)}, t AS ({EXACT_WITH_SELF}), k(k) AS (VALUES (10), (25), (50), (100), (250), (500)),
+    p AS (SELECT query_id, image_id, row_number() OVER (PARTITION BY query_id ORDER BY image_id) AS position FROM cand),
+    r AS (SELECT k, p.query_id, count(*) AS n, count(t.image_id) / {K}.0::DOUBLE AS recall FROM k JOIN p ON position <= k LEFT JOIN t USING (query_id, image_id) GROUP BY 1, 2)
+    SELECT k, count(*) AS queries, sum(n)::BIGINT AS candidates, round(avg(recall), 6) AS avg_recall FROM r GROUP BY k""")
+def candidate_tuner_wide(spark, sf_dir):
+    """The same sweep up to 500 candidates, on the index that has as many."""
+    e = embeddings(spark, sf_dir)
+    found = lsh.probe(lsh.build_index(e, RECALLING, DIM), lsh.codes(asking(e), RECALLING, DIM))
+    position = F.row_number().over(W.partitionBy("query_id").orderBy("image_id"))
+    truth = search.exact_topk(e, asking(e), K, digits=6)
+    out = evaluation.tune_candidates(found.select("query_id", "image_id", position.alias("position")), e, asking(e), truth, [10, 25, 50, 100, 250, 500], digits=6)
+    return out.withColumn("avg_recall", F.round("avg_recall", 6))
+
+
+@query("SELECT vec_id, md5('7:' || vec_id) AS place FROM embeddings ORDER BY place, vec_id LIMIT 40")
+def seeded_sample(spark, sf_dir):
+    return evaluation.sampled(embeddings(spark, sf_dir).select("vec_id"), 40, 7)

@@ -51,35 +51,53 @@ def pixels(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     return np.repeat(a, 3, 2) if channels == 1 else a[:, :, :3]
 
 
-def resized(a: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Area average where it shrinks, nearest where it grows."""
+#: Resampling kernels: their reach, and their weight at a distance.
+KERNELS: dict[str, tuple[float, Callable[[np.ndarray], np.ndarray]]] = {
+    "bilinear": (1.0, lambda x: np.maximum(0, 1 - np.abs(x))),
+    "bicubic": (2.0, lambda x: np.where(np.abs(x) < 1, (1.5 * np.abs(x) - 2.5) * x * x + 1, np.where(np.abs(x) < 2, ((-0.5 * np.abs(x) + 2.5) * np.abs(x) - 4) * np.abs(x) + 2, 0))),
+    "lanczos": (3.0, lambda x: np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0)),
+}
+
+
+def resampling(size: int, n: int, kernel: str, smooth: bool) -> np.ndarray:
+    """n x size weights, each row of sum 1; where ``smooth``, the kernel widens as far as the image shrinks."""
+    reach, weight = KERNELS[kernel]
+    scale = size / n
+    wide = max(scale, 1.0) if smooth else 1.0
+    centre = (np.arange(n) + 0.5)[:, None] * scale
+    x = np.arange(size)[None]
+    within = (x >= np.floor(centre - reach * wide + 0.5)) & (x < np.floor(centre + reach * wide + 0.5))
+    w = np.where(within, weight((x + 0.5 - centre) / wide), 0.0)
+    return w / w.sum(1, keepdims=True)
+
+
+def resized(a: np.ndarray, height: int, width: int, kernel: str = "bilinear", smooth: bool = False) -> np.ndarray:
+    """Bytes, height x width (x channels). Smooth resampling goes by columns and then by rows and rounds to bytes after each, plain resampling rounds once."""
     out = a.astype(float)
-    for axis, n in ((0, height), (1, width)):
-        size = out.shape[axis]
-        edges = np.linspace(0, size, n + 1)
-        low = np.minimum(edges[:-1].astype(int), size - 1)
-        high = np.maximum(np.ceil(edges[1:]).astype(int), low + 1)
-        sums = np.concatenate([np.zeros_like(np.take(out, [0], axis)), np.cumsum(out, axis)], axis)
-        span = (high - low).reshape([-1 if k == axis else 1 for k in range(out.ndim)])
-        out = (np.take(sums, high, axis) - np.take(sums, low, axis)) / span
-    return out
+    for axis, n in ((1, width), (0, height)):
+        if out.shape[axis] != n:
+            out = np.moveaxis(np.tensordot(resampling(out.shape[axis], n, kernel, smooth), out, (1, axis)), 0, axis)
+            if smooth:
+                out = np.clip(np.floor(out + 0.5), 0, 255)
+    return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8)
 
 
 def normalised(a: np.ndarray, side: int = SIDE) -> np.ndarray:
-    """An image of side x side with values 0..1."""
-    return (resized(a, side, side) / 255.0).astype(np.float32)
+    """An image of side x side in RGB with values 0..1, by smooth bicubic resampling."""
+    return resized(a[:, :, ::-1], side, side, "bicubic", True).astype(np.float32) / np.float32(255)
 
 
 def grey(a: np.ndarray) -> np.ndarray:
-    return a[:, :, 2] * 0.299 + a[:, :, 1] * 0.587 + a[:, :, 0] * 0.114
+    """Bytes of luma, with integer weights of 16 bits."""
+    b, g, r = (a[:, :, k].astype(np.int64) for k in range(3))
+    return ((19595 * r + 38470 * g + 7471 * b + 32768) >> 16).astype(np.uint8)
 
 
 def hashes_of(a: np.ndarray) -> tuple[str, str, str]:
     """Average, difference and perceptual hash, 16 hex digits each."""
-    g = grey(a.astype(float))
-    eight, nine, large = (np.round(resized(g, *size), 6) for size in ((8, 8), (8, 9), (32, 32)))  # equal areas stay equal
+    eight, nine, large = (resized(grey(a), *size, "lanczos", True) for size in ((8, 8), (8, 9), (32, 32)))
     pack = lambda bits: np.packbits(bits.ravel()).tobytes().hex()
-    return pack(eight > np.round(eight.mean(), 6)), pack(nine[:, 1:] > nine[:, :-1]), perceptual_hash_values(large)
+    return pack(eight > eight.mean()), pack(nine[:, 1:] > nine[:, :-1]), perceptual_hash_values(large)
 
 
 def hsv(a: np.ndarray) -> np.ndarray:
@@ -103,6 +121,16 @@ def color_histogram(a: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def preprocessed(images: DataFrame, side: int = SIDE) -> DataFrame:
+    """Rows (path, pixels, error) of all images: RGB values 0..1 of side x side, row by row; null with the error where a file was not decoded."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, h, w, c, d, error in b.itertuples(index=False):  # a row at a time: one has some megabytes
+                yield pd.DataFrame({"path": [path], "pixels": [None if error else normalised(pixels(h, w, c, d), side).ravel()], "error": [error]})
+
+    return images.select("path", "height", "width", "channels", "data", "error").mapInPandas(run, "path string, pixels array<float>, error string")
+
+
 def with_hashes(images: DataFrame) -> DataFrame:
     """Rows (path, ahash, dhash, phash) of decoded images."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,7 +147,7 @@ def with_features(images: DataFrame, *extractors: Extractor) -> DataFrame:
         for b in batches:
             rows = []
             for p, h, w, c, d in b.itertuples(index=False):
-                a = np.rint(resized(pixels(h, w, c, d), SIDE, SIDE)).astype(np.uint8)
+                a = resized(pixels(h, w, c, d), SIDE, SIDE)
                 rows.append((p, np.concatenate([np.asarray(e(a), np.float32) for e in extractors])))
             yield pd.DataFrame(rows, columns=["path", "features"])
 
@@ -155,7 +183,7 @@ def with_model(images: DataFrame, model: str | Callable[[], Callable[[np.ndarray
             for at in range(0, len(b), batch_size):
                 part = b.iloc[at : at + batch_size]
                 infer = infer or model()
-                inputs = np.stack([prepare(np.rint(resized(pixels(h, w, c, d), SIDE, SIDE)).astype(np.uint8)) for _, h, w, c, d in part.itertuples(index=False)])
+                inputs = np.stack([prepare(resized(pixels(h, w, c, d), SIDE, SIDE)) for _, h, w, c, d in part.itertuples(index=False)])
                 began = time.perf_counter()
                 out = np.asarray(infer(inputs), np.float32)
                 ms = (time.perf_counter() - began) * 1000 / len(part)

@@ -82,6 +82,31 @@ def test_matrices(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "r")).first()["v"] == 2.0
 
 
+def test_resampling():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 256, (40, 30, 3)).astype(np.uint8)
+    for kernel in images.KERNELS:
+        for smooth in (False, True):
+            for size, n in ((40, 7), (7, 40), (30, 30), (1, 5)):
+                assert np.allclose(images.resampling(size, n, kernel, smooth).sum(1), 1)
+            assert (images.resized(a, 40, 30, kernel, smooth) == a).all()
+            assert (images.resized(np.full((9, 5, 3), 77, np.uint8), 33, 2, kernel, smooth) == 77).all()
+    # halving with a wide triangle weighs 1, 3, 3, 1; plain bilinear takes the mean of the two nearest
+    row = np.array([[0, 40, 80, 200]], np.uint8)
+    assert images.resized(row, 1, 2, "bilinear", True).tolist() == [[round((3 * 0 + 3 * 40 + 80) / 7), round((40 + 3 * 80 + 3 * 200) / 7)]]
+    assert images.resized(row, 1, 2).tolist() == [[20, 140]]
+    assert images.resized(row[:, :2], 1, 4).tolist() == [[0, 10, 30, 40]]
+    # a cubic kernel passes through whole places and overshoots beside them
+    assert np.allclose(images.KERNELS["bicubic"][1](np.array([0.0, 1.0, 2.0, 0.5, -0.5, 1.5])), [1, 0, 0, 0.5625, 0.5625, -0.0625])
+    assert images.grey(np.array([[[0, 0, 255], [255, 0, 0], [0, 255, 0], [255, 255, 255]]], np.uint8)).tolist() == [[76, 29, 150, 255]]
+
+
+def test_preprocessed(spark, folder):
+    got = {r["path"].rsplit("/", 1)[1]: r for r in images.preprocessed(images.load_images(spark, folder), 8).collect()}
+    assert set(got) == {"a.png", "b.PNG", "broken.png"} and got["broken.png"]["pixels"] is None and got["broken.png"]["error"]
+    assert len(got["a.png"]["pixels"]) == 192 and got["b.PNG"]["pixels"][:3] == [1.0, 0.0, 0.0] and all(0 <= x <= 1 for x in got["a.png"]["pixels"])
+
+
 def test_model_batches(spark, folder):
     """A model is loaded once a task and gets whole batches of prepared images."""
     calls = spark.sparkContext.accumulator(0)

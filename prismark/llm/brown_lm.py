@@ -41,7 +41,7 @@ CORE, CLASSES, SWEEPS = 2048, 64, 12
 #: Words seen at most so often also speak for their ending, which unseen words share.
 RARE = 5
 #: Most sweeps over the words outside the core, and the share of mutual information that one must gain.
-WORD_SWEEPS, GAIN = 8, 1e-4
+WORD_SWEEPS, GAIN = 8, 2e-3
 
 
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:

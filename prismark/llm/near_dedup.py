@@ -7,8 +7,10 @@ exhaustively, on sketches, and others branch again, each until its own branching
 apart. The number of trees follows from the target recall and the deepest level that trees reach: a pair
 at the threshold must agree in one coordinate a level, so deeper trees are repeated more often
 (``trees_for``). What the sketches do not rule out makes candidate
-groups: groups of few members and bounded text are compared exhaustively on their full sets, and every
-member of a larger group meets a few pivots, again on full sets. Pivots are the members whose sketches agree
+groups: groups of few members and bounded text are compared exhaustively on their full sets. Larger ones are
+first cut into finer groups, without loss: sets that reach the threshold share one of their rarest shingles,
+so few that the others alone could not reach it (``_refined``). Every
+member of a group that stays large meets a few pivots, again on full sets. Pivots are the members whose sketches agree
 most with the group's commonest one, so the text that many copies derive from is among them. Members that
 pivots join to one component need no link of their own. The others choose new pivots, a few times, and at
 last meet the whole group in blocks of bounded text; so no link between parts that pivots leave apart is lost, and pairs within a part
@@ -33,6 +35,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prismark.llm import common
@@ -49,6 +52,8 @@ LEAF, GROUP = 128, 256
 #: Shingles, and so bytes of text, that one task compares at a time: bounds groups and blocks beside their members' number.
 SHINGLES = 1_000_000
 PIVOTS, ROUNDS = 8, 4
+#: Rounds end when one leaves more than this share of the members that the one before it has left.
+PROGRESS = 0.9
 #: Members of a large group that meet one copy of its pivots.
 PART = 500
 #: Most members of the blocks in which what pivots leave of a large group meets the whole group.
@@ -278,6 +283,45 @@ def _small_links(members: DataFrame, t: Threshold) -> DataFrame:
     return members.groupBy("group").applyInPandas(run, LINK)
 
 
+def _refined(members: DataFrame, t: Threshold) -> DataFrame:
+    """The finer groups (digest, group) of members (group, digest, text): only members of one of them can be linked, and members of none with nothing.
+
+    By prefix filtering: shingles are ordered by how many of the group's members have them. Of a set of n,
+    at least part / whole * n shingles, rounded up, are shared with a set that it is linked to; so the two
+    share one of the rarest n - that + 1 of each. Members with such a shingle in common hang from the least of them.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows, held = [], 0
+            for group, digest, text in b.itertuples(index=False):
+                s = shingles(text, t.words)
+                rows.append((digest, _mix(s ^ np.uint64(xxhash.xxh3_64_intdigest(group))).view(np.int64)))
+                held += len(s)
+                if held > 200_000:
+                    yield _tokens(rows)
+                    rows, held = [], 0
+            yield _tokens(rows)
+        common.worker_forget()
+
+    tokens = common.stored(members.select("group", "digest", "text").mapInPandas(run, "digest binary, n bigint, token bigint"), "near-tokens")
+    count = tokens.count()
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(W.partitionBy("digest").orderBy("often", "token"))
+    needed = F.floor((F.lit(t.part) * F.col("n") + F.lit(t.whole - 1)) / F.lit(t.whole))
+    rare = common.heavy_join(tokens, often, "token", "often", count, ["digest"]).withColumn("place", place).where(F.col("place") <= F.col("n") - needed + 1)
+    rare = common.stored(rare.where("often > 1").select("digest", "token"), "near-rare")
+    least = rare.groupBy("token").agg(F.min("digest").alias("b"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    links = common.heavy_join(rare, least, "token", "members", rare.count(), ["digest"]).select(F.col("digest").alias("a"), "b")
+    return connected(links).select(F.col("node").alias("digest"), F.col("root").alias("group"))
+
+
+def _tokens(rows: list[tuple[bytes, np.ndarray]]) -> pd.DataFrame:
+    sizes = [len(s) for _, s in rows]
+    digests = np.empty(len(rows), object)
+    digests[:] = [d for d, _ in rows]
+    return pd.DataFrame({"digest": np.repeat(digests, sizes), "n": np.repeat(np.array(sizes, np.int64), sizes), "token": np.concatenate([s for _, s in rows]) if rows else np.zeros(0, np.int64)})
+
+
 def _with_sketches(members: DataFrame, classes: DataFrame) -> DataFrame:
     """members with the sketches of their classes (digest, sig), as arrays."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -364,7 +408,7 @@ def _joining(met: DataFrame) -> DataFrame:
 def _large_links(members: DataFrame, t: Threshold, count: int) -> DataFrame:
     """Verified links inside groups (group, size, n, digest, text, sketch) that are too large for one task: pivots in rounds, then blocks."""
     now = members.withColumns({"joined": F.lit(False), "done": F.lit(False)})
-    found = []
+    found, open_ = [], count
     for _ in range(ROUNDS):
         met = common.stored(_met_pivots(now, t, count), "near-met")
         pairs = met.where("bits > 0").select(F.col("digest").alias("a"), F.explode("linked").alias("b"))
@@ -372,8 +416,9 @@ def _large_links(members: DataFrame, t: Threshold, count: int) -> DataFrame:
         state = common.heavy_join(met.drop("linked"), common.stored(_joining(met), "near-joining"), "group", "members", count, ["digest"]).where("open")
         # groups whose members are all joined or done are finished
         now = common.stored(state.select("group", "size", "n", "digest", "text", "sketch", (F.col("joined") | (F.col("bits").bitwiseAND(F.col("main")) > 0)).alias("joined"), "done"), "near-state")
+        before, open_ = open_, now.where("NOT joined AND NOT done").count()
         count = now.count()
-        if not count:
+        if not count or open_ > PROGRESS * before:
             break
     links = reduce(DataFrame.unionByName, found)
     if not count:
@@ -424,6 +469,12 @@ def _grown(classes: DataFrame, count: int, trees: range) -> tuple[list[DataFrame
     return few, alike, deepest
 
 
+def _sized(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """groups (digest, group) with the number of members and of all their shingles: size, all_n."""
+    sizes = groups.join(classes.select("digest", "n"), "digest").groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("all_n"))
+    return common.heavy_join(groups, common.stored(sizes, "near-sizes"), "group", "size", groups.count(), ["digest"])
+
+
 def classes_with_components(docs: DataFrame, t: Threshold, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows of docs (doc_id, at_file, at_row, n, digest), and classes (digest, component: the least row of the component, copies: its rows)."""
     docs = common.plain(docs)
@@ -431,25 +482,29 @@ def classes_with_components(docs: DataFrame, t: Threshold, id_column: str = "doc
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at_file", "at_row")
     own = rows.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(row).alias("first"), F.count(F.lit(1)).alias("copies"))
     classes = common.stored(own, "near-classes")
-    count, few, alike, grown, wanted = classes.count(), [], [], 0, TREES
-    while grown < wanted:
-        more = _grown(classes, count, range(grown, wanted))
-        few, alike, grown = few + more[0], alike + more[1], wanted
-        wanted = max(wanted, trees_for(t, more[2]))
+    count, few, alike, grown, trees = classes.count(), [], [], 0, TREES
+    while grown < trees:
+        more = _grown(classes, count, range(grown, trees))
+        few, alike, grown = few + more[0], alike + more[1], trees
+        trees = max(trees, trees_for(t, more[2]))
     nodes = reduce(DataFrame.unionByName, few).groupBy("path").agg(F.collect_list(F.struct("digest", "n", "sketch")).alias("members"))  # at most LEAF
-    groups = connected(reduce(DataFrame.unionByName, [_candidates(nodes.select("members"), t), *alike]))
-    sizes = groups.join(classes.select(F.col("digest").alias("node"), "n"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("all_n"))
+    groups = connected(reduce(DataFrame.unionByName, [_candidates(nodes.select("members"), t), *alike])).select(F.col("node").alias("digest"), F.col("root").alias("group"))
+    sized = _sized(groups, classes)
     place = classes.select("digest", "n", F.col("first.at_file").alias("at_file"), F.col("first.at_row").alias("at_row"))
-    groups = common.heavy_join(groups, common.stored(sizes, "near-sizes"), "root", "size", groups.count(), ["node"]).select(F.col("node").alias("digest"), F.col("root").alias("group"), "size", "all_n")
-    wanted = common.stored(groups.join(place, "digest"), "near-groups")
+    wanted = common.stored(sized.join(place, "digest"), "near-groups")
     content = common.located(docs, [F.col(text_column).alias("text")])
     members = common.stored(common.at_locators(content, wanted).select("group", "size", "all_n", "n", "digest", "text"), "near-texts")
     small = (F.col("size") <= GROUP) & (F.col("all_n") <= SHINGLES)
     links = _small_links(members.where(small).select("group", "digest", "text"), t)
-    large = members.where(~small).drop("all_n")
-    many = large.count()
-    if many:
-        links = links.unionByName(_large_links(common.stored(_with_sketches(large, classes), "near-large"), t, many))
+    large = members.where(~small).select("group", "n", "digest", "text")
+    if not large.isEmpty():
+        finer = _sized(_refined(large, t), classes)
+        large = common.stored(large.drop("group").join(finer, "digest"), "near-finer")
+        links = links.unionByName(_small_links(large.where(small).select("group", "digest", "text"), t))
+        large = large.where(~small).drop("all_n")
+        many = large.count()
+        if many:
+            links = links.unionByName(_large_links(common.stored(_with_sketches(large, classes), "near-large"), t, many))
     roots = connected(links)
     labelled = classes.select("digest", "first", "copies").join(roots, F.col("digest") == F.col("node"), "left").withColumn("root", F.coalesce("root", "digest"))
     least = labelled.groupBy("root").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("members"))

@@ -42,6 +42,8 @@ THRESHOLD = 0.3
 #: Words longer than this are read in pieces of this length, so that one text without spaces needs no more memory.
 PIECE = 64
 CACHE = 200_000
+#: Words that are taken apart together.
+WORDS = 20_000
 #: Nats of a word's evidence that chance explains; the fit picks one of them.
 TOLERANCES = (0.0, 1.0, 2.0, 3.0, 4.0, 5.0)
 _STEP, _WRAP = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -144,6 +146,7 @@ class Model:
         """The counts, sent to the workers once; tolerance and curve are not theirs."""
         if self._sent is None:
             self._sent = spark.sparkContext.broadcast(self)
+            common.release()
         return self._sent
 
     def __getstate__(self) -> dict:
@@ -151,20 +154,26 @@ class Model:
 
     @classmethod
     def trained(cls, words: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> Model:
-        """From distinct words with their counts in toxic and in ordinary texts."""
-        owner, lengthening = grams(words, ORDER)
-        shared, before = [], None
-        for keys, contexts in lengthening:
-            if before is not None:  # grams of n letters count once for each gram of n + 1 letters that ends in them
-                _, first = np.unique(keys, return_index=True)
-                shared.append(Counts.of(before[0][first], before[1][first], np.ones(len(first))))
-            before = keys, contexts
-        classes = []
-        for weights in (toxic, ordinary):
-            w = np.asarray(weights, np.float64)[owner]
-            some = w > 0
-            classes.append(Counts.of(keys[some], contexts[some], w[some]))
-        return cls(shared, *classes)
+        """From distinct words with their counts in toxic and in ordinary texts. So many words at a time are taken apart as memory should hold; what they have in common is then summed."""
+        levels: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(ORDER)]
+        for at in range(0, len(words), WORDS):
+            owner, lengthening = grams(words[at : at + WORDS], ORDER)
+            before = None
+            for n, (keys, contexts) in enumerate(lengthening):
+                if before is not None:  # grams of n letters count once for each gram of n + 1 letters that ends in them
+                    u, first = np.unique(keys, return_index=True)
+                    levels[n - 1].append((u, before[0][first], before[1][first]))
+                before = keys, contexts
+            u, first, back = np.unique(keys, return_index=True, return_inverse=True)
+            levels[-1].append((u, contexts[first], *(np.bincount(back, np.asarray(w[at : at + WORDS], np.float64)[owner], len(u)) for w in (toxic, ordinary))))
+        shared = []
+        for parts in levels[:-1]:
+            longer, keys, contexts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            _, first = np.unique(longer, return_index=True)
+            shared.append(Counts.of(keys[first], contexts[first], np.ones(len(first))))
+            parts.clear()
+        keys, contexts, *weights = (np.concatenate(x) for x in zip(*levels[-1], strict=True))
+        return cls(shared, *(Counts.of(keys[w > 0], contexts[w > 0], w[w > 0]) for w in weights))
 
     def words(self, words: list[str]) -> np.ndarray:
         """Log-likelihoods of each word: columns toxic, ordinary."""

@@ -174,20 +174,20 @@ def test_near_recall_with_a_passage_that_all_share(spark, monkeypatch):
     assert sum(got[2 * k] == got[2 * k + 1] for k in range(300)) >= 297 and all(v // 2 == k // 2 for k, v in got.items())
 
 
-def test_near_shared_passage_makes_no_large_group(spark, monkeypatch):
-    """Texts that share a passage and little else are not all compared with one another, whatever coordinates trees pick."""
-    for name, value in (("LEAF", 6), ("GROUP", 20), ("TREES", 40)):
-        monkeypatch.setattr(near_dedup, name, value)
-    r = random.Random(5)
-    rows = [(k, " ".join([*[f"p{i}" for i in range(30)], *[f"k{k}x{i}" for i in range(60)]])) for k in range(200)]
-    rows += [(1000 + k, " ".join([*[f"p{i}" for i in range(30)], *[f"k{k}x{i}" for i in range(60)], "end"])) for k in range(0, 200, 20)]
-    r.shuffle(rows)
-    large = []
-    links = near_dedup._large_links
-    monkeypatch.setattr(near_dedup, "_large_links", lambda members, t, count: large.append(count) or links(members, t, count))
-    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(docs(spark, rows), Threshold(85, 100, 3)).collect()}
-    assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
-    assert sum(large) == 0
+def test_trees_pick_no_coordinate_twice(spark):
+    """Pairs that agree in one coordinate only may share a node at the root, and none below it."""
+    import numpy as np
+
+    c, trees = near_dedup.COORDINATES, range(192)
+    sig = np.arange(2 * c * c, dtype=np.uint32).reshape(2 * c, c)
+    for i in range(c):
+        sig[2 * i, i] = sig[2 * i + 1, i]
+    rows = spark.createDataFrame([(0, bytes([k]), 9, x.tobytes()) for k, x in enumerate(sig)], "parent bigint, digest binary, n bigint, sig binary")
+    root = near_dedup._branches(rows, 0, trees)[0]
+    shared = root.groupBy("path").count().where("count > 1")
+    assert shared.count() == len(trees)
+    level = root.join(shared, "path").select("path", "digest", F.lit(2).cast("bigint").alias("parent")).join(rows.drop("parent"), "digest")
+    assert near_dedup._branches(level, 1, range(1))[1].groupBy("path").count().where("count > 1").count() == 0
 
 
 def test_near_long_texts_in_one_group(spark, monkeypatch):

@@ -17,6 +17,15 @@ def test_query_equals_its_sql(spark, name):
     assert_same(spark, catalogue.QUERIES[name], catalogue.ORACLES[name], SF)
 
 
+@pytest.mark.parametrize("name", ["lsh_grid", "pareto_frontier"])
+def test_grid_lists_no_candidates(spark, monkeypatch, name):
+    def refuse(*_):
+        raise AssertionError("candidates are counted, not listed")
+
+    monkeypatch.setattr(catalogue.lsh, "grid", refuse)
+    assert catalogue.QUERIES[name](spark, SF).columns == ["num_tables", "hash_width", "avg_candidates", "avg_recall"]
+
+
 def test_entry_without_the_training_data_operators(tmp_path):
     """In a copy without them, and with corpus_pipeline.py left behind or not, the rest is there."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -46,4 +46,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.collected(spark)
     return docs

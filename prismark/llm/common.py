@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from prismark.plans.storage import remove, scratch, stored
 
-__all__ = ["ascii_lower", "at_locators", "heavy_join", "located", "locator", "maybe_in", "parts", "plain", "release", "remove", "scratch", "small_batches", "stored", "table", "unused", "without", "worker_forget", "worker_kept"]
+__all__ = ["ascii_lower", "at_locators", "collected", "heavy_join", "located", "locator", "maybe_in", "parts", "plain", "release", "remove", "scratch", "small_batches", "stored", "table", "unused", "without", "worker_forget", "worker_kept"]
 
 #: Bytes of an Arrow batch, about, and of the texts that Python works on together.
 BATCH_BYTES = 4_000_000
@@ -163,3 +163,9 @@ def release() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
+
+
+def collected(spark: SparkSession) -> None:
+    """Collects the driver's garbage: its heap otherwise grows to its limit before it is collected, and shuffle files and broadcasts that nothing refers to any more stay until then."""
+    release()
+    spark.sparkContext._jvm.System.gc()

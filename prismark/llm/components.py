@@ -1,12 +1,22 @@
-"""Connected components of a table of links, by alternating large-star and small-star steps."""
+"""Connected components of a table of links, by alternating large-star and small-star steps.
+
+A few links, which one task holds easily, are joined there by union-find instead: the steps are many small jobs.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prismark.llm import common
 
+#: So many links at most are joined in one task.
+FEW = 50_000
+
 
 def _star(links: DataFrame, large: bool, rows: int) -> DataFrame:
     """One step over links (a, b), so many rows: a node's neighbours (large: the greater ones) are linked to the least of the node and its neighbours.
@@ -31,6 +41,28 @@ def _settled(links: DataFrame) -> bool:
     return by.where("leaf > 1 OR (leaf > 0 AND root > 0)").isEmpty()
 
 
+def _joined(links: DataFrame) -> DataFrame:
+    """Rows (node, root) of a few links (a, b), from one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        up: dict = {}
+
+        def root(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+                a, b = root(up.setdefault(a, a)), root(up.setdefault(b, b))
+                up[max(a, b)] = min(a, b)  # so a component's root is its least node
+        yield pd.DataFrame({"node": list(up), "root": [root(x) for x in up]})
+
+    kind = links.schema["a"].dataType
+    return links.coalesce(1).mapInPandas(run, T.StructType([T.StructField("node", kind), T.StructField("root", kind)]))
+
+
 def connected(links: DataFrame, most: int = 60) -> DataFrame:
     """Rows (node, root): every node that has a link, with the least node of its component.
 
@@ -39,6 +71,9 @@ def connected(links: DataFrame, most: int = 60) -> DataFrame:
     """
     spark, path = links.sparkSession, common.scratch(links.sparkSession, "links")
     now = common.stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", path)
+    rows = now.count()
+    if rows <= FEW:
+        return common.stored(_joined(now), "links")
     for _ in range(most):
         if _settled(now):
             break

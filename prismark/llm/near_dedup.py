@@ -157,8 +157,23 @@ NODE = "path bigint, parent bigint, digest binary, n bigint, sketch binary"
 
 
 def _branches(rows: DataFrame, depth: int, trees: range) -> tuple[DataFrame, DataFrame]:
-    """The children of each row, and their paths only: at the root one for each tree, below that by the coordinate that the path's tree picks."""
+    """The children of each row, and their paths only: at the root one for each tree, below that by the coordinate that the path's tree picks.
+
+    Below the root a row may hold one path and its parent's size, or arrays of them (paths, parents) beside a single signature.
+    """
     low = np.uint64((1 << TREE_BITS) - 1)
+    many = "paths" in rows.columns
+
+    def at_paths(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Rows of one path each, some at a time, as signatures are repeated for them."""
+        if not many:
+            yield b
+            return
+        for i in range(0, len(b), 256):
+            part = b.iloc[i : i + 256]
+            own = part.drop(columns=[c for c in ("paths", "parents") if c in part]).loc[part.index.repeat(part["paths"].map(len))]
+            lists = {c: np.concatenate([np.asarray(x, np.int64) for x in part[f"{c}s"]]) for c in ("path", "parent") if f"{c}s" in part}
+            yield own.assign(**lists)
 
     def paths(b: pd.DataFrame, sig: np.ndarray, tree: int) -> np.ndarray:
         if depth:
@@ -172,21 +187,21 @@ def _branches(rows: DataFrame, depth: int, trees: range) -> tuple[DataFrame, Dat
         return (path & ~low | own).view(np.int64)
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
+        for batch in batches:
+            for b in at_paths(batch) if len(batch) else ():
                 sig = _signatures(b["sig"])
                 sketch = pd.Series([x.tobytes() for x in sig.astype(np.uint8)])
                 for tree in trees:
                     yield pd.DataFrame({"path": paths(b, sig, tree), "parent": b["parent"].to_numpy(), "digest": b["digest"].to_numpy(), "n": b["n"].to_numpy(), "sketch": sketch.to_numpy()})
 
     def only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
+        for batch in batches:
+            for b in at_paths(batch) if len(batch) else ():
                 sig = _signatures(b["sig"])
                 for tree in trees:
                     yield pd.DataFrame({"path": paths(b, sig, tree)})
 
-    return rows.mapInPandas(whole, NODE), rows.select(*(["path"] if depth else []), "sig").mapInPandas(only, "path bigint")
+    return rows.mapInPandas(whole, NODE), rows.select(*(["paths" if many else "path"] if depth else []), "sig").mapInPandas(only, "path bigint")
 
 
 def _tasks(rows: int, each: int) -> int:
@@ -358,6 +373,7 @@ def _large_links(members: DataFrame, t: Threshold, count: int) -> DataFrame:
     now = members.withColumns({"joined": F.lit(False), "done": F.lit(False)})
     found, open_ = [], count
     for _ in range(ROUNDS):
+        common.collected(members.sparkSession)
         met = common.stored(_met_pivots(now, t, _tasks(count, 200)), "near-met")
         pairs = met.where("bits > 0").select(F.col("digest").alias("a"), F.explode("linked").alias("b"))
         found.append(pairs.where("a <> b"))
@@ -394,7 +410,7 @@ def _grown(classes: DataFrame, count: int, trees: range) -> tuple[list[DataFrame
     """Grows trees over the classes: small nodes' rows, links of the large ones that branching does not take apart, and the deepest level of either."""
     few, alike, deepest = [], [], 1
     level = classes.select("digest", "n", "sig", F.lit(count).cast("bigint").alias("parent"))
-    rows = count * len(trees)
+    rows, above = count * len(trees), classes.select("digest", "n", "sig")
     for depth in range(DEPTH):
         children, paths = _branches(level, depth, trees if not depth else range(1))
         sizes = common.stored(paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-sizes")
@@ -413,10 +429,14 @@ def _grown(classes: DataFrame, count: int, trees: range) -> tuple[list[DataFrame
         rows = n.get(False, 0)
         if not rows:
             break
-        level = large.where(~stays).select("path", "digest", F.col("size").alias("parent"))
-        # the others' signatures stay where they are
-        some, maybe = common.maybe_in(classes.select("digest", "n", "sig"), [F.col("digest")], level, [F.col("digest")])
-        level = level.join(some.where(F.col(maybe)).drop(maybe), "digest").coalesce(_tasks(rows, 5000))
+        # each class once, with its nodes, one a tree at most; the others' signatures stay where they are, and a level's classes are among those of the level above
+        level = large.where(~stays).groupBy("digest").agg(F.collect_list(F.struct("path", "size")).alias("in"))
+        some, maybe = common.maybe_in(above, [F.col("digest")], large.where(~stays), [F.col("digest")])
+        level = level.join(some.where(F.col(maybe)).drop(maybe), "digest").select("digest", "n", "sig", F.col("in.path").alias("paths"), F.col("in.size").alias("parents"))
+        # stored, as both frames of children read it
+        level = common.stored(level, "near-level")
+        above, level = level.select("digest", "n", "sig"), level.coalesce(_tasks(rows, 5000))
+        common.collected(classes.sparkSession)
     return few, alike, deepest
 
 
@@ -433,6 +453,7 @@ def classes_with_components(docs: DataFrame, t: Threshold, id_column: str = "doc
         few, alike, grown = few + more[0], alike + more[1], trees
         trees = max(trees, trees_for(t, more[2]))
     common.release()
+    common.collected(docs.sparkSession)
     nodes = reduce(DataFrame.unionByName, few).groupBy("path").agg(F.collect_list(F.struct("digest", "n", "sketch")).alias("members"))  # at most LEAF
     groups = connected(reduce(DataFrame.unionByName, [_candidates(nodes.select("members"), t), *alike]))
     sizes = groups.join(classes.select(F.col("digest").alias("node"), "n"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("all_n"))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from prismark.llm import components, exact_dedup, near_dedup
+from prismark.llm import common, components, exact_dedup, near_dedup
 from prismark.llm.near_dedup import Threshold
 
 SCHEMA = "doc_id bigint, text string, at_file string, digest int, n int, kept string, _metadata string, __maybe int, __file int"  # with columns that clash with the operators' own
@@ -215,3 +215,38 @@ def test_components(spark):
     got = dict(tuple(r) for r in components.connected(spark.createDataFrame(links, "a bigint, b bigint")).collect())
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200} | {5000 + k: 5000 + k for k in range(3)} | {10_000 + k: 5000 + k % 3 for k in range(3000)}
     assert components.connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_components_by_steps_and_in_one_task(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    r = random.Random(3)
+    links = [(bytes([r.randrange(90), 200]), bytes([r.randrange(90), 200])) for _ in range(60)] + [(b"zz", b"zz")]
+    up = {x: x for pair in links for x in pair}
+    for _ in up:
+        for a, b in links:
+            up[a] = up[b] = min(up[a], up[b])
+    got = components.connected(spark.createDataFrame(links, "a binary, b binary")).collect()
+    assert len(got) == len(up) - 1 - sum(all(x not in (a, b) or a == b for a, b in links) for x in up if x != b"zz")
+    assert all(up[bytes(x)] == bytes(root) for x, root in got) and b"zz" not in {bytes(x) for x, _ in got}
+
+
+def test_a_level_moves_each_signature_once(spark, monkeypatch):
+    """A class lies in a node of each tree; its row joins once, and the rows of its nodes are those of a join for each."""
+    import numpy as np
+
+    sig = np.tile(np.arange(near_dedup.COORDINATES, dtype=np.uint32), (2, 1)).tobytes()
+    rows = [("a", 9, sig[: len(sig) // 2], [1, 2, 3 << near_dedup.TREE_BITS | 1], [4, 5, 6]), ("b", 8, sig[len(sig) // 2 :], [2], [5])]
+    lists = spark.createDataFrame([(d.encode(), n, x, p, q) for d, n, x, p, q in rows], "digest binary, n bigint, sig binary, paths array<bigint>, parents array<bigint>")
+    flat = spark.createDataFrame([(d.encode(), n, x, i, j) for d, n, x, p, q in rows for i, j in zip(p, q)], "digest binary, n bigint, sig binary, path bigint, parent bigint")
+    for got, want in zip(near_dedup._branches(lists, 1, range(1)), near_dedup._branches(flat, 1, range(1))):
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 4
+    seen, branches = [], near_dedup._branches
+    monkeypatch.setattr(near_dedup, "LEAF", 6)
+    monkeypatch.setattr(near_dedup, "_branches", lambda level, depth, trees: seen.append((depth, level.count(), level.select("digest").distinct().count())) or branches(level, depth, trees))
+    asked, maybe_in = [], common.maybe_in
+    monkeypatch.setattr(common, "maybe_in", lambda df, keys, *x: (asked.append(df.count()) if df.columns == ["digest", "n", "sig"] else None) or maybe_in(df, keys, *x))
+    near_dedup.near_duplicates(docs(spark, shared_passage(40, 80, 56, 9)), Threshold(4, 5, 5)).count()
+    assert any(depth > 1 for depth, *_ in seen) and all(n == classes for _, n, classes in seen)
+    levels = [n for _, n, _ in seen]
+    assert all(n == levels[i] for i, n in zip([i for i, (depth, *_) in enumerate(seen) if i + 1 < len(seen) and seen[i + 1][0] > depth], asked))  # only the classes of the level above are asked

@@ -425,7 +425,9 @@ def _grown(classes: DataFrame, count: int, trees: range) -> tuple[list[DataFrame
             deepest = depth + 1
         if n.get(True):  # their members are candidates as they are
             least = large.where(stays).groupBy("path").agg(F.min("digest").alias("b"), F.count(F.lit(1)).alias("members"))
-            alike.append(common.heavy_join(large.where(stays), least, "path", "members", n[True], ["digest"]).select(F.col("digest").alias("a"), "b").where("a <> b"))
+            links = common.heavy_join(large.where(stays), least, "path", "members", n[True], ["digest"]).select(F.col("digest").alias("a"), "b").where("a <> b")
+            # stored level by level: in one plan the joins of all levels run at once, and the driver holds all their jobs
+            alike.append(common.stored(links, "near-alike"))
         rows = n.get(False, 0)
         if not rows:
             break

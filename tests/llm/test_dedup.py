@@ -250,3 +250,18 @@ def test_a_level_moves_each_signature_once(spark, monkeypatch):
     assert any(depth > 1 for depth, *_ in seen) and all(n == classes for _, n, classes in seen)
     levels = [n for _, n, _ in seen]
     assert all(n == levels[i] for i, n in zip([i for i, (depth, *_) in enumerate(seen) if i + 1 < len(seen) and seen[i + 1][0] > depth], asked))  # only the classes of the level above are asked
+
+
+def test_links_of_levels_join_in_plans_of_their_own(spark, monkeypatch):
+    """What components are made of holds no join: the levels' joins, all in one plan, took the driver's memory with the number of levels."""
+    monkeypatch.setattr(near_dedup, "LEAF", 6)
+    monkeypatch.setattr(near_dedup, "SHRINKS", 0.3)
+    plans, alike = [], []
+    connected, grown = near_dedup.connected, near_dedup._grown
+    monkeypatch.setattr(near_dedup, "connected", lambda links: plans.append(links._jdf.queryExecution().optimizedPlan().toString()) or connected(links))
+    monkeypatch.setattr(near_dedup, "_grown", lambda *x: alike.extend((out := grown(*x))[1]) or out)
+    rows = families(2, 2, 60, words=120, edits=10)
+    t = Threshold(85, 100, 3)
+    got = near_dedup.near_duplicates(docs(spark, rows), t).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(rows, t)
+    assert len(alike) > 1 and "Union" in plans[0] and "Join" not in plans[0]
